@@ -495,3 +495,29 @@ def quantiles(
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
     return g.select(*keys, *out)
+
+
+def row_numbers(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    ties: Sequence[str],
+    out: str,
+    total: str,
+    cells: int = VALUE_CELLS,
+) -> DataFrame:
+    """Ascending 1-based position by (value, ties) within keys, and group size.
+
+    ``ties`` must make the order total. Rows are cut into cells at shared value
+    quantiles, as in ``value_ranks``.
+    """
+    marks = [i / cells for i in range(1, cells)]
+    cuts = df.agg(F.percentile_approx(value, marks, 10 * cells).alias("_cuts"))
+    d = df.crossJoin(F.broadcast(cuts))  # one row
+    d = d.withColumn(
+        "_vcell", F.size(F.filter("_cuts", lambda c: c < F.col(value))).cast("long")
+    ).drop("_cuts")
+    s = Ordered(tuple(keys), (value, *ties), cell="_vcell")
+    d = running(d, s, {out: ("sum", F.lit(1).cast("long"))}).drop("_vcell")
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(total))
+    return d.join(n, list(keys)) if keys else d.crossJoin(F.broadcast(n))  # one row

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES, ROWS, oracle_texts
 
-THEMES = ("bars", "features")
+THEMES = ("bars", "features", "portfolio")
 MODULES: dict[str, str] = {}
 for _theme in THEMES:
     _seen = set(QUERIES)

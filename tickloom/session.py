@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 def configure(spark: SparkSession) -> SparkSession:
     """Runtime settings every operator relies on."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
