@@ -23,7 +23,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 CHUNK_ROWS = 65536
+CENTURY_DAYS = 36525
 VALUE_CELLS = 64
 
 
@@ -34,24 +37,38 @@ class Ordered:
     ``span`` counts days for date and timestamp columns and units for numbers.
     Choose it so that one cell of the densest series fits a task with ease.
     ``cell`` names an existing cell column that rises with the order.
+
+    ``step`` states, in days, that a key has at most one row per calendar step
+    (bars made by grouping on the step). It bounds a series by the calendar, not
+    by the data: a century of weeks is 5,218 rows. Where that bound fits one
+    chunk, plain windows are used and the cell tables are not needed.
     """
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
     span: float = 64
     cell: str | None = None
+    step: float | None = None
+
+    @property
+    def short(self) -> bool:
+        return self.step is not None and CENTURY_DAYS / self.step <= CHUNK_ROWS
 
     def by(self, *keys: str) -> Ordered:
         return replace(self, keys=tuple(keys))
 
 
 BARS = Ordered(("symbol",), ("datetime",))
-DAILY = Ordered(("symbol",), ("date",))
+WEEKLY = Ordered(("symbol",), ("datetime",), step=7)
+DAILY = Ordered(("symbol",), ("date",), step=1)
+CALENDAR = Ordered((), ("date",), step=1)
 
 Stage = Callable[[WindowSpec], Mapping[str, Column]]
 
 
 def with_cell(df: DataFrame, s: Ordered) -> DataFrame:
+    if s.short:
+        return df.withColumn("_cell", F.lit(0).cast("long"))
     if s.cell:
         return df.withColumn("_cell", F.col(s.cell))
     col = s.order[0]
@@ -91,6 +108,16 @@ def _layout(cells: DataFrame, s: Ordered, back: int, ahead: int, chunk: int) ->
     return c.select(*s.keys, "_cell", "_chunk", lo.alias("_lo"), hi.alias("_hi"))
 
 
+def _staged(d: DataFrame, stages: Sequence[Stage], w: WindowSpec) -> tuple[DataFrame, list[str]]:
+    names: list[str] = []
+    for stage in stages:
+        made = stage(w)
+        keep = [c for c in d.columns if c not in made]
+        d = d.select(*keep, *[c.alias(n) for n, c in made.items()])
+        names = [c for c in names if c not in made] + list(made)
+    return d, names
+
+
 def rolling(
     df: DataFrame,
     s: Ordered,
@@ -107,8 +134,11 @@ def rolling(
     """
     if callable(stages):
         stages = [stages]
+    if s.short and chunk_rows is None:
+        d, _ = _staged(df, stages, _by_key(s).orderBy(*s.order))
+        return d
     chunk = chunk_rows or max(CHUNK_ROWS, 8 * (back + ahead))
-    d = with_cell(df, s)
+    d = with_cell(df, replace(s, step=None))
     layout = _layout(
         d.groupBy(*s.keys, "_cell").agg(F.count(F.lit(1)).alias("_n")), s, back, ahead, chunk
     )
@@ -118,12 +148,8 @@ def rolling(
     else:
         d = d.withColumn("_dest", F.col("_chunk"))
     w = Window.partitionBy(*s.keys, "_dest").orderBy(*s.order)
-    names = list(df.columns)
-    for stage in stages:
-        made = stage(w)
-        keep = [c for c in d.columns if c not in made]
-        d = d.select(*keep, *[c.alias(n) for n, c in made.items()])
-        names = [c for c in names if c not in made] + list(made)
+    d, made = _staged(d, stages, w)
+    names = [c for c in df.columns if c not in made] + made
     return d.where(F.col("_dest") == F.col("_chunk")).select(*names)
 
 
@@ -144,6 +170,23 @@ def _frame(kind: str, col: Column, w: WindowSpec) -> Column:
     return getattr(F, kind)(col).over(w)
 
 
+def _running_short(
+    df: DataFrame,
+    s: Ordered,
+    cols: Mapping[str, tuple[str, Column]],
+    reset: Column | None,
+    upto: int,
+) -> DataFrame:
+    w, d = _by_key(s).orderBy(*s.order), df
+    if reset is not None:
+        so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+        d = d.withColumn("_seg", F.sum(F.when(reset, 1).otherwise(0)).over(so_far))
+        w = Window.partitionBy(*s.keys, "_seg").orderBy(*s.order)
+    f = w.rowsBetween(Window.unboundedPreceding, upto)
+    out = [_frame(k, c, f).alias(n) for n, (k, c) in cols.items()]
+    return d.select(*[c for c in df.columns if c not in cols], *out)
+
+
 def running(
     df: DataFrame,
     s: Ordered,
@@ -157,6 +200,8 @@ def running(
     first; last and first skip nulls. ``reset`` starts a new segment at rows
     where it is true. ``upto=-1`` leaves out the current row (no reset then).
     """
+    if s.short:
+        return _running_short(df, s, cols, reset, upto)
     d = with_cell(df, s)
     for i, (_, col) in enumerate(cols.values()):
         d = d.withColumn(f"_in{i}", col)
@@ -244,6 +289,14 @@ def equity(df: DataFrame, s: Ordered, rets: Mapping[str, tuple[str, str]]) -> Da
 
     ``rets`` maps a return column to (equity name, drawdown name).
     """
+    if s.short:
+        w, d = _by_key(s).orderBy(*s.order).rowsBetween(Window.unboundedPreceding, 0), df
+        for r, (eq, _) in rets.items():
+            d = d.withColumn(eq, F.sum(r).over(w))
+        for eq, dd in rets.values():
+            d = d.withColumn(dd, F.col(eq) - F.max(eq).over(w))
+        made = [n for pair in rets.values() for n in pair]
+        return d.select(*[c for c in df.columns if c not in made], *made)
     d = with_cell(df, s)
     w = Window.partitionBy(*s.keys, "_cell").orderBy(*s.order)
     w = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -329,10 +382,11 @@ def affine(df: DataFrame, s: Ordered, a: Column, b: Column, out: str) -> DataFra
 
     d = df.withColumn("_a", a.cast("double")).withColumn("_b", b.cast("double"))
     d = _scan_cells(d, s, work, "_p double, _q double, _last boolean")
-    carry = _scan_carry(
-        d.where("_last").select(*s.keys, "_cell", "_p", "_q"), s, fold, "_y double"
-    )
-    d = d.join(carry, [*s.keys, "_cell"])
+    if s.short:
+        d = d.withColumn("_y", F.lit(float("nan")))
+    else:
+        ends = d.where("_last").select(*s.keys, "_cell", "_p", "_q")
+        d = d.join(_scan_carry(ends, s, fold, "_y double"), [*s.keys, "_cell"])
     y0 = F.when(F.isnan("_y"), None).otherwise(F.col("_y"))
     y = F.when(F.col("_q") == 0, F.col("_p")).otherwise(F.col("_p") + F.col("_q") * y0)
     return d.select(*[c for c in df.columns if c != out], y.alias(out))
@@ -401,8 +455,13 @@ def ewm(
     ends = d.where("_last").select(
         *s.keys, "_cell", "_p", "_q", "_lead", "_first", "_gap", F.col("_c").alias("_cnt")
     )
-    carry = _scan_carry(ends, s, fold, "_y double, _y1 double, _n0 long")
-    d = d.join(carry, [*s.keys, "_cell"])
+    if s.short:
+        d = d.withColumns(
+            {"_y": F.lit(float("nan")), "_y1": F.col("_first"), "_n0": F.lit(0)}
+        )
+    else:
+        carry = _scan_carry(ends, s, fold, "_y double, _y1 double, _n0 long")
+        d = d.join(carry, [*s.keys, "_cell"])
     y = F.when(F.col("_c") == 0, F.col("_y")).otherwise(F.col("_p") + F.col("_q") * F.col("_y1"))
     y = F.when(F.isnan(y) | (F.col("_c") + F.col("_n0") < min_obs), None).otherwise(y)
     return d.select(*[c for c in df.columns if c != out], y.alias(out))
@@ -430,8 +489,11 @@ def state_scan(df: DataFrame, s: Ordered, step: Column, out: str) -> DataFrame:
 
     d = df.withColumn("_f", step.cast("array<int>"))
     d = _scan_cells(d, s, work, "_comp array<int>, _last boolean")
-    carry = _scan_carry(d.where("_last").select(*s.keys, "_cell", "_comp"), s, fold, "_s0 int")
-    d = d.join(carry, [*s.keys, "_cell"])
+    if s.short:
+        d = d.withColumn("_s0", F.lit(0))
+    else:
+        ends = d.where("_last").select(*s.keys, "_cell", "_comp")
+        d = d.join(_scan_carry(ends, s, fold, "_s0 int"), [*s.keys, "_cell"])
     return d.select(
         *[c for c in df.columns if c != out], F.element_at("_comp", F.col("_s0") + 1).alias(out)
     )
@@ -446,9 +508,10 @@ def _value_counts(
     the rows is spread over its own share of the cells; equal values are one row.
     """
     d = df.where(F.col(value).isNotNull())
-    marks = [i / cells for i in range(1, cells)]
-    cuts = d.agg(F.percentile_approx(value, marks, 10 * cells).alias("_cuts"))
     vals = d.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"), *aggs)
+    vals = materialize(vals)  # read for the cut points, the cell sums and the rows
+    marks = [i / cells for i in range(1, cells)]
+    cuts = vals.agg(F.percentile_approx(value, marks, 10 * cells).alias("_cuts"))
     vals = vals.crossJoin(F.broadcast(cuts))  # one row
     cell = F.size(F.filter("_cuts", lambda c: c < F.col(value))).cast("long")
     vals = vals.withColumn("_vcell", cell).drop("_cuts")
@@ -505,12 +568,21 @@ def row_numbers(
     out: str,
     total: str,
     cells: int = VALUE_CELLS,
+    names: int | None = None,
 ) -> DataFrame:
     """Ascending 1-based position by (value, ties) within keys, and group size.
 
     ``ties`` must make the order total. Rows are cut into cells at shared value
-    quantiles, as in ``value_ranks``.
+    quantiles, as in ``value_ranks``. ``names`` states how many rows a group can
+    have at most (the size of the symbol dimension); where one chunk holds that,
+    a plain window ranks the group.
     """
+    if names is not None and names <= CHUNK_ROWS:
+        group = Window.partitionBy(*keys)
+        return df.withColumn(
+            out, F.row_number().over(group.orderBy(value, *ties)).cast("long")
+        ).withColumn(total, F.count(F.lit(1)).over(group))
+    df = materialize(df)  # read for the cut points, the cell sums, sizes and rows
     marks = [i / cells for i in range(1, cells)]
     cuts = df.agg(F.percentile_approx(value, marks, 10 * cells).alias("_cuts"))
     d = df.crossJoin(F.broadcast(cuts))  # one row

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
-from ..functions.ordered import Ordered, quantiles, rolling, running
+from ..functions.ordered import CALENDAR, Ordered, quantiles, rolling, running
 
 SIDE = "_side"
 
@@ -156,7 +156,7 @@ def lagged_labels(
     cols = [*terciles, sign]
     d = rolling(
         macro,
-        Ordered((), ("date",), 512),
+        CALENDAR,
         lambda w: {f"_{c}": F.lag(c, lag).over(w) for c in cols},
         back=lag,
     )
@@ -178,7 +178,7 @@ def fill_and_band(
     """Left join a rate by date, carry it forward, and test whether the carry
     ratio of the spread lies inside (lo, hi)."""
     d = df.join(rates, "date", "left")
-    d = running(d, Ordered(tuple(keys), ("date",), 512), {"rate": ("last", F.col("rate"))})
+    d = running(d, CALENDAR.by(*keys), {"rate": ("last", F.col("rate"))})
     d = d.withColumn("carry_fv", carry_fair_value(F.col("leg2_price"), storage, F.col("rate")))
     d = d.withColumn("carry_ratio", carry_ratio(F.col("value"), F.col("carry_fv")))
     mild = (F.col("carry_ratio") > lo) & (F.col("carry_ratio") < hi)

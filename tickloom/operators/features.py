@@ -19,7 +19,7 @@ from ..functions.exprs import (
     roll_sum,
     zscore,
 )
-from ..functions.ordered import BARS, Ordered, rolling, row_index, running
+from ..functions.ordered import BARS, DAILY, Ordered, rolling, row_index, running
 from ..session import materialize
 from .align import asof_join
 from .xs import cross_section, percent_rank_by
@@ -102,12 +102,15 @@ def add_funding(bars: DataFrame, funding: DataFrame, s: Ordered = BARS, window:
 
 
 def feature_panel(
-    panel: DataFrame, cols: Sequence[str] | None = None, funding: DataFrame | None = None
+    panel: DataFrame,
+    cols: Sequence[str] | None = None,
+    funding: DataFrame | None = None,
+    s: Ordered = BARS,
 ) -> DataFrame:
     """Raw features, forward return, then both cross-sectional variants."""
-    d = raw_features(panel)
+    d = raw_features(panel, s)
     if funding is not None:
-        d = add_funding(d, funding)
+        d = add_funding(d, funding, s)
     if cols is None:
         skip = set(panel.columns)
         cols = [c for c in d.columns if c not in skip and not c.startswith("fwd_return_")]
@@ -176,7 +179,7 @@ def pooled_panel(
 ) -> DataFrame:
     """Sign target, per-date percent ranks in the panel and in the basket,
     cyclic calendar, and curve spreads. ``frame``: symbol, date, basket, ..."""
-    s = Ordered(("symbol",), ("date",))
+    s = DAILY
 
     def stage(w):
         return {

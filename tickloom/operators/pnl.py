@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import log_return, ratio
-from ..functions.ordered import BARS, Ordered, equity, quantiles, rolling, row_index
+from ..functions.ordered import BARS, CALENDAR, Ordered, equity, quantiles, rolling, row_index
 from .features import hash_int
 from .xs import dollar_neutral_weights
 
@@ -39,9 +39,6 @@ CONTRACT_SPECS = {
 }
 THIN_PRODUCTS = ("PA", "PL", "KE")
 
-BOOK = Ordered((), ("datetime",))
-
-
 def turnover(w, position: str = "position") -> Column:
     """|change of position|; the first row pays its whole position."""
     return F.abs(F.col(position) - F.coalesce(F.lag(position).over(w), F.lit(0.0)))
@@ -200,15 +197,18 @@ def equal_weight_basket(panel: DataFrame, target: str = "fwd_return_1") -> DataF
     return panel.groupBy("datetime").agg(F.avg(target).alias("trade_log_return"))
 
 
-def portfolio_turnover(weights: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def portfolio_turnover(weights: DataFrame, keys: Sequence[str] = (), s: Ordered = BARS):
     """Sum over symbols of |change of weight| per bar."""
-    s = Ordered((*keys, "symbol"), ("datetime",))
-    d = rolling(weights, s, lambda w: {"_t": turnover(w, "weight")}, back=1)
+    d = rolling(weights, s.by(*keys, "symbol"), lambda w: {"_t": turnover(w, "weight")}, back=1)
     return d.groupBy(*keys, "datetime").agg(F.sum("_t").alias("turnover"))
 
 
 def portfolio_frame(
-    weights: DataFrame, returns: DataFrame, target: str, keys: Sequence[str] = ()
+    weights: DataFrame,
+    returns: DataFrame,
+    target: str,
+    keys: Sequence[str] = (),
+    s: Ordered = BARS,
 ) -> DataFrame:
     """One row per bar: weighted forward return and turnover."""
     r = returns.select("datetime", "symbol", target)
@@ -217,25 +217,25 @@ def portfolio_frame(
         .groupBy(*keys, "datetime")
         .agg(F.sum(F.col("weight") * F.col(target)).alias("trade_log_return"))
     )
-    return gross.join(portfolio_turnover(weights, keys), [*keys, "datetime"])
+    return gross.join(portfolio_turnover(weights, keys, s), [*keys, "datetime"])
 
 
-def portfolio_costs(frame: DataFrame, fee: float, slippage: float = 1e-4, keys=()) -> DataFrame:
-    s = BOOK.by(*keys)
-    return net_of(frame, s, F.lit(fee + slippage) * F.col("turnover"))
+def portfolio_costs(
+    frame: DataFrame, fee: float, slippage: float = 1e-4, keys=(), s: Ordered = BARS
+) -> DataFrame:
+    return net_of(frame, s.by(*keys), F.lit(fee + slippage) * F.col("turnover"))
 
 
 def portfolio_metrics(
-    frame: DataFrame, ann: float, fee: float, slippage: float = 1e-4, keys=()
+    frame: DataFrame, ann: float, fee: float, slippage: float = 1e-4, keys=(), s: Ordered = BARS
 ) -> DataFrame:
     """Gross and net metrics with the cost summary, one row per key."""
-    d = portfolio_costs(frame, fee, slippage, keys)
-    return frame_metrics(d, ann, keys)
+    d = portfolio_costs(frame, fee, slippage, keys, s)
+    return frame_metrics(d, ann, keys, s)
 
 
-def frame_metrics(costed: DataFrame, ann: float, keys=()) -> DataFrame:
-    s = BOOK.by(*keys)
-    d = equity(costed, s, {"trade_log_return": ("_eq", "_dd")})
+def frame_metrics(costed: DataFrame, ann: float, keys=(), s: Ordered = BARS) -> DataFrame:
+    d = equity(costed, s.by(*keys), {"trade_log_return": ("_eq", "_dd")})
     g = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("no_bars"),
         *metric_cols("trade_log_return", "_dd", ann),
@@ -246,7 +246,13 @@ def frame_metrics(costed: DataFrame, ann: float, keys=()) -> DataFrame:
 
 
 def random_rankings(
-    panel: DataFrame, seeds: int, ann: float, fee: float, target: str = "fwd_return_1", **kw
+    panel: DataFrame,
+    seeds: int,
+    ann: float,
+    fee: float,
+    target: str = "fwd_return_1",
+    s: Ordered = BARS,
+    **kw,
 ) -> DataFrame:
     """The weights, turnover and cost path under random rankings, by seed."""
     d = panel.select("datetime", "symbol", target)
@@ -254,8 +260,8 @@ def random_rankings(
     stamp = F.unix_seconds("datetime").cast("string")
     d = d.withColumn("_pred", hash_int("seed", "symbol", stamp))
     w = dollar_neutral_weights(d, "_pred", keys=("seed", "datetime"), **kw)
-    f = portfolio_frame(w, panel, target, ("seed",))
-    m = portfolio_metrics(f, ann, fee, keys=("seed",))
+    f = portfolio_frame(w, panel, target, ("seed",), s)
+    m = portfolio_metrics(f, ann, fee, keys=("seed",), s=s)
     return m.select(
         "seed",
         F.col("sharpe_net").alias("sharpe"),
@@ -316,10 +322,13 @@ def multi_leg_cost(legs: str, specs: Mapping[str, tuple] = CONTRACT_SPECS, thin=
 
 
 def futures_costs(
-    weights: DataFrame, prices: DataFrame, specs: Mapping[str, tuple], thin: Sequence[str] = ()
+    weights: DataFrame,
+    prices: DataFrame,
+    specs: Mapping[str, tuple],
+    thin: Sequence[str] = (),
+    s: Ordered = BARS,
 ) -> DataFrame:
     """Per-bar cost share: |change of weight| times the cost per notional."""
-    s = Ordered(("symbol",), ("datetime",))
     d = rolling(weights, s, lambda w: {"_t": turnover(w, "weight")}, back=1)
     d = d.join(prices.select("datetime", "symbol", "close"), ["datetime", "symbol"])
     d = d.where(F.col("close").isNotNull())
@@ -327,14 +336,14 @@ def futures_costs(
     return d.groupBy("datetime").agg(F.sum(F.col("_t") * unit).alias("cost_frac"))
 
 
-def add_futures_costs(frame: DataFrame, costs: DataFrame) -> DataFrame:
+def add_futures_costs(frame: DataFrame, costs: DataFrame, s: Ordered = BARS) -> DataFrame:
     d = frame.join(costs, "datetime", "left").na.fill(0.0, ["cost_frac"])
-    return net_of(d, BOOK, F.col("cost_frac"))
+    return net_of(d, s.by(), F.col("cost_frac"))
 
 
-def futures_metrics(frame: DataFrame, costs: DataFrame, ann: float) -> DataFrame:
+def futures_metrics(frame: DataFrame, costs: DataFrame, ann: float, s: Ordered = BARS):
     """Metrics net of per-product costs, and whether net Sharpe <= gross."""
-    m = frame_metrics(add_futures_costs(frame, costs), ann)
+    m = frame_metrics(add_futures_costs(frame, costs, s), ann, (), s)
     return m.withColumn("cost_ok", F.col("sharpe_net") <= F.col("sharpe") + 1e-9)
 
 
@@ -355,7 +364,7 @@ def book_metrics(
 ) -> DataFrame:
     """Risk summary of an equity table (date, equity) and its trade table
     (ret_eq, exit_reason); exits outside ``reasons`` count as ``rest``."""
-    s = Ordered((), ("date",), 512)
+    s = CALENDAR
     d = rolling(
         book, s, lambda w: {"_r": ratio(F.col("equity"), F.lag("equity").over(w)) - 1}, back=1
     )

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip, ratio, roll_median, roll_std, zscore
 from ..functions.ordered import (
     BARS,
+    CHUNK_ROWS,
     Ordered,
     average_rank,
     quantiles,
@@ -24,6 +25,7 @@ from ..functions.ordered import (
     running,
     state_scan,
 )
+from ..session import materialize
 
 
 def cross_section(df: DataFrame, cols: Sequence[str], time: str = "datetime") -> DataFrame:
@@ -48,15 +50,27 @@ def percent_rank_by(df: DataFrame, keys: Sequence[str], c: str, out: str) -> Dat
 
 
 def _legs(
-    d: DataFrame, time: str, long: Column, short: Column, size: Column, gross: float, cap: float
+    d: DataFrame,
+    time: str,
+    long: Column,
+    short: Column,
+    size: Column,
+    gross: float,
+    cap: float,
+    names: int | None,
 ) -> DataFrame:
     """Leg weights proportional to size, each leg summing to half the gross."""
     d = d.withColumn("_size", F.abs(size)).withColumn("_long", long).withColumn("_short", short)
-    tot = d.groupBy(time).agg(
-        F.sum(F.when(F.col("_long"), F.col("_size"))).alias("_ls"),
-        F.sum(F.when(F.col("_short"), F.col("_size"))).alias("_ss"),
-    )
-    d = d.join(tot, time)
+    sums = {
+        "_ls": F.sum(F.when(F.col("_long"), F.col("_size"))),
+        "_ss": F.sum(F.when(F.col("_short"), F.col("_size"))),
+    }
+    if names is not None and names <= CHUNK_ROWS:
+        group = Window.partitionBy(time)
+        d = d.withColumns({n: c.over(group) for n, c in sums.items()})
+    else:
+        d = materialize(d)
+        d = d.join(d.groupBy(time).agg(*[c.alias(n) for n, c in sums.items()]), time)
     w = (
         F.when(F.col("_short") & (F.col("_ss") > 0), -(gross / 2) * F.col("_size") / F.col("_ss"))
         .when(F.col("_long") & (F.col("_ls") > 0), (gross / 2) * F.col("_size") / F.col("_ls"))
@@ -65,9 +79,11 @@ def _legs(
     return d.withColumn("weight", clip(w, -cap, cap))
 
 
-def ranked(df: DataFrame, pred: str, keys: Sequence[str], symbol: str = "symbol") -> DataFrame:
+def ranked(
+    df: DataFrame, pred: str, keys: Sequence[str], names: int | None = None
+) -> DataFrame:
     """Ascending position ``_rn`` by prediction then symbol, and group size ``_n``."""
-    return row_numbers(df, keys, pred, [symbol], "_rn", "_n")
+    return row_numbers(df, keys, pred, ["symbol"], "_rn", "_n", names=names)
 
 
 def dollar_neutral_weights(
@@ -79,11 +95,15 @@ def dollar_neutral_weights(
     cap: float = 0.25,
     keys: Sequence[str] = ("datetime",),
     keep: Sequence[str] = (),
+    names: int | None = None,
 ) -> DataFrame:
-    """Top fraction long, bottom fraction short, the rest zero, per bar."""
+    """Top fraction long, bottom fraction short, the rest zero, per bar.
+
+    ``names`` states the greatest number of symbols a bar can have, if known.
+    """
     need = [*keys, "symbol", pred] + ([size] if size else [])
     d = panel.select(*dict.fromkeys([*need, *keep])).dropna(subset=need)
-    d = ranked(d, pred, keys)
+    d = ranked(d, pred, keys, names)
     k = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(top_frac)))
     d = d.withColumn("_k", k)
     if len(keys) > 1:
@@ -97,6 +117,7 @@ def dollar_neutral_weights(
         F.col(size) if size else F.lit(1.0),
         gross,
         cap,
+        names,
     )
     return d.select(*keys, "symbol", *keep, "weight")
 
@@ -109,21 +130,23 @@ def banded_weights(
     size: str | None = None,
     gross: float = 1.0,
     cap: float = 0.25,
+    s: Ordered = BARS,
+    names: int | None = None,
 ) -> DataFrame:
     """Enter a leg inside the entry zone, leave it outside the wider keep zone.
 
     States: 0 none, 1 long, 2 short. A bar without the symbol clears its state.
     """
     need = ["datetime", "symbol", pred] + ([size] if size else [])
-    d = ranked(panel.select(*need).dropna(), pred, ["datetime"])
+    d = ranked(panel.select(*need).dropna(), pred, ["datetime"], names)
     ke = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(top_frac)))
     kx = F.greatest(ke, F.floor(F.col("_n") * F.lit(top_frac + band)))
     rn, n = F.col("_rn"), F.col("_n")
     long_in, short_in = rn > n - ke, rn <= ke
     long_keep, short_keep = rn > n - kx, rn <= kx
-    bars = row_index(d.select("datetime").distinct(), Ordered((), ("datetime",)), "_bar")
+    bars = row_index(panel.select("datetime").distinct(), s.by(), "_bar")
     d = d.join(bars, "datetime")
-    d = rolling(d, BARS, lambda w: {"_gap": F.col("_bar") - F.lag("_bar").over(w) > 1}, back=1)
+    d = rolling(d, s, lambda w: {"_gap": F.col("_bar") - F.lag("_bar").over(w) > 1}, back=1)
     fresh = F.when(long_in, 1).when(short_in, 2).otherwise(0)
     from_long = F.when(long_keep, 1).when(short_in, 2).otherwise(0)
     from_short = F.when(short_keep, 2).when(long_in, 1).otherwise(0)
@@ -131,7 +154,7 @@ def banded_weights(
     step = F.array(
         fresh, F.when(gap, fresh).otherwise(from_long), F.when(gap, fresh).otherwise(from_short)
     )
-    d = state_scan(d, BARS, step, "_leg")
+    d = state_scan(d, s, step, "_leg")
     d = _legs(
         d,
         "datetime",
@@ -140,6 +163,7 @@ def banded_weights(
         F.col(size) if size else F.lit(1.0),
         gross,
         cap,
+        names,
     )
     return d.select("datetime", "symbol", "weight")
 
@@ -151,21 +175,23 @@ def quantize(weights: DataFrame, grid: float) -> DataFrame:
 
 def throttle(weights: DataFrame, k: int, s: Ordered = BARS) -> DataFrame:
     """Rebalance on every k-th distinct time, hold between, zero before."""
-    bars = row_index(weights.select("datetime").distinct(), Ordered((), ("datetime",)), "_bar")
+    bars = row_index(weights.select("datetime").distinct(), s.by(), "_bar")
     d = weights.join(bars, "datetime")
     now = F.when((F.col("_bar") - 1) % k == 0, F.col("weight"))
     d = running(d, s, {"_held": ("last", now)})
     return d.withColumn("weight", F.coalesce("_held", F.lit(0.0))).select(*weights.columns)
 
 
-def book_standdown(var: DataFrame, k: float, window: int = 250, col: str = "var_forecast"):
+def book_standdown(
+    var: DataFrame, k: float, window: int = 250, col: str = "var_forecast", s: Ordered = BARS
+) -> DataFrame:
     """Book scale 0 when the median |VaR| exceeds k times its trailing median."""
     m = quantiles(
         var.select("datetime", F.abs(col).alias("_v")), ["datetime"], "_v", {"_med": 0.5}
     )
     d = rolling(
         m,
-        Ordered((), ("datetime",)),
+        s.by(),
         lambda w: {"_ref": roll_median("_med", w, window, window // 2, shift=1)},
         back=window,
     )
@@ -212,10 +238,12 @@ def quality_liquidity(
     )
 
 
-def cap_eligibility(df: DataFrame, cap: str, k_long: int, k_short: int) -> DataFrame:
+def cap_eligibility(
+    df: DataFrame, cap: str, k_long: int, k_short: int, names: int | None = None
+) -> DataFrame:
     """Top k_long and bottom k_short names by positive cap, per bar."""
     d = df.where(F.col(cap) > 0)
-    up = row_numbers(d, ["datetime"], cap, ["symbol"], "_asc", "_n")
+    up = row_numbers(d, ["datetime"], cap, ["symbol"], "_asc", "_n", names=names)
     d = up.withColumn("_desc", F.col("_n") - F.col("_asc") + 1)
     e = d.select(
         "datetime",
@@ -227,7 +255,7 @@ def cap_eligibility(df: DataFrame, cap: str, k_long: int, k_short: int) -> DataF
 
 
 def book_returns(
-    sim: DataFrame, long_frac: float, short_frac: float, cost: float
+    sim: DataFrame, long_frac: float, short_frac: float, cost: float, s: Ordered = BARS
 ) -> DataFrame:
     """Equal-weight return per leg at its capital share, and net of turnover.
 
@@ -235,7 +263,7 @@ def book_returns(
     """
     first = rolling(
         sim.select("datetime", "symbol", "leg_position", "ret", "funding_cost"),
-        BARS,
+        s,
         lambda w: {
             "_d": F.abs(
                 F.col("leg_position") - F.coalesce(F.lag("leg_position").over(w), F.lit(0.0))
@@ -276,7 +304,7 @@ def spread_returns(
     ``point_values`` holds the value of a point per leg. ``gate`` has (spread,
     date, regime): rows flat, unconfirmed or missing hold no position.
     """
-    s = Ordered(("spread",), ("date",))
+    s = Ordered(("spread",), ("date",), step=1)
     pv = F.create_map(
         *[
             x
@@ -284,7 +312,7 @@ def spread_returns(
             for x in (F.lit(k), F.array(*[F.lit(float(q)) for q in v]))
         ]
     )
-    d = spreads.where(~F.col("roll_window_flag")).withColumn("_pv", F.element_at(pv, "spread"))
+    d = spreads.where(~F.col("roll_window_flag")).withColumn("_pv", F.try_element_at(pv, F.col("spread")))
     basis = F.aggregate(
         F.zip_with("leg_prices", "_pv", lambda p, v: F.abs(p) * v),
         F.lit(0.0),
@@ -322,7 +350,7 @@ def spread_returns(
 
 def equal_weight_book(rets: DataFrame, skip: int = 0, col: str = "net_return") -> DataFrame:
     """Mean over the spreads present on each date, after dropping the first rows."""
-    d = row_index(rets, Ordered(("spread",), ("date",)), "_i").where(F.col("_i") > skip)
+    d = row_index(rets, Ordered(("spread",), ("date",), step=1), "_i").where(F.col("_i") > skip)
     return d.groupBy("date").agg(F.avg(col).alias("book_return"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.exprs import forward_return, log_return
-from ..functions.ordered import BARS, DAILY, rolling
+from ..functions.ordered import DAILY, WEEKLY, rolling
 from ..operators import bars as B
 from ..sources import ingest as I
 from .registry import NUDGE, query, r, rounded, view
@@ -377,7 +377,7 @@ def returns_and_lags(t):
             **B.lags("count", 3, 1, w),
         }
 
-    d = rolling(t.bars_w().select("symbol", "datetime", "close", "count"), BARS, stage, 5, 3)
+    d = rolling(t.bars_w().select("symbol", "datetime", "close", "count"), WEEKLY, stage, 5, 3)
     return rounded(d.drop("close", "count"))
 
 
@@ -390,7 +390,7 @@ select symbol, datetime, round(r, 6) as close_log_return, round(lag(r, 2) over w
 from x window w as (partition by symbol order by datetime)""",
 )
 def return_with_lags(t):
-    d = B.return_with_lags(t.bars_w().select("symbol", "datetime", "close"), "close", 2, 3)
+    d = B.return_with_lags(t.bars_w().select("symbol", "datetime", "close"), "close", 2, 3, WEEKLY)
     return rounded(d.drop("close"))
 
 
@@ -406,7 +406,7 @@ m as (select symbol, a, va, unnest(['close_log_return', 'lag_1', 'lag_2']) as b,
 select symbol, a, b, round(corr(va, vb), 6) as rho from m group by 1, 2, 3""",
 )
 def lag_correlations(t):
-    d = B.return_with_lags(t.bars_w().select("symbol", "datetime", "close"), "close", 1, 2)
+    d = B.return_with_lags(t.bars_w().select("symbol", "datetime", "close"), "close", 1, 2, WEEKLY)
     return rounded(B.correlation_long(d, ["close_log_return", "lag_1", "lag_2"], ["symbol"]))
 
 
@@ -421,7 +421,7 @@ select symbol, datetime, round(log_return, 6) as log_return, round(fwd_ret, 6) a
 from y where log_return is not null and fwd_ret is not null and lag_5 is not null""",
 )
 def panel_lag_features(t):
-    d = B.panel_lags(t.bars_w().select("symbol", "datetime", "close"), 5)
+    d = B.panel_lags(t.bars_w().select("symbol", "datetime", "close"), 5, WEEKLY)
     return rounded(d.drop("close"))
 
 
@@ -442,7 +442,7 @@ def panel_pivot(t):
   window w as (partition by symbol order by datetime)) where (i - 1) % 4 = 0 and f is not null""",
 )
 def non_overlapping_forward(t):
-    d = B.every_hth_forward_return(t.bars_w().select("symbol", "datetime", "close"), 4)
+    d = B.every_hth_forward_return(t.bars_w().select("symbol", "datetime", "close"), 4, s=WEEKLY)
     return rounded(d.drop("close"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
-from ..functions.ordered import BARS, Ordered, rolling
+from ..functions.ordered import WEEKLY, Ordered, rolling
 from ..operators import features as X
 from ..operators import xs
 from . import sqlgen as S
@@ -51,7 +51,7 @@ view(
 )
 def order_flow_features(t):
     d = rolling(
-        t.bars_w(), BARS, [lambda w: X.flow_ratios(), X.flow_zscores], back=X.FLOW_WINDOWS[-1]
+        t.bars_w(), WEEKLY, [lambda w: X.flow_ratios(), X.flow_zscores], back=X.FLOW_WINDOWS[-1]
     )
     return rounded(d.select("symbol", "datetime", "taker_buy_ratio", *FLOW[:2], *Z_COLS))
 
@@ -79,7 +79,7 @@ def vol_features(t):
 
     d = rolling(
         t.bars_w().select("symbol", "datetime", "close"),
-        BARS,
+        WEEKLY,
         [lambda w: {"log_return": log_return(w)}, X.realized_vols, X.vol_shape],
         back=1 + 2 * X.VOL_WINDOWS[-1],
     )
@@ -88,7 +88,7 @@ def vol_features(t):
 
 @query("45, 46, 59", f"select symbol, datetime, {S.rnd(MOM)} from features_w")
 def momentum_features(t):
-    d = rolling(t.bars_w().select("symbol", "datetime", "close"), BARS, X.momenta, back=12)
+    d = rolling(t.bars_w().select("symbol", "datetime", "close"), WEEKLY, X.momenta, back=12)
     return rounded(d.drop("close"))
 
 
@@ -105,7 +105,7 @@ view(
   round({S.z("funding_rate", 20)}, 6) as funding_rate_z20 from bars_funding""",
 )
 def funding_feature(t):
-    d = X.add_funding(t.bars_w().select("symbol", "datetime"), t.funding())
+    d = X.add_funding(t.bars_w().select("symbol", "datetime"), t.funding(), WEEKLY)
     return rounded(d.select("symbol", "datetime", "funding_rate_z20")).join(
         rounded(d.select("symbol", "datetime", "funding_rate"), nudge=NUDGE), ["symbol", "datetime"]
     )
@@ -115,7 +115,7 @@ def funding_feature(t):
     "36, 48", f"select symbol, datetime, {S.rnd([*RAW, 'fwd_return_1'])} from features_w"
 )
 def raw_feature_bundle(t):
-    return rounded(X.raw_features(t.bars_w()).select("symbol", "datetime", *RAW, "fwd_return_1"))
+    return rounded(X.raw_features(t.bars_w(), WEEKLY).select("symbol", "datetime", *RAW, "fwd_return_1"))
 
 
 CS = ["momentum_4", "realized_vol_8"]
@@ -132,7 +132,7 @@ def _cs_sql(cols: list[str]) -> str:
 
 @query("49, 50, 51", f"select symbol, datetime, {_cs_sql(CS)} from features_w")
 def cross_sectional_features(t):
-    d = X.raw_features(t.bars_w()).select("symbol", "datetime", *CS)
+    d = X.raw_features(t.bars_w(), WEEKLY).select("symbol", "datetime", *CS)
     return rounded(xs.cross_section(d, CS).drop(*CS))
 
 
@@ -145,7 +145,7 @@ NON_CYC = [c for c in RAW if c not in CYC]
 )
 def feature_panel(t):
     return rounded(
-        X.feature_panel(t.bars_w(), NON_CYC).drop(
+        X.feature_panel(t.bars_w(), NON_CYC, s=WEEKLY).drop(
             "open", "high", "low", "close", "volume", "count", "taker_buy_volume"
         )
     )
@@ -158,7 +158,7 @@ def feature_panel(t):
 from features_w where realized_vol_24 > 1e-12""",
 )
 def vol_targets(t):
-    d = X.raw_features(t.bars_w()).where(F.col("realized_vol_24") > 1e-12)
+    d = X.raw_features(t.bars_w(), WEEKLY).where(F.col("realized_vol_24") > 1e-12)
     pred = ratio("momentum_4", "realized_vol_24")
     return rounded(
         d.select(
@@ -197,7 +197,7 @@ where realized_vol_20 > 1e-12""",
     f"select symbol, datetime, {S.rnd('trailing_sharpe realized_vol_20')}, round(market_cap, 2) as market_cap from quality",
 )
 def quality_features(t):
-    d = X.quality_features(t.bars_w().select("symbol", "datetime", "close"), caps(t))
+    d = X.quality_features(t.bars_w().select("symbol", "datetime", "close"), caps(t), WEEKLY)
     d = d.select("symbol", "datetime", "trailing_sharpe", "realized_vol_20", "market_cap")
     return rounded(d.drop("market_cap")).join(
         rounded(d.select("symbol", "datetime", "market_cap"), 2), ["symbol", "datetime"]
@@ -209,7 +209,7 @@ def quality_features(t):
     f"select symbol, datetime, round({S.roll('sum', 'log_return', 12)}, 6) as trend from feat1",
 )
 def trend_sum(t):
-    d = X.trend_sum(t.bars_w().select("symbol", "datetime", "close"), 12)
+    d = X.trend_sum(t.bars_w().select("symbol", "datetime", "close"), 12, WEEKLY)
     return rounded(d.select("symbol", "datetime", "trend"))
 
 
@@ -231,7 +231,7 @@ select product, date, {S.rnd("carry_signal mom_4 mom_13 mom_26 fwd_return_1 fwd_
 def carry_momentum_signals(t):
     from ..functions.exprs import log_return
 
-    s = Ordered(("product",), ("date",), 256)
+    s = Ordered(("product",), ("date",), step=1)
     c = rolling(t.curve(), s, lambda w: {"ret": log_return(w, "close_f1")}, back=1)
     looks = {"mom_4": 4, "mom_13": 13, "mom_26": 26}
     d = X.product_signals(c, "ret", looks, 5, s)
@@ -268,14 +268,15 @@ select p.symbol, p.date, p.basket, round(momentum_4, 6) as momentum_4, round(fwd
   round({_pct("p.date")}, 6) as rank_panel_momentum_4, round({_pct("p.date, p.basket")}, 6) as rank_basket_momentum_4,
   round(sin(2 * pi() * (isodow(p.date) - 1) / 5), 6) as cal_dow_sin, round(cos(2 * pi() * (isodow(p.date) - 1) / 5), 6) as cal_dow_cos,
   round(sin(2 * pi() * month(p.date) / 12), 6) + 0.0 as cal_month_sin, round(cos(2 * pi() * month(p.date) / 12), 6) + 0.0 as cal_month_cos,
-  round(close_f1 - close_f2, 6) as spread_12, round(close_f2 - close_f3, 6) as spread_23
+  round(close_f1 - close_f2 + 3.13713e-8, 6) as spread_12, round(close_f2 - close_f3 + 3.13713e-8, 6) as spread_23
 from p left join curve c on c.product = p.basket and c.date = p.date""",
 )
 def pooled_panel(t):
-    d = rolling(t.bars_w().select("symbol", "datetime", "close"), BARS, X.momenta, back=12)
+    d = rolling(t.bars_w().select("symbol", "datetime", "close"), WEEKLY, X.momenta, back=12)
     d = d.join(baskets(t), "symbol").withColumn("date", F.to_date("datetime"))
     d = d.select("symbol", "date", "basket", "close", "momentum_4")
     d = X.pooled_panel(d, ["momentum_4"], "close", 4, t.curve()).drop("close")
+    d = d.withColumns({c: F.col(c) + NUDGE for c in ("spread_12", "spread_23")})
     return rounded(d).withColumns(
         {c: F.col(c).cast("double") for c in ("realized_1d_sign", "trailing_60d_sign")}
     )
@@ -296,11 +297,11 @@ def block_shuffle(t):
 
     d = rolling(
         t.bars_w().select("symbol", "datetime", "close"),
-        BARS,
+        WEEKLY,
         lambda w: {"fwd_return_1": forward_return(w)},
         back=0,
         ahead=1,
     )
-    return rounded(X.block_shuffle(d.drop("close"), ["fwd_return_1"], 13, 7))
+    return rounded(X.block_shuffle(d.drop("close"), ["fwd_return_1"], 13, 7, WEEKLY))
 
 

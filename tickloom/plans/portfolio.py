@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.exprs import log_return, ratio, roll_mean, roll_std
-from ..functions.ordered import BARS, rolling
+from ..functions.ordered import WEEKLY, rolling
 from ..operators import features as X
 from ..operators import xs
 from . import sqlgen as S
@@ -19,6 +19,9 @@ from features_w""",
 )
 
 
+NAMES = 25  # rows of the nation table, which names the weekly symbols
+
+
 def signals(t):
     """Weekly panel with a prediction, a size and the next return."""
     def base(w):
@@ -29,7 +32,7 @@ def signals(t):
         }
 
     b = t.bars_w().select("symbol", "datetime", "close", "volume")
-    d = rolling(b, BARS, [base, lambda w: {"size": roll_std("log_return", w, 8)}], 12, 1)
+    d = rolling(b, WEEKLY, [base, lambda w: {"size": roll_std("log_return", w, 8)}], 12, 1)
     return d.drop("log_return")
 
 
@@ -53,7 +56,7 @@ view("weights_w", dn_sql("(select * from sig where pred is not null)", "1"))
 
 
 def weights_w(t):
-    return xs.dollar_neutral_weights(signals(t), "pred")
+    return xs.dollar_neutral_weights(signals(t), "pred", names=NAMES)
 
 
 @query("63", "select symbol, datetime, round(weight, 6) as weight from weights_w")
@@ -67,7 +70,7 @@ def dollar_neutral_weights(t):
 select symbol, datetime, round(weight, 6) as weight from x""",
 )
 def sized_weights(t):
-    return rounded(xs.dollar_neutral_weights(signals(t), "pred", size="size", cap=0.1))
+    return rounded(xs.dollar_neutral_weights(signals(t), "pred", size="size", cap=0.1, names=NAMES))
 
 
 BAND = """with recursive a as (select *, rn > n - ke as li, rn <= ke as si, rn > n - kx as lk, rn <= kx as sk from (
@@ -94,7 +97,7 @@ y as ({legs_sql("x", "leg = 1", "leg = 2", "1", 0.25)})
 select symbol, datetime, round(weight, 6) as weight from y""",
 )
 def banded_weights(t):
-    return rounded(xs.banded_weights(signals(t), "pred", 0.1))
+    return rounded(xs.banded_weights(signals(t), "pred", 0.1, s=WEEKLY, names=NAMES))
 
 
 @query(
@@ -114,7 +117,7 @@ select symbol, datetime, round(coalesce(last_value(case when bar % 4 = 0 then we
   over (partition by symbol order by datetime), 0), 6) as weight from a""",
 )
 def throttled_weights(t):
-    return rounded(xs.throttle(weights_w(t), 4))
+    return rounded(xs.throttle(weights_w(t), 4, WEEKLY))
 
 
 view(
@@ -128,7 +131,7 @@ def var_w(t):
         return {"var_forecast": -2.326 * roll_std("log_return", w, 8)}
 
     b = t.bars_w().select("symbol", "datetime", "close")
-    return rolling(b, BARS, [lambda w: {"log_return": log_return(w)}, second], 9).drop("close")
+    return rolling(b, WEEKLY, [lambda w: {"log_return": log_return(w)}, second], 9).drop("close")
 
 
 NOW = "order by datetime"
@@ -147,7 +150,7 @@ from weights_w w left join book_scale_w b on w.datetime = b.datetime""",
 )
 def standdown_weights(t):
     v = var_w(t).where(F.col("var_forecast").isNotNull())
-    return rounded(xs.apply_book_scale(weights_w(t), xs.book_standdown(v, 1.1, 60)))
+    return rounded(xs.apply_book_scale(weights_w(t), xs.book_standdown(v, 1.1, 60, s=WEEKLY)))
 
 
 @query(
@@ -155,7 +158,7 @@ def standdown_weights(t):
     "select datetime, cast(book_scale as double) as book_scale from book_scale_w",
 )
 def book_standdown(t):
-    return xs.book_standdown(var_w(t).where(F.col("var_forecast").isNotNull()), 1.1, 60)
+    return xs.book_standdown(var_w(t).where(F.col("var_forecast").isNotNull()), 1.1, 60, s=WEEKLY)
 
 
 view(
@@ -168,7 +171,7 @@ TILT = "case when ref is not null and abs(var_forecast) > 0 then tilt0 end"
 
 @query("68, 69", f"select symbol, datetime, round({TILT}, 6) as tilt from tilt_w")
 def overlay_tilt(t):
-    return rounded(xs.overlay_weight(var_w(t), 60))
+    return rounded(xs.overlay_weight(var_w(t), 60, s=WEEKLY))
 
 
 @query(
@@ -177,7 +180,7 @@ def overlay_tilt(t):
 from sig s left join tilt_w t on s.symbol = t.symbol and s.datetime = t.datetime""",
 )
 def tilted_panel(t):
-    d = xs.apply_tilt(signals(t).select("symbol", "datetime", "pred"), xs.overlay_weight(var_w(t), 60))
+    d = xs.apply_tilt(signals(t).select("symbol", "datetime", "pred"), xs.overlay_weight(var_w(t), 60, s=WEEKLY))
     return rounded(d)
 
 
@@ -196,7 +199,7 @@ def liquidity(t):
         }
 
     b = t.bars_w().select("symbol", "datetime", "close", "volume")
-    d = rolling(b, BARS, [lambda w: {"log_return": log_return(w)}, second], 27)
+    d = rolling(b, WEEKLY, [lambda w: {"log_return": log_return(w)}, second], 27)
     return d.select("symbol", "datetime", "sharpe", "dvol")
 
 
@@ -224,7 +227,7 @@ from bars_w b left join (select b.symbol, datetime,
 
 def eligible(t):
     d = t.bars_w().select("symbol", "datetime").join(caps(t), "symbol", "left")
-    return xs.cap_eligibility(d, "market_cap", 3, 4)
+    return xs.cap_eligibility(d, "market_cap", 3, 4, NAMES)
 
 
 @query("73", "select symbol, datetime, long_ok, short_ok from elig_w")
@@ -253,7 +256,7 @@ def leg_book_returns(t):
         F.coalesce("fwd_return_1", F.lit(0.0)).alias("ret"),
         F.lit(0.0001).alias("funding_cost"),
     )
-    return rounded(xs.book_returns(d, 0.6, 0.4, 0.0005))
+    return rounded(xs.book_returns(d, 0.6, 0.4, 0.0005, WEEKLY))
 
 
 PVS = {"AFRICA": (10.0, 8.0), "AMERICA": (5.0, 5.0), "ASIA": (2.0, 4.0), "EUROPE": (1.0, 1.0), "MIDDLE EAST": (3.0, 2.0)}
@@ -320,7 +323,7 @@ where pred is not null and size is not null""",
 )
 def kelly_and_impact(t):
     adv = lambda w: {"adv": F.avg(F.col("volume") * F.col("close")).over(w.rowsBetween(-7, 0))}
-    d = rolling(signals(t), BARS, adv, 8).dropna(subset=["pred", "size"])
+    d = rolling(signals(t), WEEKLY, adv, 8).dropna(subset=["pred", "size"])
     return rounded(
         d.select(
             "symbol",

@@ -38,6 +38,8 @@ def _with_views(sql: str) -> str:
         return sql
     head = ",\n".join(f"{n} as materialized ({known[n]})" for n in need)
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {head},\n{body[15:]}"
     if body[:5].lower() == "with ":
         return f"with {head},\n{body[5:]}"
     return f"with {head}\n{body}"
