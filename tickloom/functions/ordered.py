@@ -530,8 +530,18 @@ def value_ranks(
     return running(vals, s, {"_cum": ("sum", F.col("_n"))}).drop("_vcell")
 
 
-def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Rank with ties averaged, 1-based, ascending; null values rank null."""
+def average_rank(
+    df: DataFrame, keys: Sequence[str], value: str, out: str, names: int | None = None
+) -> DataFrame:
+    """Rank with ties averaged, 1-based, ascending; null values rank null.
+
+    ``names`` bounds the rows of a group, as in ``row_numbers``.
+    """
+    if names is not None and names <= CHUNK_ROWS:
+        some = F.col(value).isNotNull()
+        low = F.rank().over(Window.partitionBy(*keys, some).orderBy(value))
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
+        return df.withColumn(out, F.when(some, low + (ties - 1) / 2.0))
     r = value_ranks(df.select(*keys, value), keys, value)
     r = r.select(*keys, value, (F.col("_cum") - (F.col("_n") - 1) / 2.0).alias(out))
     return df.join(r, [*keys, value], "left").select(*df.columns, out)

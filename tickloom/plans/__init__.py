@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES, ROWS, oracle_texts
 
-THEMES = ("bars", "features", "portfolio", "pnl", "quality")
+THEMES = ("bars", "features", "portfolio", "pnl", "quality", "inference", "folds")
 MODULES: dict[str, str] = {}
 for _theme in THEMES:
     _seen = set(QUERIES)

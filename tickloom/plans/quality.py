@@ -19,13 +19,13 @@ WP = "partition by product order by date"
 view(
     "flagged",
     """select c.product, c.date, c.contract_id, c.close, c.volume,
-  (n_days >= 10 and share > 0.4) or (bad and c.volume < 150) as contaminated from (
+  (n_days >= 10 and share > 0.4) or (bad and c.volume < 80) as contaminated from (
  select *, avg(cast(bad as int)) over (partition by product, contract_id) as share,
   count(*) over (partition by product, contract_id) as n_days from (
-  select *, abs(close - anchor) / greatest(abs(anchor), 1e-9) > 0.3 as bad from (
+  select *, abs(close - anchor) / greatest(abs(anchor), 1e-9) > 0.8e0 as bad from (
    select *, first_value(close) over (partition by product, date order by volume desc, contract_id) as anchor from contract_bars))) c""",
 )
-FLAG = {"volume": 150, "junk_share": 0.4}
+FLAG = {"deviation": 0.8, "volume": 80, "junk_share": 0.4}
 
 
 @query("126", "select product, date, contract_id, contaminated from flagged")
@@ -286,7 +286,7 @@ view("macro_pub", pub_sql("macro_long", "3"))
 
 @query(
     "82",
-    """select d.symbol, d.date, m.series, round(case when d.date - m.pub <= 2 then m.value end + 3.13713e-8, 6) as value from (
+    """select d.symbol, d.date, d.series, round(case when d.date - m.pub <= 2 then m.value end + 3.13713e-8, 6) as value from (
  select distinct symbol, cast(datetime as date) as date, s.series from bars_w, (select distinct series from macro_long) s) d
 asof left join macro_pub m on d.series = m.series and d.date >= m.pub""",
 )
