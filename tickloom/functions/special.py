@@ -1,4 +1,4 @@
-"""Tail probabilities. Summary rows use the plain functions, columns the UDFs."""
+"""Tail probabilities as vectorized columns, and the few scalars behind them."""
 
 from __future__ import annotations
 
@@ -13,19 +13,13 @@ from pyspark.sql import functions as F
 _ND = NormalDist()
 
 
-@F.pandas_udf("double")
-def norm_cdf(x: pd.Series) -> pd.Series:
-    """Standard normal distribution function."""
-    v = x.to_numpy(float)
-    out = np.array([0.5 * math.erfc(-q / math.sqrt(2.0)) if q == q else np.nan for q in v])
+def _cdf(x: pd.Series) -> pd.Series:
+    out = np.array([0.5 * math.erfc(-q / math.sqrt(2.0)) for q in x.to_numpy(float)])
     return pd.Series(out).where(~np.isnan(out), None)
 
 
-@F.pandas_udf("double")
-def norm_ppf(p: pd.Series) -> pd.Series:
-    """Standard normal quantile, null outside (0, 1)."""
-    v = p.to_numpy(float)
-    out = np.array([_ND.inv_cdf(q) if 0.0 < q < 1.0 else np.nan for q in v])
+def _ppf(p: pd.Series) -> pd.Series:
+    out = np.array([_ND.inv_cdf(q) if 0.0 < q < 1.0 else np.nan for q in p.to_numpy(float)])
     return pd.Series(out).where(~np.isnan(out), None)
 
 
@@ -36,23 +30,34 @@ def _chi2_tail(x: float, k: float) -> float:
     h = x / 2.0
     if h == 0.0:
         return 1.0
-    if int(k) % 2 == 0:
-        q, a = math.exp(-h), 1.0
-    else:
-        q, a = math.erfc(math.sqrt(h)), 0.5
+    q, a = (math.exp(-h), 1.0) if int(k) % 2 == 0 else (math.erfc(math.sqrt(h)), 0.5)
     while a < k / 2.0:
         q += math.exp(a * math.log(h) - h - math.lgamma(a + 1.0))
         a += 1.0
     return min(1.0, q)
 
 
-@F.pandas_udf("double")
-def chi2_sf(x: pd.Series, k: pd.Series) -> pd.Series:
-    """Upper tail of chi-square with a whole number of degrees of freedom."""
-    out = np.array([_chi2_tail(a, b) for a, b in zip(x.to_numpy(float), k.to_numpy(float), strict=True)])
+def _chi2(x: pd.Series, k: pd.Series) -> pd.Series:
+    pairs = zip(x.to_numpy(float), k.to_numpy(float), strict=True)
+    out = np.array([_chi2_tail(a, b) for a, b in pairs])
     return pd.Series(out).where(~np.isnan(out), None)
 
 
+def norm_cdf(x: Column) -> Column:
+    """Standard normal distribution function."""
+    return F.pandas_udf(_cdf, "double")(x)
+
+
+def norm_ppf(p: Column) -> Column:
+    """Standard normal quantile, null outside (0, 1)."""
+    return F.pandas_udf(_ppf, "double")(p)
+
+
+def chi2_sf(x: Column, k: Column) -> Column:
+    """Upper tail of chi-square with a whole number of degrees of freedom."""
+    return F.pandas_udf(_chi2, "double")(x, k)
+
+
 def two_sided(t: Column) -> Column:
     """Two-sided normal p-value."""
     return 2 * norm_cdf(-F.abs(t))

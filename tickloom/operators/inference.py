@@ -19,7 +19,7 @@ from ..functions.ordered import (
     running,
     value_ranks,
 )
-from ..functions.special import chi2_sf, norm_cdf, norm_ppf, two_sided
+from ..functions.special import chi2_sf, norm_cdf, norm_quantile, two_sided
 from ..session import materialize
 from .align import asof_join
 from .features import hash_int
@@ -233,8 +233,8 @@ def deflated_sharpe(configs: DataFrame, ret: str, key: str, n_trials: int) -> Da
     var = (1 - F.col("skew") * sr + (F.col("kurt") - 1) / 4 * sr * sr) / (F.col("n_obs") - 1)
     g = g.where(F.col("n_obs") > 1).withColumn("sr_std", F.sqrt(var))
     if n_trials > 1:
-        zs = (1 - EULER_GAMMA) * norm_ppf(F.lit(1 - 1 / n_trials)) + EULER_GAMMA * norm_ppf(
-            F.lit(1 - 1 / (n_trials * math.e))
+        zs = (1 - EULER_GAMMA) * norm_quantile(1 - 1 / n_trials) + EULER_GAMMA * norm_quantile(
+            1 - 1 / (n_trials * math.e)
         )
         g = g.withColumn("expected_max_sharpe", F.col("sr_std") * zs)
     else:

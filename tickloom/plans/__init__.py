@@ -6,7 +6,16 @@ import importlib
 
 from .registry import ORACLES, QUERIES, ROWS, oracle_texts
 
-THEMES = ("bars", "features", "portfolio", "pnl", "quality", "inference", "folds")
+THEMES = (
+    "bars",
+    "features",
+    "portfolio",
+    "pnl",
+    "quality",
+    "inference",
+    "folds",
+    "curves",
+)
 MODULES: dict[str, str] = {}
 for _theme in THEMES:
     _seen = set(QUERIES)

@@ -199,14 +199,15 @@ view(
 
 @query(
     "152",
-    f"""select symbol, count(*) as no_bars, count(case when p <> 0 then 1 end) as no_trades, round(count(case when p <> 0 then 1 end) / count(*), 6) as frac_time_in_market,
- round(coalesce(avg(cast(is_won as int)), 0), 6) as win_rate, {metric_sql("r", "dd", "sqrt(52)")}, {metric_sql("net", "ddn", "sqrt(52)", "_net")}, {COST_SQL} from wf_trades group by 1""",
+    f"""select * exclude (compound_return, compound_return_net) from (select symbol, count(*) as no_bars, count(case when p <> 0 then 1 end) as no_trades, round(count(case when p <> 0 then 1 end) / count(*), 6) as frac_time_in_market,
+ round(coalesce(avg(cast(is_won as int)), 0), 6) as win_rate, {metric_sql("r", "dd", "sqrt(52)")}, {metric_sql("net", "ddn", "sqrt(52)", "_net")}, {COST_SQL} from wf_trades group by 1)""",
 )
 def walk_forward_run(t):
     d = one_model(t).select("symbol", "datetime", "pred", "fwd_return_1")
     d = P.trade_frame(d, "pred", "fwd_return_1", WEEKLY)
     d = P.add_trading_costs(d, WEEKLY, 0.0004)
-    return rounded(P.stitched_metrics(d, ["symbol"], ANN))
+    m = P.stitched_metrics(d, ["symbol"], ANN)
+    return rounded(m.drop("compound_return", "compound_return_net"))
 
 
 @query("154")

@@ -37,7 +37,7 @@ def nw_sql(src: str, x: str, part: str, order: str, lag: str, top: int) -> str:
     )
     return f"""select {cols} n, mean, mean / nullif(sqrt(greatest(c0 / n + {sums}, 0) / n), 0) as tstat from (
  select {cols} max(n) as n, max(m) as mean, sum(d * d) as c0, {", ".join(f"sum(p{k}) as c{k}" for k in range(1, top + 1))} from (
-  select *, {prods} from (select *, {x} - avg({x}) over ({p}) as d, avg({x}) over ({p}) as m, count(*) over ({p}) as n
+  select *, {prods} from (select {cols} {order}, {x} - avg({x}) over ({p}) as d, avg({x}) over ({p}) as m, count(*) over ({p}) as n
    from {src} where {x} is not null)) {grp}) where n >= 2"""
 
 

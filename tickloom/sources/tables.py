@@ -155,6 +155,27 @@ class Tables:
             )
         )
 
+    def contract_px(self) -> DataFrame:
+        """Weekly prices by product and contract month (ship month + line)."""
+        price = F.col("l_extendedprice") / F.col("l_quantity")
+        month = F.date_format(F.add_months("l_shipdate", F.col("l_linenumber")), "yyyy-MM")
+        return (
+            self._lines()
+            .join(self.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+            .groupBy(
+                F.col("r_name").alias("product"),
+                F.date_trunc("week", "l_shipdate").cast("date").alias("date"),
+                month.alias("contract_month"),
+            )
+            .agg(
+                F.min_by(price, F.struct(*LINE_ORDER)).alias("open"),
+                F.max(price).alias("high"),
+                F.min(price).alias("low"),
+                F.max_by(price, F.struct(*LINE_ORDER)).alias("close"),
+                F.sum("l_quantity").alias("volume"),
+            )
+        )
+
     def daily(self) -> DataFrame:
         """Daily bars of the hourly symbols, on a plain date."""
         t = self.trades()
@@ -194,6 +215,11 @@ from orders join customer on o_custkey = c_custkey
        avg(o_totalprice) / 1000 as value from orders group by 1, 2""",
     "contract_bars": """select r_name as product, cast(date_trunc('week', l_shipdate) as date) as date,
        l_linenumber as contract_id, avg(price) as close, sum(l_quantity) as volume
+from lines join region on n_regionkey = r_regionkey group by 1, 2, 3""",
+    "contract_px": """select r_name as product, cast(date_trunc('week', l_shipdate) as date) as date,
+  strftime(l_shipdate + l_linenumber * interval 1 month, '%Y-%m') as contract_month,
+  arg_min(price, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey)) as open, max(price) as high, min(price) as low,
+  arg_max(price, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey)) as close, sum(l_quantity) as volume
 from lines join region on n_regionkey = r_regionkey group by 1, 2, 3""",
     "curve": """select product, date,
        max(case when contract_id = 1 then close end) as close_f1,
