@@ -15,6 +15,7 @@ THEMES = (
     "inference",
     "folds",
     "curves",
+    "vol",
 )
 MODULES: dict[str, str] = {}
 for _theme in THEMES:
