@@ -67,9 +67,9 @@ def garch_variance(
 ) -> DataFrame:
     """Variance filter at given parameters; ``gamma`` adds the leverage term."""
     d = rolling(
-        df.where(F.col(r).isNotNull()), s, lambda w: {"_p": F.lag(r).over(w)}, back=1
+        df.where(F.col(r).isNotNull()), s, lambda w: {"_prev": F.lag(r).over(w)}, back=1
     )
-    p = F.col("_p")
+    p = F.col("_prev")
     shock = p * p * (F.lit(alpha) + F.when(p < 0, gamma).otherwise(0.0))
     a = F.when(p.isNull(), 0.0).otherwise(beta)
     b = F.when(p.isNull(), start).otherwise(omega + shock)
@@ -113,16 +113,18 @@ def refit_forecast(
     grams = d.where("_fit").select(*s.keys, *s.order, *sums)
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in grams.schema.fields[: len(s.keys) + len(s.order)]]
 
+    names, at = list(sums), [*s.keys, *s.order]
+
     def solve(parts):
         for pdf in parts:
             betas = []
-            for row in pdf[list(sums)].to_numpy():
+            for row in pdf[names].to_numpy():
                 g = np.empty((k + 2, k + 2))
                 for (i, j), v in zip(pairs, row, strict=True):
                     g[i, j] = g[j, i] = v
                 b, *_ = np.linalg.lstsq(g[: k + 1, : k + 1], g[: k + 1, k + 1], rcond=None)
                 betas.append([float(v) for v in b])
-            yield pdf[[*s.keys, *s.order]].assign(_beta=pd.Series(betas, index=pdf.index))
+            yield pdf[at].assign(_beta=pd.Series(betas, index=pdf.index))
 
     beta = grams.mapInPandas(solve, ", ".join([*fields, "_beta array<double>"]))
     d = d.drop(*sums).join(beta, [*s.keys, *s.order], "left")

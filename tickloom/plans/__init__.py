@@ -16,6 +16,7 @@ THEMES = (
     "folds",
     "curves",
     "vol",
+    "regime",
 )
 MODULES: dict[str, str] = {}
 for _theme in THEMES:
