@@ -28,7 +28,8 @@ from .align import carry_fair_value
 from .curves import runs
 
 YEAR = math.sqrt(252.0)
-STORAGE, FINANCING = 0.35, 0.05
+# Storage per month and financing rate.
+STORAGE, FINANCING = 0.45, 0.05
 
 
 # ---- indicators ------------------------------------------------------------
@@ -319,7 +320,8 @@ def band_index(x: Column, bands: Sequence[Band]) -> Column:
 
 
 def instant_label(x: Column, bands: Sequence[Band]) -> Column:
-    return F.element_at(F.array(*[F.lit(b.label) for b in bands]), band_index(x, bands))
+    name = F.element_at(F.array(*[F.lit(b.label) for b in bands]), band_index(x, bands))
+    return F.when(x.isNotNull(), name)
 
 
 def _outside(x: Column, b: Band, margin: float) -> Column:

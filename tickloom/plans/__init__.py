@@ -17,6 +17,8 @@ THEMES = (
     "curves",
     "vol",
     "regime",
+    "spreads",
+    "streams",
 )
 MODULES: dict[str, str] = {}
 for _theme in THEMES:

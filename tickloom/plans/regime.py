@@ -204,7 +204,7 @@ def filled_macro_level(t):
 
 view(
     "scored",
-    f"""select symbol, datetime, z, pc, tanh(z / 2) as s1, 2 * pc - 1 as s2, greatest(-1, least(1, (r10 - 0.0) / 0.8)) as s3, r10 from (
+    f"""select symbol, datetime, z, pc, tanh(z / 2) as s1, 2 * pc - 1 as s2, case when r10 is not null then greatest(-1, least(1, (r10 - 0.0) / 0.8)) end as s3, r10 from (
  select symbol, datetime, {S.z("close", 26)} as z, {pct_sql("close", 26, 26)} as pc, ln(close / lag(close, 10) over ({S.W})) as r10 from bars_w)""",
 )
 MIXED = "case when case when s1 is null then 0 else 0.5 end + case when s2 is null then 0 else 0.2 end + case when s3 is null then 0 else 0.3 end >= 0.5 then (coalesce(s1 * 0.5, 0) + coalesce(s2 * 0.2, 0) + coalesce(s3 * 0.3, 0)) / nullif(case when s1 is null then 0 else 0.5 end + case when s2 is null then 0 else 0.2 end + case when s3 is null then 0 else 0.3 end, 0) end"

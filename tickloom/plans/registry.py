@@ -25,13 +25,15 @@ def _with_views(sql: str) -> str:
     """Prefix the text with the views it names, directly or through others."""
     known = VIEWS | EXTRA_VIEWS
     need: list[str] = []
+    open_: set[str] = set()
 
     def visit(text: str) -> None:
         for name in known:
-            if name not in need and re.search(rf"\b{name}\b", text):
-                visit(known[name])
-                if name not in need:
-                    need.append(name)
+            if name in need or name in open_ or not re.search(rf"\b{name}\b", text):
+                continue
+            open_.add(name)
+            visit(known[name])
+            need.append(name)
 
     visit(sql)
     if not need:
