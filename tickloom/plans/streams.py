@@ -12,7 +12,7 @@ AGG = "arg_min(price, id) as open, max(price) as high, min(price) as low, arg_ma
 
 
 def _trades(t):
-    return T.trade_stream(configure(t.spark), f"{t.path}/events.parquet")
+    return T.trade_stream(configure(t.spark), f"{t.path}/event[s].parquet")
 
 
 @query(
