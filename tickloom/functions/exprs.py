@@ -24,6 +24,13 @@ def log_ratio(a: Column | str, b: Column | str) -> Column:
     return safe_log(ratio(a, b))
 
 
+def tick_key(ts: str, tie: str) -> Column:
+    """(time, tie) as one decimal, so that min_by and max_by over it aggregate
+    by hash; a struct key would force a sort of all ticks before the shuffle."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp")).cast("decimal(17,0)")
+    return micros * F.expr("10000000000000000000BD") + F.col(tie).cast("decimal(19,0)")
+
+
 def clip(x: Column | str, lo: float, hi: float) -> Column:
     c = col(x)
     return F.when(c.isNull(), None).otherwise(F.greatest(F.lit(lo), F.least(F.lit(hi), c)))

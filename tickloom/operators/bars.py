@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import forward_return, log_ratio, log_return, ratio
+from ..functions.exprs import forward_return, log_ratio, log_return, ratio, tick_key
 from ..functions.ordered import BARS, Ordered, rolling, running
 
 LN2 = math.log(2.0)
@@ -23,7 +23,7 @@ def bucket(df: DataFrame, interval: str, aggs: Sequence[Column], keys=("symbol",
 
 def ohlcv(ts: str = "ts", tie: str = "id", price: str = "price", qty: str = "qty") -> list[Column]:
     """Aggregates that turn ticks into a bar."""
-    key = F.struct(ts, tie)
+    key = tick_key(ts, tie)
     return [
         F.min_by(price, key).alias("open"),
         F.max(price).alias("high"),
@@ -86,7 +86,7 @@ def vol_signature(
     m = F.hour(ts) * 60 + F.minute(ts)
     f = d.select("*", F.explode(F.array(*[F.lit(x) for x in freqs])).alias("freq"))
     f = f.withColumn("bucket", F.floor(m / F.col("freq")) * F.col("freq"))
-    last = F.struct(ts, tie) if tie else F.col(ts)
+    last = tick_key(ts, tie) if tie else F.col(ts)
     b = f.groupBy(*keys, "freq", "date_local", "bucket").agg(F.max_by("close", last).alias("close"))
     # at most 1440 buckets per day: a bounded window group
     w = Window.partitionBy(*keys, "freq", "date_local").orderBy("bucket")

@@ -8,10 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exprs import tick_key
 from ..session import configure
 
-LINE_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-
 
 class Tables:
     """Lazy access to one data directory."""
@@ -42,7 +41,7 @@ class Tables:
 
     def bars_1h(self) -> DataFrame:
         t = self.trades()
-        key = F.struct("ts", "id")
+        key = tick_key("ts", "id")
         return t.groupBy("symbol", F.date_trunc("hour", "ts").alias("datetime")).agg(
             F.min_by("price", key).alias("open"),
             F.max("price").alias("high"),
@@ -55,26 +54,44 @@ class Tables:
             ),
         )
 
-    def bars_w(self) -> DataFrame:
+    def _priced(self, lines: DataFrame, keys: list[Column]) -> DataFrame:
+        """Open, high, low, close and volume of line prices by the given keys.
+
+        First per ship date, where the rest of the order key fits one decimal,
+        then over the dates: both steps aggregate by hash before the shuffle.
+        """
         price = F.col("l_extendedprice") / F.col("l_quantity")
-        key = F.struct(*LINE_ORDER)
-        return (
-            self._lines()
-            .groupBy(
-                F.col("n_name").alias("symbol"), F.date_trunc("week", "l_shipdate").alias("datetime")
-            )
-            .agg(
-                F.min_by(price, key).alias("open"),
-                F.max(price).alias("high"),
-                F.min(price).alias("low"),
-                F.max_by(price, key).alias("close"),
-                F.sum("l_quantity").alias("volume"),
-                F.count(F.lit(1)).alias("count"),
-                F.sum(
-                    F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0)
-                ).alias("taker_buy_volume"),
-            )
+        key = F.expr(
+            "cast(l_orderkey as decimal(15,0)) * 100000000000000000000000BD"
+            " + cast(l_linenumber as decimal(2,0)) * 1000000000000000000000BD"
+            " + cast(l_partkey as decimal(11,0)) * 10000000000BD"
+            " + cast(l_suppkey as decimal(10,0))"
+        )
+        day = lines.groupBy(*keys, "l_shipdate").agg(
+            F.min_by(price, key).alias("open"),
+            F.max(price).alias("high"),
+            F.min(price).alias("low"),
+            F.max_by(price, key).alias("close"),
+            F.sum("l_quantity").alias("volume"),
+            F.count(F.lit(1)).alias("count"),
+            F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0)).alias(
+                "taker_buy_volume"
+            ),
         )
+        made = ("l_shipdate", "open", "high", "low", "close", "volume", "count", "taker_buy_volume")
+        return day.groupBy(*[c for c in day.columns if c not in made]).agg(
+            F.min_by("open", "l_shipdate").alias("open"),
+            F.max("high").alias("high"),
+            F.min("low").alias("low"),
+            F.max_by("close", "l_shipdate").alias("close"),
+            F.sum("volume").alias("volume"),
+            F.sum("count").alias("count"),
+            F.sum("taker_buy_volume").alias("taker_buy_volume"),
+        )
+
+    def bars_w(self) -> DataFrame:
+        week = F.date_trunc("week", "l_shipdate").alias("datetime")
+        return self._priced(self._lines(), [F.col("n_name").alias("symbol"), week])
 
     def funding(self) -> DataFrame:
         return (
@@ -157,29 +174,21 @@ class Tables:
 
     def contract_px(self) -> DataFrame:
         """Weekly prices by product and contract month (ship month + line)."""
-        price = F.col("l_extendedprice") / F.col("l_quantity")
         month = F.date_format(F.add_months("l_shipdate", F.col("l_linenumber")), "yyyy-MM")
-        return (
-            self._lines()
-            .join(self.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .groupBy(
-                F.col("r_name").alias("product"),
-                F.date_trunc("week", "l_shipdate").cast("date").alias("date"),
-                month.alias("contract_month"),
-            )
-            .agg(
-                F.min_by(price, F.struct(*LINE_ORDER)).alias("open"),
-                F.max(price).alias("high"),
-                F.min(price).alias("low"),
-                F.max_by(price, F.struct(*LINE_ORDER)).alias("close"),
-                F.sum("l_quantity").alias("volume"),
-            )
+        lines = self._lines().join(
+            self.read("region"), F.col("n_regionkey") == F.col("r_regionkey")
         )
+        keys = [
+            F.col("r_name").alias("product"),
+            F.date_trunc("week", "l_shipdate").cast("date").alias("date"),
+            month.alias("contract_month"),
+        ]
+        return self._priced(lines, keys).drop("count", "taker_buy_volume")
 
     def daily(self) -> DataFrame:
         """Daily bars of the hourly symbols, on a plain date."""
         t = self.trades()
-        key = F.struct("ts", "id")
+        key = tick_key("ts", "id")
         return t.groupBy("symbol", F.col("ts").cast("date").alias("date")).agg(
             F.min_by("price", key).alias("open"),
             F.max("price").alias("high"),
