@@ -462,14 +462,14 @@ def trade_atlas(t):
 @query(
     "120",
     """with g as (select bps, avg(trade_log_return - bps / 1e4 * turnover) / stddev_pop(trade_log_return - bps / 1e4 * turnover) as s
- from (select abs(trade_log_return) * 0.05 + trade_log_return as trade_log_return, turnover from frame_w), (select unnest(range(0, 401)) * 0.5 as bps) group by 1)
+ from (select abs(trade_log_return) + trade_log_return as trade_log_return, turnover from frame_w), (select unnest(range(0, 401)) * 100.0 as bps) group by 1)
 select cast(case when max(case when bps = 0 then s end) > 0 then min(case when s <= 0 then bps end) end as double) as breakeven_bps from g""",
 )
 def breakeven_cost(t):
     f = frame_w(t).withColumn(
-        "trade_log_return", F.abs("trade_log_return") * 0.05 + F.col("trade_log_return")
+        "trade_log_return", F.abs("trade_log_return") + F.col("trade_log_return")
     )
-    return P.breakeven_cost(f, "trade_log_return", "turnover", [i * 0.5 for i in range(401)])
+    return P.breakeven_cost(f, "trade_log_return", "turnover", [i * 100.0 for i in range(401)])
 
 
 @query(
