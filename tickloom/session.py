@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,23 +20,39 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach; a local one only when none is set."""
+    """The folder all executors can reach.
+
+    A single-process master may use a local one; any other must name it in
+    ``spark.checkpoint.dir``, since executors would each write to their own disk.
+    """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-tickloom-")
         sc.setCheckpointDir(path)
     return path
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tickloom/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write once to the shared folder and read it back.
 
     Worth it where a deep plan is read by several later branches. The table
     survives lost executors, keeps column pruning, and gives the planner true
-    sizes for its join choices.
+    sizes for its join choices. ``release`` removes an application's tables.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tickloom/{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table this application has materialized."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
