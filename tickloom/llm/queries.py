@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunkdedup, mixing, nbsvm, packing, simhash, weakrules
+from . import chatsql, chatwindows, chunkdedup, mixing, nbsvm, packing, simhash, weakrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,18 @@ def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+@query
+def op6_budgeted_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(chatsql.PROBE).alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chatwindows.read_back(chatwindows.windows(turns))
+
+
+ORACLES["op6_budgeted_chat"] = chatsql.CHAT
