@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,30 +38,25 @@ def running_start(df: DataFrame, order: list[str], value: str, group: str | None
     src = df if group else df.withColumn("_all", F.lit(0))
     fields = [*src.schema.fields, T.StructField("pid", T.IntegerType()), T.StructField("start", T.LongType())]
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         pid, last, carry = TaskContext.get().partitionId(), object(), 0
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
-            v = b[value].to_numpy(dtype=np.int64)
-            k = b[key].to_numpy(dtype=object)
+            v = b.column(b.schema.get_field_index(value)).to_numpy(zero_copy_only=False).astype(np.int64)
+            k = b.column(b.schema.get_field_index(key)).to_pylist()
             run = np.cumsum(v) - v
-            new = np.array([True, *[x != y for x, y in zip(k[1:], k[:-1], strict=True)]])
-            first = np.flatnonzero(new)
-            base = np.repeat(run[first], np.diff([*first, len(b)]))
-            run = run - base
+            first = np.array([0, *[i for i in range(1, len(k)) if k[i] != k[i - 1]]])
+            run = run - np.repeat(run[first], np.diff([*first, len(k)]))
             if k[0] == last:
                 run[: first[1] if len(first) > 1 else None] += carry
             last, carry = k[-1], int(run[-1] + v[-1])
-            b = b.copy()
-            b["pid"], b["start"] = np.int32(pid), run
-            yield b
+            more = [pa.array(np.full(len(k), pid, np.int32)), pa.array(run)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "pid", "start"])
 
-    local = stage(
-        src.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(sums, T.StructType(fields))
-    )
+    local = stage(src.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(sums, T.StructType(fields)))
     totals = local.groupBy(key, "pid").agg(F.sum(value).alias("t")).collect()
     base, acc = [], {}
     for r in sorted(totals, key=lambda r: r["pid"]):

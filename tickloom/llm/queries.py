@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatsql, chatwindows, chunkdedup, mixing, nbsvm, packing, simhash, weakrules
+from . import chatsql, chatwindows, chunkdedup, htmlcrf, mixing, nbsvm, packing, simhash, weakrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,8 @@ def op6_budgeted_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_budgeted_chat"] = chatsql.CHAT
+
+
+@query
+def op10_crf_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlcrf.extract(table(spark, sf_dir, "pages"))
