@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatsql, chatwindows, chunkdedup, htmlcrf, mixing, nbsvm, packing, simhash, weakrules
+from . import chatsql, chatwindows, chunkdedup, htmlcrf, licenserules, mixing, nbsvm, packing, progjpeg, simhash, weakrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,24 @@ ORACLES["op6_budgeted_chat"] = chatsql.CHAT
 @query
 def op10_crf_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlcrf.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenserules.licences(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = progjpeg.stored(table(spark, sf_dir, "documents"))
+    back = progjpeg.read(media, keep_tensors=False)
+    return back.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
