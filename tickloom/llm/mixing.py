@@ -20,7 +20,7 @@ from .common import WORD, running_start, stage
 COSTS = (0, 1, 3)  # of the first, second and third use of a document
 WEIGHTS = (5, 2, 1)
 MAX_PATTERNS = 100_000  # rows of the pattern table that the driver may hold
-FILL = 4  # most documents, each the nearest in size, that close a pattern's gap
+FILL = 3  # most documents within a pattern's gap that close it, before one that is nearest to it
 
 
 def quotas(sizes: Sequence[int], weights: Sequence[float], total: float, most: float) -> list[float]:
@@ -187,17 +187,14 @@ def mix(
         stop[r["_pattern"]] = r["stop"]
         rest[r["_pattern"]] -= r["got"]
     picks: dict[str, list[int]] = {k: [] for k in rest}
-    for _ in range(FILL):
+    for last in [False] * FILL + [True]:
         gap = [(k, v, picks[k]) for k, v in rest.items() if v > 0]
         if not gap:
             break
         small = F.broadcast(spark.createDataFrame(gap, "_pattern string, gap long, had array<long>"))
-        free = order.where("not inside").join(small, "_pattern").where("size < 2 * gap and not array_contains(had, _h)")
+        free = order.where("not inside").join(small, "_pattern").where(f"size < {'2 * gap' if last else 'gap + 1'} and not array_contains(had, _h)")
         near = F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "size", "_h")).alias("x")
-        found = free.groupBy("_pattern").agg(near).collect()
-        if not found:
-            break
-        for r in found:
+        for r in free.groupBy("_pattern").agg(near).collect():
             picks[r["_pattern"]].append(r["x"]["_h"])
             rest[r["_pattern"]] -= r["x"]["size"]
     plan = [
