@@ -47,10 +47,10 @@ def names(attrs: str) -> tuple[str, ...]:
     out = []
     for m in ATTR.finditer(attrs):
         key = m.group(1).lower()
-        value = next((v for v in m.groups()[1:] if v is not None), "").lower()
+        value = next((v for v in m.groups()[1:] if v is not None), "")
         if key in ("class", "id", "role"):
-            out += ["." + w for w in SPLIT_NAME.split(re.sub(r"([a-z])([A-Z])", r"\1-\2", value)) if w]
-        elif value != "false":
+            out += ["." + w for w in SPLIT_NAME.split(re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()) if w]
+        elif value.lower() != "false":
             out.append(".hidden")
     return tuple(out)
 
