@@ -73,18 +73,21 @@ def _lag_products(df: DataFrame, s: Ordered, x: str, max_lag: int) -> DataFrame:
     )
 
 
-def newey_west(
-    df: DataFrame, s: Ordered, x: str, lag: int | Column, max_lag: int | None = None
-) -> DataFrame:
+def newey_west(df: DataFrame, s: Ordered, x: str, lag: int | Column) -> DataFrame:
     """Mean and HAC t of a series (Bartlett weights), one row per key.
 
-    ``lag`` may be an expression of ``n``; ``max_lag`` then bounds it.
+    ``lag`` may be an expression of ``n`` and the keys. The largest lag that any series
+    needs is then taken from the counts, so no series' sum of products is cut short.
     """
-    top = lag if isinstance(lag, int) else max_lag
-    g = _lag_products(df, s, x, top)
-    n = F.col("n")
-    length = F.least(F.lit(lag) if isinstance(lag, int) else lag, n - 1)
     full = F.lit(lag) if isinstance(lag, int) else lag
+    n = F.col("n")
+    length = F.least(full, n - 1)
+    if isinstance(lag, int):
+        top = lag
+    else:
+        counts = df.where(F.col(x).isNotNull()).groupBy(*s.keys).agg(F.count(F.lit(1)).alias("n"))
+        top = int(counts.agg(F.max(length)).first()[0] or 0)
+    g = _lag_products(df, s, x, top)
     var = F.col("_c0") / n
     for k in range(1, top + 1):
         var = var + F.when(
@@ -158,7 +161,6 @@ def ic_screen(
     target: str,
     s: Ordered,
     bars_per_day: int = 1,
-    max_lag: int = 96,
     tripwire: float = 0.10,
     names: int | None = None,
 ) -> DataFrame:
@@ -172,12 +174,11 @@ def ic_screen(
     long = long.select(t, "_y", "_c.feature", "_c.v")
     ic = materialize(cross_sectional_ic(long, "v", "_y", keys=("feature", t), names=names))
     sf = s.by("feature")
-    top = max(nw_lag(f, bars_per_day) for f in features)
     lag = F.element_at(
         F.create_map(*[x for f in features for x in (F.lit(f), F.lit(nw_lag(f, bars_per_day)))]),
         F.col("feature"),
     )
-    nw = newey_west(ic, sf, "ic", lag, min(top, max_lag))
+    nw = newey_west(ic, sf, "ic", lag)
     years = yearly_ic(ic, t, ["feature"]).groupBy("feature").agg(
         F.abs(F.avg(F.signum("mean_ic"))).alias("yearly_sign_agreement")
     )
@@ -458,13 +459,13 @@ def benjamini_hochberg(tests: DataFrame, p: str, key: str, alpha: float = 0.05)
     return tests.join(d, key, "left").na.fill(False, ["significant"])
 
 
-def diebold_mariano(df: DataFrame, s: Ordered, diff: str, max_lag: int, min_n: int = 20):
+def diebold_mariano(df: DataFrame, s: Ordered, diff: str, min_n: int = 20) -> DataFrame:
     """HAC t of a loss difference at lag n^(1/3)."""
-    g = newey_west(df, s, diff, cube_root_lag(), max_lag)
+    g = newey_west(df, s, diff, cube_root_lag())
     return g.where(F.col("n") >= min_n)
 
 
-def all_pairs(scores: DataFrame, s: Ordered, max_lag: int, min_n: int = 30) -> DataFrame:
+def all_pairs(scores: DataFrame, s: Ordered, min_n: int = 30) -> DataFrame:
     """Diebold-Mariano t for each pair of models on their common rows.
 
     ``scores``: series keys, time, model, loss. The self join is an equi join
@@ -476,7 +477,7 @@ def all_pairs(scores: DataFrame, s: Ordered, max_lag: int, min_n: int = 30) -> D
     p = a.join(b, on).where(F.col("a") < F.col("b")).dropna(subset=["_la", "_lb"])
     p = p.withColumn("_diff", F.col("_la") - F.col("_lb"))
     sp = s.by(*s.keys, "a", "b")
-    nw = diebold_mariano(p, sp, "_diff", max_lag, min_n)
+    nw = diebold_mariano(p, sp, "_diff", min_n)
     means = p.groupBy(*sp.keys).agg(F.avg("_la").alias("loss_a"), F.avg("_lb").alias("loss_b"))
     return nw.join(means, list(sp.keys)).drop("mean")
 

@@ -25,20 +25,22 @@ def ic_sql(src: str, x: str, y: str, part: str, least: int = 5) -> str:
  group by {part} having count(*) >= {least} and stddev_pop({x}) >= 1e-12 and stddev_pop({y}) >= 1e-12"""
 
 
-def nw_sql(src: str, x: str, part: str, order: str, lag: str, top: int) -> str:
-    """mean, n, t per part; ``lag`` may use n."""
+def nw_sql(src: str, x: str, part: str, order: str, lag: str) -> str:
+    """mean, n, t per part; ``lag`` may use n and the part's columns."""
     p = f"partition by {part}" if part else ""
     cols = f"{part}, " if part else ""
+    names = [c.strip() for c in part.split(",")] if part else []
+    same = " and ".join([*[f"a.{c} = b.{c}" for c in names], "b.pos < a.pos and b.pos >= a.pos - a.lag"])
+    left = ", ".join(f"a.{c}" for c in names)
+    on = " and ".join(f"g.{c} = k.{c}" for c in names) or "true"
     grp = f"group by {part}" if part else ""
-    prods = ", ".join(f"d * lag(d, {k}) over ({p} order by {order}) as p{k}" for k in range(1, top + 1))
-    sums = " + ".join(
-        f"case when least({lag}, n - 1) >= {k} then 2 * (1 - {k}.0 / ({lag} + 1)) * coalesce(c{k}, 0) / n else 0 end"
-        for k in range(1, top + 1)
-    )
-    return f"""select {cols} n, mean, mean / nullif(sqrt(greatest(c0 / n + {sums}, 0) / n), 0) as tstat from (
- select {cols} max(n) as n, max(m) as mean, sum(d * d) as c0, {", ".join(f"sum(p{k}) as c{k}" for k in range(1, top + 1))} from (
-  select *, {prods} from (select {cols} {order}, {x} - avg({x}) over ({p}) as d, avg({x}) over ({p}) as m, count(*) over ({p}) as n
-   from {src} where {x} is not null)) {grp}) where n >= 2"""
+    rows = f"""select {cols} {x} - avg({x}) over ({p}) as d, avg({x}) over ({p}) as m, count(*) over ({p}) as n,
+  row_number() over ({p} order by {order}) as pos from {src} where {x} is not null"""
+    return f"""select {", ".join(["g." + c for c in names] + ["g.n", "g.m as mean"])},
+ g.m / nullif(sqrt(greatest(g.c0 / g.n + coalesce(k.c, 0) / g.n, 0) / g.n), 0) as tstat from (
+ select {cols} max(n) as n, max(m) as m, sum(d * d) as c0 from ({rows}) {grp}) g left join (
+ select {left + "," if left else ""} sum(2 * (1 - (a.pos - b.pos) / (a.lag + 1.0)) * a.d * b.d) as c
+ from (select *, {lag} as lag from ({rows})) a join ({rows}) b on {same} {("group by " + left) if left else ""}) k on {on} where g.n >= 2"""
 
 
 view("ic_w", ic_sql("sig", "pred", "fwd_return_1", "datetime"))
@@ -55,7 +57,7 @@ def cross_sectional_ic(t):
 
 @query(
     "166, 167",
-    f"select round(mean, 6) as mean, round(tstat, 6) as tstat, n from ({nw_sql('ic_w', 'ic', '', 'datetime', '4', 4)})",
+    f"select round(mean, 6) as mean, round(tstat, 6) as tstat, n from ({nw_sql('ic_w', 'ic', '', 'datetime', '4')})",
 )
 def ic_summary(t):
     return rounded(N.newey_west(ic_w(t), WEEKLY.by(), "ic", 4))
@@ -68,7 +70,7 @@ def ic_summary(t):
   from sig where pred is not null and fwd_return_1 is not null),
 m as (select avg(rx) mx, stddev_pop(rx) sx, avg(ry) my, stddev_pop(ry) sy, corr(rx, ry) as c, count(*) as k from r),
 p as (select datetime, avg((rx - mx) / sx * (ry - my) / sy) as v from r, m group by 1),
-w as ({nw_sql("p", "v", "", "datetime", "4", 4)})
+w as ({nw_sql("p", "v", "", "datetime", "4")})
 select round(mean, 6) as panel_ic, round(tstat, 6) as clustered_nw_tstat, round(c * sqrt((k - 2) / greatest(1 - c * c, 1e-12)), 6) as naive_tstat,
   k as n_obs, n as n_timestamps from w, m""",
 )
@@ -108,7 +110,7 @@ def _lag_case() -> str:
     "140",
     f"""with l as (select datetime, fwd_return_1 as y, unnest({SCREEN}) as feature, unnest([{", ".join(SCREEN)}]) as v from features_w),
 i as ({ic_sql("l", "v", "y", "feature, datetime")}),
-w as ({nw_sql("i", "ic", "feature", "datetime", _lag_case(), 96)}),
+w as ({nw_sql("i", "ic", "feature", "datetime", _lag_case())}),
 pm as (select feature, avg(case when m > 0 then 1.0 else 0 end) as f from (select feature, avg(ic) as m from i group by feature, date_trunc('month', datetime)) group by 1),
 py as (select feature, abs(avg(sign(m))) as s from (select feature, avg(ic) as m from i group by feature, year(datetime)) group by 1)
 select w.feature, round(mean, 6) as mean_ic, round(tstat, 6) as nw_tstat, n as n_periods, round(f, 6) as frac_positive_months,
@@ -357,7 +359,7 @@ def losses(t):
 
 
 CUBE = "greatest(1, round(power(n, 1.0 / 3)))"
-PAIRS = nw_sql("loss_pairs", "d0", "symbol, a, b", "datetime", CUBE, 8)
+PAIRS = nw_sql("loss_pairs", "d0", "symbol, a, b", "datetime", CUBE)
 
 
 @query(
@@ -366,12 +368,12 @@ PAIRS = nw_sql("loss_pairs", "d0", "symbol, a, b", "datetime", CUBE, 8)
 join (select symbol, a, b, avg(la) as la, avg(lb) as lb from loss_pairs group by 1, 2, 3) m on t.symbol = m.symbol and t.a = m.a and t.b = m.b where t.n >= 30""",
 )
 def all_pairs_comparison(t):
-    return rounded(N.all_pairs(losses(t), WEEKLY, 8))
+    return rounded(N.all_pairs(losses(t), WEEKLY))
 
 
 @query(
     "183",
-    f"""with pooled as ({nw_sql("(select a, b, datetime, avg(d0) as d0 from loss_pairs group by 1, 2, 3)", "d0", "a, b", "datetime", CUBE, 8)}),
+    f"""with pooled as ({nw_sql("(select a, b, datetime, avg(d0) as d0 from loss_pairs group by 1, 2, 3)", "d0", "a, b", "datetime", CUBE)}),
 s as (select *, abs(tstat) > 1.96 as sg from pooled),
 x as (select a as model, sg and tstat < 0 as w from s union all select b, sg and tstat > 0 from s)
 select model, bool_and(w) as beats_all from x group by 1""",
@@ -380,7 +382,7 @@ def beats_all(t):
     mean = losses(t).groupBy("datetime", "model").agg(
         F.avg("loss").alias("loss"), F.count("loss").alias("c")
     )
-    p = N.all_pairs(losses_pooled(t), WEEKLY.by(), 8)
+    p = N.all_pairs(losses_pooled(t), WEEKLY.by())
     p = p.withColumn("significant", F.abs("tstat") > 1.96)
     return N.beats_all(p, mean.select("model").distinct())
 
