@@ -477,10 +477,11 @@ def benchmark_neutrality(df: DataFrame, y: str, x: str, ann: float, keys=()) ->
         F.regr_intercept(y, x).alias("_a"),
         F.regr_syy(y, x).alias("_syy"),
         F.regr_sxy(y, x).alias("_sxy"),
-        F.regr_sxx(y, x).alias("_sxx"),
+        F.regr_avgx(y, x).alias("_mx"),
+        F.regr_avgy(y, x).alias("_my"),
         F.count(F.lit(1)).alias("n_obs"),
     )
-    # least-squares residuals have mean zero, so the ratio is 0 up to rounding
+    mean = F.col("_my") - F.col("_a") - F.col("beta") * F.col("_mx")  # of the residual
     sd = F.sqrt(F.greatest(F.col("_syy") - F.col("beta") * F.col("_sxy"), F.lit(0.0)) / F.col("n_obs"))
     ok = F.col("n_obs") >= 30
     return fit.select(
@@ -488,7 +489,7 @@ def benchmark_neutrality(df: DataFrame, y: str, x: str, ann: float, keys=()) ->
         F.when(ok, F.col("beta")).alias("beta"),
         F.when(ok, F.col("_a") * 252).alias("alpha_annualized"),
         F.when(ok, sd).alias("residual_std"),
-        F.when(ok, F.lit(0.0)).alias("information_ratio"),
+        F.when(ok, F.coalesce(F.try_divide(mean, sd), F.lit(0.0)) * ann).alias("information_ratio"),
         "n_obs",
     )
 

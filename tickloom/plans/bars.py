@@ -8,7 +8,7 @@ from ..functions.exprs import forward_return, log_return
 from ..functions.ordered import DAILY, WEEKLY, rolling
 from ..operators import bars as B
 from ..sources import ingest as I
-from .registry import NUDGE, query, r, rounded, view
+from .registry import query, r, rounded, view
 
 NATIONS = [f"NATION_{i}" for i in range(25)]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -43,7 +43,7 @@ def range_scan_dedupe(t):
 
 @query(
     "4",
-    """select symbol, datetime, round(funding_rate + 3.13713e-8, 6) as funding_rate from funding""",
+    """select symbol, datetime, round(funding_rate, 12) as funding_rate from funding""",
 )
 def funding_ingest(t):
     """The rate goes through its string form, as in the source files."""
@@ -51,7 +51,7 @@ def funding_ingest(t):
     f = f.select(
         "symbol",
         F.timestamp_millis(F.unix_millis("datetime")).alias("datetime"),
-        r(F.col("fundingRate").cast("double"), 6, NUDGE).alias("funding_rate"),
+        r(F.col("fundingRate").cast("double"), 12).alias("funding_rate"),
     )
     return f.dropDuplicates(["symbol", "datetime"])
 
@@ -81,15 +81,15 @@ def daily_scan(t):
 
 @query(
     "7",
-    """select date, round(max(case when series = '1-URGENT' then value end) + 3.13713e-8, 6) as urgent,
-  round(max(case when series = '2-HIGH' then value end) + 3.13713e-8, 6) as high,
-  round(max(case when series = '3-MEDIUM' then value end) + 3.13713e-8, 6) as medium,
-  round(max(case when series = '4-NOT SPECIFIED' then value end) + 3.13713e-8, 6) as not_specified,
-  round(max(case when series = '5-LOW' then value end) + 3.13713e-8, 6) as low
+    """select date, round(max(case when series = '1-URGENT' then value end), 9) as urgent,
+  round(max(case when series = '2-HIGH' then value end), 9) as high,
+  round(max(case when series = '3-MEDIUM' then value end), 9) as medium,
+  round(max(case when series = '4-NOT SPECIFIED' then value end), 9) as not_specified,
+  round(max(case when series = '5-LOW' then value end), 9) as low
 from macro_long group by 1""",
 )
 def macro_wide(t):
-    return rounded(I.widen(t.macro_long(), PRIORITIES, PRIO_COLS), nudge=NUDGE)
+    return rounded(I.widen(t.macro_long(), PRIORITIES, PRIO_COLS), 9)
 
 
 POSITIONS = """select cast(date_trunc('week', o_orderdate) as date) as report_date, r_name as product,
@@ -161,7 +161,7 @@ def curve_scan(t):
 
 @query(
     "11",
-    """select symbol, datetime, d as dimension, round(s + 3.13713e-8, 6) as score, l as label from (
+    """select symbol, datetime, d as dimension, round(s, 11) as score, l as label from (
 select symbol, datetime, 'range' as d, high - low as s, case when high > low then 'wide' end as l from bars_w
 union all
 select symbol, datetime, 'move', nullif(close - open, 0), case when close > open then 'up' when close < open then 'down' end
@@ -177,7 +177,7 @@ def melt_sink(t):
         F.nullif(F.col("close") - F.col("open"), F.lit(0.0)).alias("move_score"),
         up.alias("move_label"),
     )
-    return rounded(I.melt_scores(d, ["symbol", "datetime"], ["range", "move"]), nudge=NUDGE)
+    return rounded(I.melt_scores(d, ["symbol", "datetime"], ["range", "move"]), 11)
 
 
 @query(
@@ -205,10 +205,10 @@ def dataset_diff(t):
 
 @query(
     "14",
-    "select series, date, round(value + 3.13713e-8, 6) as value from macro_long where date <= date '1998-06-30'",
+    "select series, date, round(value, 9) as value from macro_long where date <= date '1998-06-30'",
 )
 def holdout_cut(t):
-    return rounded(I.holdout_cut(t.macro_long(), "date", "1998-06-30"), nudge=NUDGE)
+    return rounded(I.holdout_cut(t.macro_long(), "date", "1998-06-30"), 9)
 
 
 @query(

@@ -9,7 +9,7 @@ from ..functions.ordered import WEEKLY, Ordered, rolling
 from ..operators import features as X
 from ..operators import xs
 from . import sqlgen as S
-from .registry import NUDGE, query, rounded, view
+from .registry import query, rounded, view
 
 FLOW = ["order_flow_imbalance", "avg_trade_size", "count"]
 Z_COLS = [f"{c}_z{n}" for c in FLOW for n in X.FLOW_WINDOWS]
@@ -101,14 +101,12 @@ view(
 
 @query(
     "47, 80",
-    f"""select symbol, datetime, round(funding_rate + 3.13713e-8, 6) as funding_rate,
+    f"""select symbol, datetime, round(funding_rate, 12) as funding_rate,
   round({S.z("funding_rate", 20)}, 6) as funding_rate_z20 from bars_funding""",
 )
 def funding_feature(t):
     d = X.add_funding(t.bars_w().select("symbol", "datetime"), t.funding(), WEEKLY)
-    return rounded(d.select("symbol", "datetime", "funding_rate_z20")).join(
-        rounded(d.select("symbol", "datetime", "funding_rate"), nudge=NUDGE), ["symbol", "datetime"]
-    )
+    return rounded(d.select("symbol", "datetime", "funding_rate", "funding_rate_z20"), funding_rate=12)
 
 
 @query(
@@ -199,9 +197,7 @@ where realized_vol_20 > 1e-12""",
 def quality_features(t):
     d = X.quality_features(t.bars_w().select("symbol", "datetime", "close"), caps(t), WEEKLY)
     d = d.select("symbol", "datetime", "trailing_sharpe", "realized_vol_20", "market_cap")
-    return rounded(d.drop("market_cap")).join(
-        rounded(d.select("symbol", "datetime", "market_cap"), 2), ["symbol", "datetime"]
-    )
+    return rounded(d, market_cap=2)
 
 
 @query(
@@ -268,7 +264,7 @@ select p.symbol, p.date, p.basket, round(momentum_4, 6) as momentum_4, round(fwd
   round({_pct("p.date")}, 6) as rank_panel_momentum_4, round({_pct("p.date, p.basket")}, 6) as rank_basket_momentum_4,
   round(sin(2 * pi() * (isodow(p.date) - 1) / 5), 6) as cal_dow_sin, round(cos(2 * pi() * (isodow(p.date) - 1) / 5), 6) as cal_dow_cos,
   round(sin(2 * pi() * month(p.date) / 12), 6) + 0.0 as cal_month_sin, round(cos(2 * pi() * month(p.date) / 12), 6) + 0.0 as cal_month_cos,
-  round(close_f1 - close_f2 + 3.13713e-8, 6) as spread_12, round(close_f2 - close_f3 + 3.13713e-8, 6) as spread_23
+  round(close_f1 - close_f2, 11) as spread_12, round(close_f2 - close_f3, 11) as spread_23
 from p left join curve c on c.product = p.basket and c.date = p.date""",
 )
 def pooled_panel(t):
@@ -276,8 +272,7 @@ def pooled_panel(t):
     d = d.join(baskets(t), "symbol").withColumn("date", F.to_date("datetime"))
     d = d.select("symbol", "date", "basket", "close", "momentum_4")
     d = X.pooled_panel(d, ["momentum_4"], "close", 4, t.curve()).drop("close")
-    d = d.withColumns({c: F.col(c) + NUDGE for c in ("spread_12", "spread_23")})
-    return rounded(d).withColumns(
+    return rounded(d, spread_12=11, spread_23=11).withColumns(
         {c: F.col(c).cast("double") for c in ("realized_1d_sign", "trailing_60d_sign")}
     )
 

@@ -10,7 +10,7 @@ from ..operators import folds as FO
 from ..operators import pnl as P
 from . import sqlgen as S
 from .portfolio import NAMES, signals, var_w, weights_w
-from .registry import NUDGE, query, rounded, view
+from .registry import query, rounded, view
 
 ANN = 52.0**0.5
 UP = "rows unbounded preceding"
@@ -123,8 +123,8 @@ def turnover_fees(t):
 
 @query(
     "91, 92",
-    """select symbol, datetime, round(open * volume * 0.0002e0 + close * volume * 0.0002e0 + 3.13713e-8, 4) as tx_fee_maker,
-  round(open * volume * 0.0004e0 + close * volume * 0.0004e0 + 3.13713e-8, 4) as tx_fee_taker from bars_w""",
+    """select symbol, datetime, round(open * volume * 0.0002e0 + close * volume * 0.0002e0, 9) as tx_fee_maker,
+  round(open * volume * 0.0004e0 + close * volume * 0.0004e0, 9) as tx_fee_taker from bars_w""",
 )
 def flat_fees(t):
     d = t.bars_w().select(
@@ -134,7 +134,7 @@ def flat_fees(t):
         (F.col("close") * F.col("volume")).alias("exit_trade_value"),
     )
     d = P.flat_fees(d, {"maker": 0.0002, "taker": 0.0004})
-    return rounded(d.drop("entry_trade_value", "exit_trade_value"), 4, NUDGE)
+    return rounded(d.drop("entry_trade_value", "exit_trade_value"), 9)
 
 
 @query(
@@ -474,11 +474,12 @@ def breakeven_cost(t):
 
 @query(
     "121",
-    """with m as (select f.symbol, f.log_return as y, b.m as x from feat1 f join (select datetime, avg(log_return) as m from feat1 group by 1) b
+    f"""with m as (select f.symbol, f.log_return as y, b.m as x from feat1 f join (select datetime, avg(log_return) as m from feat1 group by 1) b
  on f.datetime = b.datetime where f.log_return is not null and b.m is not null)
 select symbol, round(case when count(*) >= 30 then regr_slope(y, x) end, 6) as beta, round(case when count(*) >= 30 then regr_intercept(y, x) * 252 end, 6) as alpha_annualized,
  round(case when count(*) >= 30 then sqrt(greatest(regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x), 0) / count(*)) end, 6) as residual_std,
- cast(case when count(*) >= 30 then 0 end as double) as information_ratio, count(*) as n_obs from m group by 1""",
+ round(case when count(*) >= 30 then coalesce((avg(y) - regr_intercept(y, x) - regr_slope(y, x) * avg(x))
+   / nullif(sqrt(greatest(regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x), 0) / count(*)), 0), 0) * {ANN} end, 6) + 0.0 as information_ratio, count(*) as n_obs from m group by 1""",
 )
 def benchmark_neutrality(t):
     d = rolling(

@@ -10,7 +10,7 @@ from ..operators import features as X
 from ..operators import quality as Q
 from . import sqlgen as S
 from .bars import PRIO_COLS, PRIORITIES, positions
-from .registry import NUDGE, query, rounded, view
+from .registry import query, rounded, view
 
 PROD = Ordered(("product",), ("date",), step=1)
 CON = Ordered(("product", "contract_id"), ("date",), step=1)
@@ -237,8 +237,8 @@ def feed_one_sided(t):
 @query(
     "143",
     """with i as (select distinct n_name as dimension, c_mktsegment || '/' || (c_custkey % 3) as indicator, 0.1e0 + c_custkey % 3 as weight, c_custkey % 37 as input
-  from customer join nation on c_nationkey = n_nationkey where c_acctbal > 9000),
-tg as (select distinct r_name as target, s_suppkey % 37 as input from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey where s_suppkey % 4 = 1)
+  from customer join nation on c_nationkey = n_nationkey),
+tg as (select distinct r_name as target, s_suppkey % 37 as input from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey)
 select a.dimension, a.target, a.intersection, round(b.w, 6) as overlap_weight, true as disqualified from (
  select dimension, target, list_sort(list(distinct i.input)) as intersection from i join tg on i.input = tg.input group by 1, 2) a
 join (select dimension, target, sum(weight) as w from (select distinct dimension, target, indicator, weight from i join tg on i.input = tg.input) group by 1, 2) b
@@ -249,7 +249,6 @@ def input_overlap(t):
     k = F.col("c_custkey") % 3
     ind = (
         t.read("customer")
-        .where("c_acctbal > 9000")
         .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             F.col("n_name").alias("dimension"),
@@ -261,7 +260,6 @@ def input_overlap(t):
     )
     tgt = (
         t.read("supplier")
-        .where("s_suppkey % 4 = 1")
         .join(n, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(t.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(F.col("r_name").alias("target"), (F.col("s_suppkey") % 37).alias("input"))
@@ -286,7 +284,7 @@ view("macro_pub", pub_sql("macro_long", "3"))
 
 @query(
     "82",
-    """select d.symbol, d.date, d.series, round(case when d.date - m.pub <= 2 then m.value end + 3.13713e-8, 6) as value from (
+    """select d.symbol, d.date, d.series, round(case when d.date - m.pub <= 2 then m.value end, 9) as value from (
  select distinct symbol, cast(datetime as date) as date, s.series from bars_w, (select distinct series from macro_long) s) d
 asof left join macro_pub m on d.series = m.series and d.date >= m.pub""",
 )
@@ -294,7 +292,7 @@ def align_with_staleness(t):
     series = F.explode(F.array(*[F.lit(p) for p in PRIORITIES])).alias("series")
     target = t.bars_w().select("symbol", F.to_date("datetime").alias("date"), series)
     d = A.align_to_target(target, t.macro_long(), "value", 3, 2, ["series"])
-    return rounded(d.select("symbol", "date", "series", "value"), nudge=NUDGE)
+    return rounded(d.select("symbol", "date", "series", "value"), 9)
 
 
 LAGS = {"urgent": 1, "high": 5, "low": 0}
@@ -311,15 +309,15 @@ view(
 p as ({pub_sql("m", "lag")}),
 g as (select distinct date, s.series from contract_bars, (select unnest(['urgent', 'high', 'low']) as series) s),
 j as (select g.date, g.series, case when g.date - p.pub <= 10 then p.value end as v from g asof left join p on g.series = p.series and g.date >= p.pub)
-select date, round(max(case when series = 'urgent' then v end) + 3.13713e-8, 6) as urgent, round(max(case when series = 'high' then v end) + 3.13713e-8, 6) as high,
-  round(max(case when series = 'low' then v end) + 3.13713e-8, 6) as low from j group by 1""",
+select date, round(max(case when series = 'urgent' then v end), 9) as urgent, round(max(case when series = 'high' then v end), 9) as high,
+  round(max(case when series = 'low' then v end), 9) as low from j group by 1""",
 )
 def align_columns(t):
     from ..sources.ingest import widen
 
     wide = widen(t.macro_long(), ["1-URGENT", "2-HIGH", "5-LOW"], ["urgent", "high", "low"])
     target = t.contract_bars().select("date").distinct()
-    return rounded(A.align_columns(target, wide, LAGS, 10), nudge=NUDGE)
+    return rounded(A.align_columns(target, wide, LAGS, 10), 9)
 
 
 view(
@@ -394,7 +392,7 @@ def lagged_macro_labels(t):
     """with r as (select date, urgent / 10000 as rate from macro_w3 where extract(day from date) % 3 = 0),
 j as (select s.spread, s.date, value, leg2_price, last_value(rate ignore nulls) over (partition by spread order by s.date) as rate from spreads s left join r on s.date = r.date),
 f as (select *, -(5.0 + rate * leg2_price / 12) as fv from j)
-select spread, date, round(rate + 3.13713e-8, 6) as rate, round(fv, 6) as carry_fv, round(-value / nullif(fv, 0), 6) as carry_ratio,
+select spread, date, round(rate, 9) as rate, round(fv, 6) as carry_fv, round(-value / nullif(fv, 0), 6) as carry_ratio,
  coalesce(-value / nullif(fv, 0) > 0 and -value / nullif(fv, 0) < 10, false) as mild from f""",
 )
 def fill_and_band(t):
@@ -404,7 +402,6 @@ def fill_and_band(t):
     r = r.withColumn("rate", F.col("rate") / 10000)
     s = t.spreads().select("spread", "date", "value", "leg2_price")
     d = A.fill_and_band(s, r, ["spread"], 5.0, 0.0, 10.0)
-    d = d.withColumn("rate", F.col("rate") + NUDGE)
-    return rounded(d.select("spread", "date", "rate", "carry_fv", "carry_ratio", "mild"))
+    return rounded(d.select("spread", "date", "rate", "carry_fv", "carry_ratio", "mild"), rate=9)
 
 

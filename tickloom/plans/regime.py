@@ -14,7 +14,7 @@ from . import sqlgen as S
 from .curves import states
 from .features import baskets
 from .portfolio import NAMES
-from .registry import NUDGE, query, rounded, view
+from .registry import query, rounded, view
 from .vol import rec_sql
 
 YR = "sqrt(252)"
@@ -121,7 +121,7 @@ ANN = "(close_f1 / nullif(close_f2, 0) - 1) * 365.0 / nullif(dte_f2 - dte_f1, 0)
 @query(
     "290, 291, 292, 293, 294, 295, 312, 313, 314, 315, 316, 317",
     f"""select product, date, round(-(close_f3 - close_f1) / nullif(close_f1, 0), 6) as ts_curve_slope, round({S.z("(close_f1 - close_f2)", 252, WP)}, 6) as ts_calendar_spread_z,
- round({ANN}, 6) as ts_ann_roll_yield, round((close_f1 - close_f2) / nullif(close_f2, 0), 6) as ts_roll_yield, round(close_f1 - close_f2 + {R.STORAGE} + {R.FINANCING} * close_f2 / 12 + {NUDGE}, 6) as ts_excess_spread,
+ round({ANN}, 6) as ts_ann_roll_yield, round((close_f1 - close_f2) / nullif(close_f2, 0), 6) as ts_roll_yield, round(close_f1 - close_f2 + {R.STORAGE} + {R.FINANCING} * close_f2 / 12, 11) as ts_excess_spread,
  round({ANN}, 6) as carry_ann_roll_yield, round({ANN} / nullif({S.std("r", 20, WP)} * {YR}, 0), 6) as carry_vol_scaled from curve_r""",
 )
 def curve_indicators(t):
@@ -134,8 +134,7 @@ def curve_indicators(t):
         260,
     )
     keep = [c for c in d.columns if c.startswith(("ts_", "carry_"))]
-    d = d.withColumn("ts_excess_spread", F.col("ts_excess_spread") + NUDGE)
-    return rounded(d.select("product", "date", *keep))
+    return rounded(d.select("product", "date", *keep), ts_excess_spread=11)
 
 
 MCOLS = {"macro_vix": "urgent", "macro_yield_curve": "high", "macro_yield_curve_3m10y": "medium", "macro_hy_oas": "not_specified", "macro_ig_oas": "low", "macro_cot_noncomm": "cot"}
@@ -170,8 +169,8 @@ DW = "partition by symbol order by date"
 @query(
     "318, 319, 320, 321, 322, 323, 324, 325",
     "select symbol, date, "
-    + ", ".join(f"round({c} + {NUDGE}, 6) as {n}" for n, c in MCOLS.items())
-    + f", round(not_specified - lag(not_specified, 13) over ({DW}) + {NUDGE}, 6) as macro_hy_oas_delta, round(low - lag(low, 26) over ({DW}) + {NUDGE}, 6) as macro_fed_funds_delta from macro_bars",
+    + ", ".join(f"round({c}, 9) as {n}" for n, c in MCOLS.items())
+    + f", round(not_specified - lag(not_specified, 13) over ({DW}), 9) as macro_hy_oas_delta, round(low - lag(low, 26) over ({DW}), 9) as macro_fed_funds_delta from macro_bars",
 )
 def macro_indicators(t):
     d = R.macro_indicators(
@@ -182,7 +181,7 @@ def macro_indicators(t):
         {"macro_hy_oas_delta": ("not_specified", 13), "macro_fed_funds_delta": ("low", 26)},
     )
     keep = [*MCOLS, "macro_hy_oas_delta", "macro_fed_funds_delta"]
-    return rounded(d.select("symbol", "date", *keep), nudge=NUDGE)
+    return rounded(d.select("symbol", "date", *keep), 9)
 
 
 @query(

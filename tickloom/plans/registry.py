@@ -70,21 +70,17 @@ def oracle_texts() -> dict[str, str]:
     return {k: _with_views(v) for k, v in ORACLES.items()}
 
 
-NUDGE = 3.13713e-8  # moves averages of decimals off exact halves; the SQL texts add it too
-
-
-def r(col: Column | str, digits: int = 6, nudge: float = 0.0) -> Column:
+def r(col: Column | str, digits: int = 6) -> Column:
     """Rounded for comparison; adding zero turns -0.0 into 0.0."""
     c = F.col(col) if isinstance(col, str) else col
-    c = c.cast("double")
-    return F.round(c + F.lit(nudge) if nudge else c, digits) + F.lit(0.0)
+    return F.round(c.cast("double"), digits) + F.lit(0.0)
 
 
-def rounded(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
-    """All double columns rounded."""
+def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
+    """All double columns rounded, those in ``other`` to their own number of digits."""
     return df.select(
         *[
-            r(n, digits, nudge).alias(n) if t in ("double", "float") else F.col(n)
+            r(n, other.get(n, digits)).alias(n) if t in ("double", "float") else F.col(n)
             for n, t in df.dtypes
         ]
     )

@@ -8,7 +8,7 @@ from ..functions.exprs import log_return
 from ..functions.ordered import WEEKLY, rolling
 from ..operators import spreads as P
 from . import sqlgen as S
-from .registry import NUDGE, query, rounded, view
+from .registry import query, rounded, view
 
 WS = "partition by spread order by date"
 
@@ -100,7 +100,7 @@ def simple_atr_and_sma(t):
 
 @query(
     "290, 379, 380, 381",
-    f"""select spread, date, round(-(0.45 + 0.05 * leg2_price / 12) + {NUDGE}, 6) as carry_fv, round(-value / nullif(-(0.45 + 0.05 * leg2_price / 12), 0), 6) as carry_ratio,
+    f"""select spread, date, round(-(0.45 + 0.05 * leg2_price / 12), 9) as carry_fv, round(-value / nullif(-(0.45 + 0.05 * leg2_price / 12), 0), 6) as carry_ratio,
  case when value is null then 'unknown' when value > 200 then 'backwardation' when value < -200 then 'contango' else 'flat' end as label from spreads""",
 )
 def carry_and_label(t):
@@ -109,10 +109,11 @@ def carry_and_label(t):
         sp(t).select(
             "spread",
             "date",
-            (made["carry_fv"] + NUDGE).alias("carry_fv"),
+            made["carry_fv"].alias("carry_fv"),
             made["carry_ratio"].alias("carry_ratio"),
             P.regime_label(F.col("value"), 200.0).alias("label"),
-        )
+        ),
+        carry_fv=9,
     )
 
 
@@ -245,7 +246,7 @@ j as (select e.trade_id, e.i as ei, greatest(e.i - 60, 1) as f, e.l as last, e.b
   left join h x5 on x5.spread = e.spread and x5.i = x.i - 5),
 g as (select trade_id, count(*) as n_hist, avg(case when xv <= last then 1.0 else 0 end) as p, max(last - b6) as pm, regr_slope(case when i > f then xv - xl end, case when i > f then xl end) as beta,
   var_samp(case when i > f then xv - xl end) as v1, var_samp(case when i >= f + 5 then xv - x5 end) as vq from j group by 1)
-select trade_id, n_hist, round(p, 6) as level_pctile, round(pm + {NUDGE}, 6) as pre_move, round({HL}, 6) as half_life, round(vq / 5 / nullif(v1, 0), 6) as vr from g""",
+select trade_id, n_hist, round(p, 6) as level_pctile, round(pm, 9) as pre_move, round({HL}, 6) as half_life, round(vq / 5 / nullif(v1, 0), 6) as vr from g""",
 )
 def trade_entry_features(t):
     names = F.array(*[F.lit(x) for x in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")])
@@ -256,7 +257,7 @@ def trade_entry_features(t):
     )
     s = sp(t).select("spread", "date", "value")
     d = P.trade_history_features(tr, s, P.SPREAD, "value", 60)
-    return rounded(d.withColumn("pre_move", F.col("pre_move") + NUDGE))
+    return rounded(d, pre_move=9)
 
 
 @query(
@@ -373,10 +374,10 @@ def trailing_stops(t):
     "402",
     STOP
     + """ select symbol, datetime, coalesce((position > 0 and low <= stop) or (position < 0 and high >= stop), false) as stopped,
- round(case when (position > 0 and low <= stop and open <= stop) or (position < 0 and high >= stop and open >= stop) then open when (position > 0 and low <= stop) or (position < 0 and high >= stop) then stop end + 3.13713e-8, 4) as fill from d""",
+ round(case when (position > 0 and low <= stop and open <= stop) or (position < 0 and high >= stop and open >= stop) then open when (position > 0 and low <= stop) or (position < 0 and high >= stop) then stop end, 9) as fill from d""",
 )
 def stop_fills(t):
-    return rounded(P.stop_fill(stops(t)).select("symbol", "datetime", "stopped", "fill"), 4, NUDGE)
+    return rounded(P.stop_fill(stops(t)).select("symbol", "datetime", "stopped", "fill"), 9)
 
 
 DEF = f"select spread, date, value, r1, rho, unnest(['raw', 'band']) as definition, unnest([case when value > 0 then 'up' when value < 0 then 'down' end, {STD}]) as st from legcorr"

@@ -41,9 +41,9 @@ def lnr(a: str, b: str) -> str:
     return ln(f"({a}) / nullif({b}, 0)")
 
 
-def rnd(cols: list[str] | str, d: int = 6, nudge: str = "") -> str:
+def rnd(cols: list[str] | str, d: int = 6) -> str:
     names = cols.split() if isinstance(cols, str) else cols
-    return ", ".join(f"round({c}{nudge}, {d}) as {c}" for c in names)
+    return ", ".join(f"round({c}, {d}) as {c}" for c in names)
 
 
 def hash_int(text: str) -> str:

@@ -156,10 +156,14 @@ class Tables:
         )
 
     def roll_calendar(self) -> DataFrame:
-        months = F.explode(F.expr("sequence(date'1995-01-01', date'2001-12-01', interval 1 month)"))
+        """Each product's contract months, from the first to the last in the contract table."""
+        month = F.trunc(F.add_months("l_shipdate", F.col("l_linenumber")), "month")
+        ends = self.read("lineitem").agg(F.min(month).alias("a"), F.max(month).alias("b"))
+        months = F.explode(F.expr("sequence(a, b, interval 1 month)"))
         last = F.date_sub(F.last_day("m"), 10)
         return (
             self.read("region")
+            .crossJoin(F.broadcast(ends))  # one row
             .select(F.col("r_name").alias("product"), months.alias("m"))
             .select(
                 "product",
@@ -244,8 +248,8 @@ from curve where close_f1 is not null and close_f2 is not null""",
        case when month(last_trade_date) = 12 then last_trade_date - 2 end as first_notice_date
 from (select r_name as product, strftime(m, '%Y-%m') as contract_month,
              cast(last_day(m) - 10 as date) as last_trade_date
-      from region, (select unnest(generate_series(timestamp '1995-01-01',
-             timestamp '2001-12-01', interval 1 month)) as m))""",
+      from region, (select unnest(generate_series(min(mm), max(mm), interval 1 month)) as m
+             from (select date_trunc('month', l_shipdate + l_linenumber * interval 1 month)::timestamp as mm from lineitem)))""",
     "daily": """select symbol, cast(ts as date) as date, arg_min(price, id) as open,
        max(price) as high, min(price) as low, arg_max(price, id) as close, sum(qty) as volume
 from trades group by 1, 2""",
