@@ -8,11 +8,15 @@ only the very last sequence has padding.
 
 from __future__ import annotations
 
+import os
+import string
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,38 +26,141 @@ DIMS = 4
 HASHED = 512
 CURVE_BITS = 15
 EOS = 1
-CACHED_WORDS = 300_000
+
+
+def ragged(values: np.ndarray, count: np.ndarray, index: np.ndarray, group: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Lists ``index`` of a table of lists, end to end, and the length of each ``group`` of them."""
+    n = count[index]
+    ends = np.cumsum(n)
+    first = (np.cumsum(count) - count)[index]
+    out = values[np.repeat(first - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    return out, n.reshape(-1, group).sum(axis=1)
 
 
 class WordTokenizer:
-    """Token ids of whole texts, by words cut at ASCII white space.
+    """Token ids of many whole texts at once, each different word encoded once.
 
-    The tokenizer drops white space and never merges across it, so words can be
-    encoded once and kept; the kept words are bounded.
+    A tokenizer that drops white space and never merges across it lets texts be cut at
+    ASCII white space, in Arrow, and a batch's words be put in a dictionary. Words of
+    plain characters are encoded in one call, side by side, and cut apart by counting the
+    tokens that end a piece; other words one by one. What a tokenizer allows is probed
+    when it is loaded; one that keeps white space gets whole texts.
     """
 
+    PIECE = r"'(?:s|t|re|ve|m|ll|d)|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+    PLAIN = "^[\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017e]+$"  # one form, one lower case each
+
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if max(size, EOS + 1) <= 1 << 16 else np.dtype("<u4")
         self.size = size
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Packed ids of each text, the closing id included."""
-        split = [(x or b"").split() for x in texts]
-        new = list({w for ws in split for w in ws if w not in self.known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            found = self.tok.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (np.array(e.ids, self.dtype).tobytes() for e in found), strict=True))
-        end, known = np.array([EOS], self.dtype).tobytes(), self.known
-        out = [b"".join([known[w] for w in ws]) + end for ws in split]
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        return out
+        same = lambda x, *parts: self.ids(x) == [i for p in parts for i in self.ids(p)]
+        self.by_words = same("Ab, c1\n\t\x0b\x0c\r é's  <x>", "Ab,", "c1", "é's", "<x>") and same(" ab ", "ab")
+        self.folds = self.by_words and "Lowercase" in str(self.tok.normalizer) and same("AB éZ", "ab éz")
+        self.ends = np.zeros(size, bool)
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        if suffix:
+            self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
+        self.bare = Tokenizer(self.tok.model)  # for words of a to z, which nothing else changes
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        probe = "ab thing qzxjkw notwithstanding e"
+        self.bare_ok = self.ends.any() and self.bare.encode(probe, add_special_tokens=False).ids == self.ids(probe)
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+
+    def ids(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
+    def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, encoded apart, and how many each has."""
+        got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for g in got for i in g], np.int64), np.array([len(g) for g in got], np.int64)
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words and how many each has: stems and closing marks apart."""
+        stems = pc.utf8_rtrim(words, characters=string.punctuation)
+        cut = pc.match_substring_regex(stems, "[0-9a-z\u00e0-\u00f6]$")  # the tokenizer cuts after these
+        for s in self.special:
+            cut = pc.and_not(cut, pc.match_substring(words, s))
+        stems = pc.if_else(cut, stems, words)
+        short = np.flatnonzero(pc.not_equal(stems, words).to_numpy(zero_copy_only=False))
+        some = pa.array(short)
+        pairs = zip(words.take(some).to_pylist(), stems.take(some).to_pylist(), strict=True)
+        marks = pa.array([w[len(x) :] for w, x in pairs], pa.string()).dictionary_encode()
+        stems = stems.dictionary_encode()
+        ids, count = self.stems(stems.dictionary)
+        mark_ids, mark_count = self.each(["", *marks.dictionary.to_pylist()])
+        both = np.full((len(words), 2), len(count))
+        both[:, 0] = stems.indices.to_numpy()
+        both[short, 1] += 1 + marks.indices.to_numpy()
+        return ragged(np.concatenate([ids, mark_ids]), np.concatenate([count, mark_count]), both.ravel(), 2)
+
+    def stems(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        letters = pc.match_substring_regex(words, "^[a-z]+$").to_numpy(zero_copy_only=False) & self.bare_ok
+        plain = pc.match_substring_regex(words, self.PLAIN)
+        for s in self.special:
+            plain = pc.and_not(plain, pc.match_substring(words, s))
+        plain = plain.to_numpy(zero_copy_only=False) & self.ends.any() & ~letters
+        count = np.zeros(len(words), np.int64)
+        parts = []
+        for tok, which in ((self.bare, letters), (self.tok, plain)):
+            at = np.flatnonzero(which)
+            if not len(at):
+                continue
+            some = words.take(pa.array(at))
+            pieces = np.ones(len(at), np.int64)
+            if tok is self.tok:
+                pieces = pc.count_substring_regex(some, self.PIECE).to_numpy(zero_copy_only=False).astype(np.int64)
+            line = pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some), " ")[0].as_py()
+            ids = np.array(tok.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.int64)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == pieces.sum() and pieces.min() > 0:
+                count[at] = np.diff(cut[np.cumsum(pieces) - 1], prepend=0)
+                parts.append((at, ids))
+            else:  # the count of pieces is off somewhere
+                which[:] = False
+        at = np.flatnonzero(~(plain | letters))
+        if len(at):
+            ids, count[at] = self.each(words.take(pa.array(at)).to_pylist())
+            parts.append((at, ids))
+        start = np.cumsum(count) - count
+        out = np.zeros(int(count.sum()), np.int64)
+        for at, ids in parts:
+            n = count[at]
+            out[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return out, count
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text, the closing id included."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_words:
+            ids, count = self.each(texts.to_pylist())
+        else:
+            if self.folds:
+                low = pc.ascii_lower(texts)
+                for s in self.special:  # unless that makes a special token
+                    low = pc.if_else(pc.greater(pc.count_substring(low, s), pc.count_substring(texts, s)), texts, low)
+                texts = low
+            lists = pc.ascii_split_whitespace(texts)
+            offsets = lists.offsets.to_numpy()
+            coded = lists.values.slice(0, offsets[-1]).dictionary_encode()
+            ids, size = self.words(coded.dictionary)
+            ids, n = ragged(ids, size, coded.indices.to_numpy(zero_copy_only=False))
+            count = np.diff(np.concatenate([[0], np.cumsum(n)])[offsets])
+        ids = ids.astype(self.dtype)
+        stops = np.cumsum(count)
+        out = np.full(len(ids) + len(count), EOS, self.dtype)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(count)), count)] = ids
+        return np.split(out, (stops + np.arange(1, len(count) + 1))[:-1])
+
+
+@lru_cache(maxsize=2)
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One tokenizer per Python worker."""
+    return WordTokenizer(path)
 
 
 def projections(size: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,31 +175,29 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> Da
     """``doc_id``, packed ``ids``, their number ``n`` and the point ``p0`` .. ``p3``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = WordTokenizer(tokenizer)
+        tok = tokenizer_of(tokenizer)
         bucket, sign, proj = projections(tok.size)
         for b in batches:
-            for part in slices(b, 1):
-                ids = tok.encode(part.column(1).to_pylist())
+            for part in slices(b, 1, 16 << 20):
+                ids = tok.encode(part.column(1))
                 points = np.zeros((len(ids), DIMS))
                 for i, x in enumerate(ids):
-                    t = np.frombuffer(x, tok.dtype)[:-1]
+                    t = x[:-1]
                     if len(t):
                         v = np.bincount(bucket[t], weights=sign[t], minlength=HASHED)
                         v = np.sign(v) * np.sqrt(np.abs(v))
                         points[i] = v @ proj / max(np.linalg.norm(v), 1e-12)
-                n = np.array([len(x) // tok.dtype.itemsize for x in ids], np.int64)
-                cols = [part.column(0), pa.array(ids, pa.binary()), pa.array(n)]
+                n = np.array([len(x) for x in ids], np.int64)
+                cols = [part.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(n)]
                 cols += [pa.array(np.round(points[:, k], 9)) for k in range(DIMS)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "n", *[f"p{k}" for k in range(DIMS)]])
 
     schema = "doc_id long, ids binary, n long, " + ", ".join(f"p{k} double" for k in range(DIMS))
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(work, schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(work, schema)
 
 
 def slices(batch: pa.RecordBatch, col: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about ``most`` bytes, by the lengths of a binary column."""
-    import pyarrow.compute as pc
-
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     a = 0
     while a < batch.num_rows:
