@@ -105,8 +105,8 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, each:
     rng = np.random.default_rng(seed)
     w = np.zeros(len(ratio))
     alpha = np.zeros(len(rows))
-    values = [ratio[r] * e for r, e in zip(rows, each, strict=True)]
-    norm = np.array([v @ v for v in values])
+    values = [(ratio[r] * e).astype(np.float32) for r, e in zip(rows, each, strict=True)]
+    norm = np.array([float(v @ v) for v in values])
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
