@@ -8,7 +8,7 @@ from ..functions.exprs import forward_return, log_return
 from ..functions.ordered import DAILY, WEEKLY, rolling
 from ..operators import bars as B
 from ..sources import ingest as I
-from .registry import query, r, rounded, view
+from .registry import fine, query, r, rounded, view
 
 NATIONS = [f"NATION_{i}" for i in range(25)]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -161,7 +161,7 @@ def curve_scan(t):
 
 @query(
     "11",
-    """select symbol, datetime, d as dimension, round(s, 11) as score, l as label from (
+    """select symbol, datetime, d as dimension, floor(s * 1e9 + 0.5) / 1e9 as score, l as label from (
 select symbol, datetime, 'range' as d, high - low as s, case when high > low then 'wide' end as l from bars_w
 union all
 select symbol, datetime, 'move', nullif(close - open, 0), case when close > open then 'up' when close < open then 'down' end
@@ -177,7 +177,8 @@ def melt_sink(t):
         F.nullif(F.col("close") - F.col("open"), F.lit(0.0)).alias("move_score"),
         up.alias("move_label"),
     )
-    return rounded(I.melt_scores(d, ["symbol", "datetime"], ["range", "move"]), 11)
+    d = I.melt_scores(d, ["symbol", "datetime"], ["range", "move"])
+    return rounded(d.withColumn("score", fine("score")), score=None)
 
 
 @query(

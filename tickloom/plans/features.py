@@ -264,7 +264,7 @@ select p.symbol, p.date, p.basket, round(momentum_4, 6) as momentum_4, round(fwd
   round({_pct("p.date")}, 6) as rank_panel_momentum_4, round({_pct("p.date, p.basket")}, 6) as rank_basket_momentum_4,
   round(sin(2 * pi() * (isodow(p.date) - 1) / 5), 6) as cal_dow_sin, round(cos(2 * pi() * (isodow(p.date) - 1) / 5), 6) as cal_dow_cos,
   round(sin(2 * pi() * month(p.date) / 12), 6) + 0.0 as cal_month_sin, round(cos(2 * pi() * month(p.date) / 12), 6) + 0.0 as cal_month_cos,
-  round(close_f1 - close_f2, 11) as spread_12, round(close_f2 - close_f3, 11) as spread_23
+  round(close_f1 - close_f2, 7) as spread_12, round(close_f2 - close_f3, 7) as spread_23
 from p left join curve c on c.product = p.basket and c.date = p.date""",
 )
 def pooled_panel(t):
@@ -272,7 +272,7 @@ def pooled_panel(t):
     d = d.join(baskets(t), "symbol").withColumn("date", F.to_date("datetime"))
     d = d.select("symbol", "date", "basket", "close", "momentum_4")
     d = X.pooled_panel(d, ["momentum_4"], "close", 4, t.curve()).drop("close")
-    return rounded(d, spread_12=11, spread_23=11).withColumns(
+    return rounded(d, spread_12=7, spread_23=7).withColumns(
         {c: F.col(c).cast("double") for c in ("realized_1d_sign", "trailing_60d_sign")}
     )
 

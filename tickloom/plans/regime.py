@@ -121,7 +121,7 @@ ANN = "(close_f1 / nullif(close_f2, 0) - 1) * 365.0 / nullif(dte_f2 - dte_f1, 0)
 @query(
     "290, 291, 292, 293, 294, 295, 312, 313, 314, 315, 316, 317",
     f"""select product, date, round(-(close_f3 - close_f1) / nullif(close_f1, 0), 6) as ts_curve_slope, round({S.z("(close_f1 - close_f2)", 252, WP)}, 6) as ts_calendar_spread_z,
- round({ANN}, 6) as ts_ann_roll_yield, round((close_f1 - close_f2) / nullif(close_f2, 0), 6) as ts_roll_yield, round(close_f1 - close_f2 + {R.STORAGE} + {R.FINANCING} * close_f2 / 12, 11) as ts_excess_spread,
+ round({ANN}, 6) as ts_ann_roll_yield, round((close_f1 - close_f2) / nullif(close_f2, 0), 6) as ts_roll_yield, cast(cast(close_f1 - close_f2 + {R.STORAGE} + {R.FINANCING} * close_f2 / 12 as float) as double) as ts_excess_spread,
  round({ANN}, 6) as carry_ann_roll_yield, round({ANN} / nullif({S.std("r", 20, WP)} * {YR}, 0), 6) as carry_vol_scaled from curve_r""",
 )
 def curve_indicators(t):
@@ -134,7 +134,8 @@ def curve_indicators(t):
         260,
     )
     keep = [c for c in d.columns if c.startswith(("ts_", "carry_"))]
-    return rounded(d.select("product", "date", *keep), ts_excess_spread=11)
+    d = d.withColumn("ts_excess_spread", F.col("ts_excess_spread").cast("float").cast("double"))
+    return rounded(d.select("product", "date", *keep), ts_excess_spread=None)
 
 
 MCOLS = {"macro_vix": "urgent", "macro_yield_curve": "high", "macro_yield_curve_3m10y": "medium", "macro_hy_oas": "not_specified", "macro_ig_oas": "low", "macro_cot_noncomm": "cot"}

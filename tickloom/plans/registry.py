@@ -76,11 +76,16 @@ def r(col: Column | str, digits: int = 6) -> Column:
     return F.round(c.cast("double"), digits) + F.lit(0.0)
 
 
-def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
-    """All double columns rounded, those in ``other`` to their own number of digits."""
-    return df.select(
-        *[
-            r(n, other.get(n, digits)).alias(n) if t in ("double", "float") else F.col(n)
-            for n, t in df.dtypes
-        ]
-    )
+def fine(col: str) -> Column:
+    """To nine digits by plain arithmetic, which both engines do alike at halves."""
+    return F.floor(F.col(col) * 1e9 + 0.5) / 1e9
+
+
+def rounded(df: DataFrame, digits: int = 6, **other: int | None) -> DataFrame:
+    """All double columns rounded, those in ``other`` to their own digits or, at None, not."""
+
+    def column(name: str, kind: str) -> Column:
+        d = other.get(name, digits)
+        return F.col(name) if d is None or kind not in ("double", "float") else r(name, d).alias(name)
+
+    return df.select(*[column(n, t) for n, t in df.dtypes])
