@@ -3,7 +3,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-from tickloom.llm import weakrules
+from tests.check import compare, duck
+from tickloom.llm import queries, weakrules
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -37,6 +38,12 @@ def test_statistics_and_verdicts(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_query_equals_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    res, _, _ = compare(queries.op4_weak_rules(spark, sf), duck(sf), queries.ORACLES["op4_weak_rules"])
+    assert res == "ok", res
+
+
 def test_em_finds_planted_accuracies(spark):
     import random
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatsql, chatwindows, chunkdedup, htmlcrf, licenserules, mixing, nbsvm, packing, progjpeg, simhash, weakrules
+from . import chatsql, chatwindows, chunkdedup, htmlcrf, licenserules, mixing, nbsvm, packing, progjpeg, rulesql, simhash, weakrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,10 +52,13 @@ def op4_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = weakrules.judge(table(spark, sf_dir, "documents"))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        F.round("quality", 6).alias("quality"),
+        F.round("quality", 4).alias("quality"),
     )
 
 
+ORACLES["op4_weak_rules"] = rulesql.RULES_SQL
+
+
 @query
 def op5_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
