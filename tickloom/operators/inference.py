@@ -273,11 +273,21 @@ def auto_block_length(df: DataFrame, s: Ordered, x: str, max_lag: int = 50) -> D
     return g.select(*s.keys, "n", F.when(F.col("n") < 4, 1).otherwise(b).cast("int").alias("block_length"))
 
 
+DRAWS = 65_536  # blocks of a replicate that one row stands for until they are drawn
+
+
 def block_draws(sizes: DataFrame, keys: Sequence[str], n_boot: int, seed: int) -> DataFrame:
-    """Start and length of every drawn block. ``sizes``: keys, n, block."""
+    """Start and length of every drawn block. ``sizes``: keys, n, block.
+
+    Replicates, and runs of ``DRAWS`` blocks of one, are dealt out before they become
+    rows, so neither a long series nor many replicates are one task's work.
+    """
     d = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     d = d.withColumn("_blocks", F.ceil(F.col("n") / F.col("block")))
-    d = d.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    runs = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_blocks") - 1) / DRAWS))
+    d = d.withColumn("_run", F.explode(runs)).repartition(*keys, "rep", "_run")
+    last = F.least(F.col("_blocks"), (F.col("_run") + 1) * DRAWS) - 1
+    d = d.withColumn("_b", F.explode(F.sequence(F.col("_run") * DRAWS, last)))
     start = hash_int(F.lit(str(seed)), *keys, "rep", "_b") % F.col("n")
     length = F.when(
         F.col("_b") == F.col("_blocks") - 1, F.col("n") - F.col("_b") * F.col("block")

@@ -191,16 +191,15 @@ def coverage_profile(t):
 
 @query(
     "13",
-    """select count(*) as n_diff from (
-(select symbol, datetime, round(close, 6) from bars_w where close > 1500
- except all select symbol, datetime, round(close, 6) from bars_w where close <= 1500)
-union all
-(select symbol, datetime, round(close, 6) from bars_w where close <= 1500
- except all select symbol, datetime, round(close, 6) from bars_w where close > 1500))""",
+    """with a as (select symbol, datetime, round(close, 6) as close from bars_w),
+b as (select symbol, datetime, case when symbol = 'NATION_3' then close + 1 else close end as close from a where not (symbol = 'NATION_5' and year(datetime) = 1996))
+select count(*) as n_diff from ((from a except all from b) union all (from b except all from a))""",
 )
 def dataset_diff(t):
     b = rounded(t.bars_w().select("symbol", "datetime", "close"))
-    d = I.dataset_diff(b.where("close > 1500"), b.where("close <= 1500"))
+    changed = F.when(F.col("symbol") == "NATION_3", F.col("close") + 1).otherwise(F.col("close"))
+    copy = b.where("not (symbol = 'NATION_5' and year(datetime) = 1996)").withColumn("close", changed)
+    d = I.dataset_diff(b, copy)
     return d.agg(F.count(F.lit(1)).alias("n_diff"))
 
 

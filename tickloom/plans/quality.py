@@ -389,7 +389,7 @@ def lagged_macro_labels(t):
 
 @query(
     "87",
-    """with r as (select date, urgent / 10000 as rate from macro_w3 where extract(day from date) % 3 = 0),
+    """with r as (select date, urgent / 10000 as rate from macro_w3),
 j as (select s.spread, s.date, value, leg2_price, last_value(rate ignore nulls) over (partition by spread order by s.date) as rate from spreads s left join r on s.date = r.date),
 f as (select *, -(5.0 + rate * leg2_price / 12) as fv from j)
 select spread, date, round(rate, 9) as rate, round(fv, 6) as carry_fv, round(-value / nullif(fv, 0), 6) as carry_ratio,
@@ -398,7 +398,7 @@ select spread, date, round(rate, 9) as rate, round(fv, 6) as carry_fv, round(-va
 def fill_and_band(t):
     from ..sources.ingest import widen
 
-    r = widen(t.macro_long(), ["1-URGENT"], ["rate"]).where(F.dayofmonth("date") % 3 == 0)
+    r = widen(t.macro_long(), ["1-URGENT"], ["rate"])
     r = r.withColumn("rate", F.col("rate") / 10000)
     s = t.spreads().select("spread", "date", "value", "leg2_price")
     d = A.fill_and_band(s, r, ["spread"], 5.0, 0.0, 10.0)
