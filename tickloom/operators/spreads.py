@@ -194,19 +194,28 @@ def variance_ratio_test(df: DataFrame, s: Ordered, x: str, q: int) -> DataFrame:
     return g.select(*s.keys, "n", vr.alias("vr"), ((vr - 1) / se).alias("z_stat"))
 
 
-def hurst(df: DataFrame, s: Ordered, x: str, lo: int, hi: int) -> DataFrame:
-    """Half the slope of log var(lag k) on log k, k in [lo, hi)."""
+HURST_LAGS = 100  # upper end of the lags where a series is long enough
+
+
+def hurst(df: DataFrame, s: Ordered, x: str, lo: int = 2, hi: int | None = None) -> DataFrame:
+    """Half the slope of log var(lag k) on log k, k in [lo, hi).
+
+    By default ``hi`` is a series' quarter length, 100 at most and lo + 1 at least.
+    """
+    n = F.count(x)
+    upto = F.greatest(F.lit(lo + 1), F.least(F.lit(HURST_LAGS), F.floor(n / 4))) if hi is None else F.lit(hi)
+    hi = HURST_LAGS if hi is None else hi
     d = rolling(
         df.where(F.col(x).isNotNull()),
         s,
         lambda w: {f"_k{k}": F.col(x) - F.lag(x, k).over(w) for k in range(lo, hi)},
         back=hi,
     )
-    g = d.groupBy(*s.keys).agg(*[F.var_pop(f"_k{k}").alias(f"_v{k}") for k in range(lo, hi)])
+    g = d.groupBy(*s.keys).agg(upto.alias("_hi"), *[F.var_pop(f"_k{k}").alias(f"_v{k}") for k in range(lo, hi)])
     cells = F.explode(
         F.array(*[F.struct(F.lit(float(k)).alias("k"), F.col(f"_v{k}").alias("v")) for k in range(lo, hi)])
     )
-    t = g.select(*s.keys, cells.alias("_c")).select(*s.keys, "_c.k", "_c.v").where(F.col("v") > 0)
+    t = g.select(*s.keys, "_hi", cells.alias("_c")).where("_c.k < _hi and _c.v > 0").select(*s.keys, "_c.k", "_c.v")
     t = t.groupBy(*s.keys).agg(
         F.regr_slope(F.log("v"), F.log("k")).alias("_b"), F.count(F.lit(1)).alias("_n")
     )
@@ -251,7 +260,9 @@ def stability(df: DataFrame, s: Ordered, x: str, parts: int = 4, lo: float = 3.0
     return r.withColumn("stable", F.col("full_in_band") & (F.col("n_in_band") >= 3))
 
 
-def stationarity_screen(df: DataFrame, s: Ordered, x: str, max_lag: int, hurst_hi: int) -> DataFrame:
+def stationarity_screen(
+    df: DataFrame, s: Ordered, x: str, max_lag: int, hurst_hi: int | None = None
+) -> DataFrame:
     """ADF, VR(5), VR(20), Hurst and stability together."""
     k = list(s.keys)
     a = adf(df, s, x, max_lag, 60).select(*k, F.col("t_stat").alias("adf_t"), F.col("stationary_5pct").alias("adf_pass"))

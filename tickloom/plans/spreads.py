@@ -131,14 +131,16 @@ def variance_ratio_test(t):
     return rounded(P.variance_ratio_test(sp(t), P.SPREAD, "value", 5))
 
 
-HURST = f"""select spread, regr_slope(ln(v), ln(k)) / 2 as hurst from (select spread, k, var_pop(d) as v from (
- {" union all ".join(f"select spread, {k} as k, value - lag(value, {k}) over ({WS}) as d from spreads" for k in range(2, 40))}) group by 1, 2) where v > 0 group by 1"""
+HURST = f"""with n as (select spread, greatest(3, least(100, count(value) // 4)) as hi from spreads group by 1),
+r as (select spread, value, row_number() over ({WS}) as i from spreads where value is not null),
+k as (select a.spread, a.i - b.i as k, var_pop(a.value - b.value) as v from r a join r b on a.spread = b.spread and b.i between a.i - 99 and a.i - 2 group by 1, 2)
+select k.spread, regr_slope(ln(v), ln(k)) / 2 as hurst from k join n on k.spread = n.spread where k < hi and v > 0 group by 1"""
 view("hurst_v", HURST)
 
 
 @query("383", "select spread, round(hurst, 6) as hurst from hurst_v")
 def hurst_exponent(t):
-    return rounded(P.hurst(sp(t), P.SPREAD, "value", 2, 40))
+    return rounded(P.hurst(sp(t), P.SPREAD, "value"))
 
 
 view(
@@ -181,7 +183,7 @@ def half_life_stability(t):
 
 @query("387")
 def stationarity_screen(t):
-    return rounded(P.stationarity_screen(sp(t), P.SPREAD, "value", 5, 40))
+    return rounded(P.stationarity_screen(sp(t), P.SPREAD, "value", 5))
 
 
 view(
