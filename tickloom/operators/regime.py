@@ -231,42 +231,107 @@ def three_bands(low: str, mid: str, high: str, a: float, b: float) -> tuple[Band
     return (Band(low, None, a), Band(mid, a, b), Band(high, b, None))
 
 
-# Indicator weights, scalings and label bands.
-TREND = Dimension(
-    "trend",
-    three_bands("bear", "sideways", "bull", -0.25, 0.3),
-    (
-        Indicator("trend_price_vs_ma", 0.25),
-        Indicator("trend_ma_slope", 0.20),
-        Indicator("trend_nday_log_return", 0.20),
-        Indicator("trend_adx", 0.20, "linear", half_range=50.0),
-        Indicator("trend_efficiency", 0.15, "raw"),
-    ),
+# Indicator weights, scalings and label bands of each asset class.
+TREND_INDICATORS = (
+    Indicator("trend_price_vs_ma", 0.25),
+    Indicator("trend_ma_slope", 0.20),
+    Indicator("trend_nday_log_return", 0.20),
+    Indicator("trend_adx", 0.20, "linear", half_range=50.0),
+    Indicator("trend_efficiency", 0.15, "raw"),
 )
-VOLATILITY = Dimension(
-    "volatility",
-    (
+TREND = Dimension("trend", three_bands("bear", "sideways", "bull", -0.3, 0.3), TREND_INDICATORS)
+EQUITY_TREND = Dimension("trend", three_bands("bear", "sideways", "bull", -0.25, 0.3), TREND_INDICATORS)
+
+
+def volatility_bands(high: float) -> tuple[Band, ...]:
+    return (
         Band("low", None, -0.5),
-        Band("normal", -0.5, 0.3),
-        Band("high", 0.3, 0.75),
+        Band("normal", -0.5, high),
+        Band("high", high, 0.75),
         Band("extreme", 0.75, None),
-    ),
+    )
+
+
+VOLATILITY = Dimension(
+    "volatility",
+    volatility_bands(0.3),
     (
         Indicator("vol_atr_percentile", 0.4, "raw"),
         Indicator("vol_realized_percentile", 0.4, "raw"),
         Indicator("vol_of_vol", 0.2, "percentile"),
     ),
 )
+EQUITY_VOLATILITY = Dimension(
+    "volatility",
+    volatility_bands(0.2),
+    (
+        Indicator("vol_atr_percentile", 0.30, "raw"),
+        Indicator("vol_realized_percentile", 0.30, "raw"),
+        Indicator("vol_of_vol", 0.15, "percentile"),
+        Indicator("vol_vix_level", 0.25, "raw"),
+    ),
+)
+REVERSION_BANDS = three_bands("trending", "neutral", "mean_reverting", -0.2, 0.2)
 MEAN_REVERSION = Dimension(
     "mean_reversion",
-    three_bands("trending", "neutral", "reverting", -0.2, 0.2),
+    REVERSION_BANDS,
     (
         Indicator("mr_autocorr", 0.35),
         Indicator("mr_variance_ratio", 0.35),
         Indicator("mr_half_life", 0.30, "linear", center=16.5, half_range=30.0, direction=-1.0),
     ),
 )
-CORE = (TREND, VOLATILITY, MEAN_REVERSION)
+EQUITY_REVERSION = Dimension(
+    "mean_reversion", REVERSION_BANDS, (Indicator("mr_autocorr", 0.5), Indicator("mr_variance_ratio", 0.5))
+)
+TERM_STRUCTURE = Dimension(
+    "term_structure",
+    three_bands("contango", "flat", "backwardation", -0.15, 0.15),
+    (
+        Indicator("ts_curve_slope", 0.30, "linear", half_range=0.10),
+        Indicator("ts_calendar_spread_z", 0.20, "raw"),
+        Indicator("ts_ann_roll_yield", 0.30, "linear", half_range=0.25),
+        Indicator("ts_excess_spread", 0.20),
+    ),
+)
+CARRY = Dimension(
+    "carry",
+    three_bands("negative", "neutral", "positive", -0.2, 0.2),
+    (
+        Indicator("carry_ann_roll_yield", 0.60, "linear", half_range=0.25),
+        Indicator("carry_vol_scaled", 0.40, "linear", half_range=1.0),
+    ),
+)
+RISK = Dimension(
+    "risk",
+    three_bands("risk_off", "neutral", "risk_on", -0.3, 0.3),
+    (
+        Indicator("macro_vix", 0.25, "percentile", direction=-1.0),
+        Indicator("macro_hy_oas", 0.15, direction=-1.0),
+        Indicator("macro_hy_oas_delta", 0.15, direction=-1.0),
+        Indicator("macro_yield_curve", 0.25, "linear", center=1.5, half_range=4.0),
+        Indicator("macro_fed_funds_delta", 0.10, direction=-1.0),
+        Indicator("macro_cot_noncomm", 0.10),
+    ),
+)
+YIELD_CURVE = Dimension(
+    "yield_curve",
+    three_bands("inverted", "flat", "steep", -0.25, 0.25),
+    (
+        Indicator("macro_yield_curve", 0.50, "linear", half_range=2.0),
+        Indicator("macro_yield_curve_3m10y", 0.50, "linear", half_range=2.0),
+    ),
+)
+CREDIT = Dimension(
+    "credit",
+    three_bands("wide", "neutral", "tight", -0.3, 0.3),
+    (Indicator("macro_hy_oas", 0.50, direction=-1.0), Indicator("macro_ig_oas", 0.50, direction=-1.0)),
+)
+COMMODITY = (TREND, VOLATILITY, MEAN_REVERSION, TERM_STRUCTURE, CARRY)
+EQUITY = (EQUITY_TREND, EQUITY_VOLATILITY, EQUITY_REVERSION)
+FX = (TREND, VOLATILITY, MEAN_REVERSION)
+MACRO = (RISK, YIELD_CURVE, CREDIT)
+CONFIGURATIONS = {"commodity": COMMODITY, "equity": EQUITY, "fx": FX, "macro": MACRO}
 
 
 def squash(z: Column, scale: float = 2.0) -> Column:
@@ -376,9 +441,10 @@ def contributions(df: DataFrame, s: Ordered, dims: Sequence[Dimension]) -> DataF
     )
 
 
-def detect(df: DataFrame, s: Ordered, dims: Sequence[Dimension] = CORE) -> DataFrame:
+def detect(df: DataFrame, s: Ordered, dims: Sequence[Dimension] = COMMODITY, shift: int = 0) -> DataFrame:
     """Long (keys, time, dimension, score, label). ``df`` carries the indicator
-    columns; a dimension whose indicators are absent is skipped."""
+    columns; a dimension whose indicators are absent is skipped. ``shift`` moves scores
+    and labels that many rows later."""
     dims = [d for d in dims if all(i.name in df.columns for i in d.indicators)]
     c = contributions(df, s, dims)
     cells = []
@@ -394,6 +460,10 @@ def detect(df: DataFrame, s: Ordered, dims: Sequence[Dimension] = CORE) -> DataF
         d = smooth(long.where(F.col("dimension") == dim.key), by, "_raw", dim.span, "score")
         d = hysteresis_labels(d.drop("_raw"), by, "score", dim.bands, dim.margin, dim.dwell, "label")
         out = d if out is None else out.unionByName(d)
+    if out is not None and shift:
+        moved = lambda w: {f"_{c}": F.lag(c, shift).over(w) for c in ("score", "label")}
+        out = rolling(out, by, moved, back=shift)
+        out = out.withColumns({"score": F.col("_score"), "label": F.col("_label")}).drop("_score", "_label")
     return out
 
 

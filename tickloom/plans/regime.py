@@ -297,7 +297,25 @@ def hysteresis_labels(t):
 @query("335")
 def regime_detection(t):
     d = materialize(R.indicator_columns(px(t), WEEKLY))
-    return rounded(R.detect(d, WEEKLY))
+    return rounded(R.detect(d, WEEKLY, R.COMMODITY))
+
+
+@query("335")
+def regime_detection_equity(t):
+    """The equity set with the level of a macro series, one row later."""
+    d = materialize(R.indicator_columns(px(t), WEEKLY))
+    level = filled_macro_level(t).withColumn("datetime", F.col("date").cast("timestamp")).drop("date")
+    return rounded(R.detect(d.join(level, ["symbol", "datetime"]), WEEKLY, R.EQUITY, shift=1))
+
+
+@query("335")
+def regime_detection_curve(t):
+    return rounded(R.detect(materialize(curve_indicators(t)), C.PRODUCT, R.COMMODITY))
+
+
+@query("335")
+def regime_detection_macro(t):
+    return rounded(R.detect(materialize(macro_indicators(t)), DWEEK, R.MACRO))
 
 
 view(
