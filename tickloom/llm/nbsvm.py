@@ -91,13 +91,15 @@ def packed(slots: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def unpacked(row: bytes) -> np.ndarray:
+def unpacked(row: bytes | np.ndarray) -> np.ndarray:
+    if isinstance(row, np.ndarray):
+        return row
     if len(row) < PACKED:
         return np.frombuffer(row, "<u4")
     return np.flatnonzero(np.unpackbits(np.frombuffer(row, np.uint8)))
 
 
-def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, each: np.ndarray, c: np.ndarray, epochs: int, seed: int) -> np.ndarray:
+def dual_descent(rows: list[bytes] | list[np.ndarray], y: np.ndarray, ratio: np.ndarray, each: np.ndarray, c: np.ndarray, epochs: int, seed: int) -> np.ndarray:
     """Weights of min |w|^2 / 2 + sum c_i max(0, 1 - y_i w x_i), x_i = each_i * ratio on row i's slots.
 
     One dual variable is moved at a time to its best value in [0, c_i], in random order.
@@ -105,18 +107,19 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, each:
     rng = np.random.default_rng(seed)
     w = np.zeros(len(ratio))
     alpha = np.zeros(len(rows))
-    values = [(ratio[r] * e).astype(np.float32) for r, e in zip(rows, each, strict=True)]
-    norm = np.array([float(v @ v) for v in values])
+    norm = np.array([float(((ratio[unpacked(r)] * e) ** 2).sum()) for r, e in zip(rows, each, strict=True)])
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
             if norm[i] <= 0:
                 continue
-            grad = y[i] * (w[rows[i]] @ values[i]) - 1
+            at = unpacked(rows[i])  # rows stay packed: they may be long
+            value = ratio[at] * each[i]
+            grad = y[i] * (w[at] @ value) - 1
             new = min(max(alpha[i] - grad / norm[i], 0.0), c[i])
             step = new - alpha[i]
             if step:
-                w[rows[i]] += step * y[i] * values[i]
+                w[at] += step * y[i] * value
                 alpha[i] = new
                 moved = max(moved, abs(step) * norm[i])
         if moved < 1e-3:
@@ -153,7 +156,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, cost: float = 4.0, epochs: int = 30, seed: int = 3, smooth: float = 1.0) -> Model:
+def fit(rows: list[bytes] | list[np.ndarray], label: np.ndarray, cost: float = 4.0, epochs: int = 30, seed: int = 3, smooth: float = 1.0) -> Model:
     """Fit on slot lists and labels 0/1; with one class only, the score is that class's rate."""
     w = np.zeros(FIELDS)
     if len(rows) == 0 or label.min() == label.max():
@@ -161,12 +164,12 @@ def fit(rows: list[np.ndarray], label: np.ndarray, cost: float = 4.0, epochs: in
         return Model(w, 1.0, float(np.log(rate / (1 - rate))))
     p, q = np.full(FIELDS, smooth), np.full(FIELDS, smooth)
     for r, t in zip(rows, label, strict=True):
-        (p if t else q)[r] += 1
+        (p if t else q)[unpacked(r)] += 1
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     ratio[0] = 1.0
     ratio[(p + q) <= 2 * smooth + 1] = 0.0  # seen in one row only
     y = np.where(label > 0, 1.0, -1.0)
-    each = np.array([1 / np.sqrt(len(r)) for r in rows])
+    each = np.array([1 / np.sqrt(len(unpacked(r))) for r in rows])
 
     def train(at: np.ndarray) -> np.ndarray:
         return dual_descent([rows[i] for i in at], y[at], ratio, each[at], np.full(len(at), cost), epochs, seed)
@@ -176,7 +179,7 @@ def fit(rows: list[np.ndarray], label: np.ndarray, cost: float = 4.0, epochs: in
     for k in range(3):
         w = train(np.flatnonzero(fold != k)) * ratio
         for i in np.flatnonzero(fold == k):
-            margin[i] = w[rows[i]].sum() * each[i]
+            margin[i] = w[unpacked(rows[i])].sum() * each[i]
     slope, offset = logistic(margin, y)
     return Model(train(np.arange(len(rows))) * ratio, slope, offset)
 
@@ -189,8 +192,9 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, seed: int = 3) -> Model:
     """Fit on at most ``max_rows`` labelled rows that are not held out, chosen by hash.
 
-    Rows with a null id or label are left out; of several labels of one document the
-    smallest counts; of several documents of one id one is used.
+    The fit is one task's work on that bounded sample. Rows with a null id or label are
+    left out; of several labels of one document the smallest counts; of several documents
+    of one id one is used.
     """
     spark = docs.sparkSession
     mine = labels.where(~held_out()).where("doc_id is not null and quality is not null")
@@ -209,12 +213,24 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, se
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), rows], ["doc_id", "quality", "slots"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    got = (
+    rows = (
         text.join(chosen, "doc_id").select("doc_id", "quality", "text")
-        .mapInArrow(work, "doc_id long, quality int, slots binary").dropDuplicates(["doc_id"]).collect()
+        .mapInArrow(work, "doc_id long, quality int, slots binary").dropDuplicates(["doc_id"])
+        .repartition(1).sortWithinPartitions("doc_id")  # at most max_rows rows of at most PACKED bytes
     )
-    got = sorted(got, key=lambda r: (r["doc_id"]))
-    return fit([unpacked(bytes(r["slots"])) for r in got], np.array([r["quality"] for r in got], int))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, label = [], []
+        for b in batches:
+            label += b.column(1).to_pylist()
+            slots += b.column(2).to_pylist()
+        m = fit(slots, np.array(label, int))
+        yield pa.RecordBatch.from_pydict({"w": [m.weight.astype("<f4").tobytes()], "slope": [m.slope], "offset": [m.offset]})
+
+    got = rows.mapInArrow(learn, "w binary, slope double, offset double").collect()
+    if not got:
+        return fit([], np.zeros(0, int))
+    return Model(np.frombuffer(bytes(got[0]["w"]), "<f4"), got[0]["slope"], got[0]["offset"])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
