@@ -67,6 +67,39 @@ def test_overlapping_sources(spark):
     assert alone == pytest.approx(1000 / 3, abs=20)  # the only way to fill c is to repeat its pattern
 
 
+@pytest.mark.parametrize(("long", "after"), [(19_000, 0), (15_000, 0), (40_000, 25), (7_000, 49)])
+def test_long_document_bars_no_later_ones(spark, long, after):
+    """Target 10000 of a source with 200 documents of 200 words and a long one at a given place of the order."""
+    text = "w " * long
+    rows = [(i, "w " * 200, "a") for i in range(200)]
+    h = F.xxhash64(F.lit(17), F.col("doc_id"), F.xxhash64("text"))
+    small = sorted(r.h for r in spark.createDataFrame(rows, "doc_id long, text string, s string").select(h.alias("h")).collect())
+    at = spark.range(1000, 40_000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text")).select("doc_id", h.alias("h"))
+    low = small[after - 1] if after else -(2**63)
+    rows.append((at.where((F.col("h") > low) & (F.col("h") < small[after])).first().doc_id, text, "a"))
+    rows += [(100_000 + i, "w " * 100, "b") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    total = 80_000 + long
+    out = mixing.mix(df, weights=(10_000, total - 10_000)).where("source = 'a'").collect()
+    assert out[0].target == pytest.approx(10_000)
+    assert sum(r.taken for r in out) == 10_000
+
+
+def test_gap_is_below_every_unused_document(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(i, "w " * int(2 ** r.uniform(0, 13)), "a" if i % 3 else "b") for i in range(600)]
+    rows += [(7, rows[7][1], "a")] * 2  # equal rows are one unit
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 2)).collect()
+    for s in "ab":
+        rs = [x for x in out if x.source == s]
+        gap = rs[0].target - sum(x.taken for x in rs)
+        least = min(x.size for x in rs if x.taken == min(y.taken for y in rs))
+        assert abs(gap) <= max(1, least)
+    assert len({x.taken for x in out if x.doc_id == 7}) == 1
+
+
 def test_odd_rows(odd, none, odd_rows):
     out = mixing.mix(odd).collect()
     assert len(out) == len(odd_rows)

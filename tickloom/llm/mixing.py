@@ -4,7 +4,7 @@ Documents are summed by membership pattern (the set of sources they belong to).
 network over these sums routes tokens to the sources' quotas: each pattern offers its
 size once per repetition, every further repetition at a higher cost. The flow tells how
 often each pattern is repeated; a seeded order picks the documents of the last, partial
-repetition.
+repetition, in rounds that pass over documents longer than what is left.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from .common import WORD, running_start, stage
 COSTS = (0, 1, 3)  # of the first, second and third use of a document
 WEIGHTS = (5, 2, 1)
 MAX_PATTERNS = 100_000  # rows of the pattern table that the driver may hold
-FILL = 3  # most documents within a pattern's gap that close it, before one that is nearest to it
 
 
 def quotas(sizes: Sequence[int], weights: Sequence[float], total: float, most: float) -> list[float]:
@@ -111,6 +110,17 @@ def min_cost_flow(
     return flows
 
 
+#: What the last repetition takes of a pattern: units up to a size and before a hash; single units.
+CHOICE = "_rules array<struct<most:long,stop:long>>, _picks array<long>"
+
+
+def chosen(size: str | Column) -> Column:
+    """Whether a unit of hash ``_h`` is taken by ``_rules`` or ``_picks``."""
+    size = F.col(size) if isinstance(size, str) else size
+    ruled = F.exists("_rules", lambda r: (size <= r["most"]) & (r["stop"].isNull() | (F.col("_h") < r["stop"])))
+    return ruled | F.array_contains("_picks", F.col("_h"))
+
+
 def words(text: str | Column) -> Column:
     """Number of words of the whole text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -150,7 +160,9 @@ def mix(
     pattern = F.array_join(F.transform("mix_members", lambda x: F.coalesce(F.hex(x), F.lit("-"))), ",")
     keyed = keyed.withColumn("_pattern", pattern)
     units = stage(
-        keyed.groupBy("_pattern", "_h").agg(F.sum("size").alias("size"), F.first("mix_members").alias("members"))
+        keyed.groupBy("_pattern", "_h").agg(
+            F.sum("size").alias("size"), F.first("mix_members").alias("members"), F.count("*").alias("n")
+        )
     )
     sums = units.groupBy("_pattern").agg(F.sum("size").alias("size"), F.first("members").alias("members"))
     rows = sums.orderBy("_pattern").limit(MAX_PATTERNS + 1).collect()
@@ -172,44 +184,56 @@ def mix(
     for r, f in zip(rows, flows, strict=True):
         taken = sum(f.values())
         full[r["_pattern"]], rest[r["_pattern"]] = divmod(taken, r["size"]) if r["size"] else (0, 0)
-    kind = "_pattern string, rest long"
-    todo = F.broadcast(spark.createDataFrame(list(rest.items()), kind))
-    order = stage(
-        running_start(units.where("size > 0").select("_pattern", "_h", "size"), ["_pattern", "_h"], "size", "_pattern")
-        .join(todo, "_pattern").withColumn("inside", F.col("start") + F.col("size") <= F.col("rest"))
-    )
-    edge = order.groupBy("_pattern").agg(
-        F.min(F.when(~F.col("inside"), F.col("_h"))).alias("stop"),
-        F.sum(F.when(F.col("inside"), F.col("size")).otherwise(0)).alias("got"),
-    )
-    stop: dict[str, int | None] = {}
-    for r in edge.collect():
-        stop[r["_pattern"]] = r["stop"]
-        rest[r["_pattern"]] -= r["got"]
+    order = units.where("size > 0").select("_pattern", "_h", "size")
+    rules: dict[str, list[tuple[int, int | None]]] = {k: [] for k in rest}
     picks: dict[str, list[int]] = {k: [] for k in rest}
-    for last in [False] * FILL + [True]:
-        gap = [(k, v, picks[k]) for k, v in rest.items() if v > 0]
+
+    def unused(gap: dict[str, int]) -> DataFrame:
+        """Units not taken yet of the patterns in ``gap``."""
+        rows = [(k, v, rules[k], picks[k]) for k, v in gap.items()]
+        left = F.broadcast(spark.createDataFrame(rows, f"_pattern string, gap long, {CHOICE}"))
+        return order.join(left, "_pattern").where(~chosen("size"))
+
+    # Each round takes the prefix of the units within a bound that fits. From the second on
+    # the bound is half the gap, so a round halves the gap or uses all units up to the bound.
+    most = {k: v for k, v in rest.items() if v > 0}
+    while most:
+        within = unused(most).where("size <= gap").select("_pattern", "_h", "size")
+        room = F.broadcast(spark.createDataFrame([(k, rest[k]) for k in most], "_pattern string, room long"))
+        inside = F.col("start") + F.col("size") <= F.col("room")
+        edge = running_start(within, ["_pattern", "_h"], "size", "_pattern").join(room, "_pattern").groupBy("_pattern").agg(
+            F.min(F.when(~inside, F.col("_h"))).alias("stop"), F.sum(F.when(inside, F.col("size")).otherwise(0)).alias("got")
+        )
+        more = {}
+        for r in edge.collect():
+            k = r["_pattern"]
+            rules[k].append((most[k], r["stop"]))
+            rest[k] -= r["got"]
+            if r["stop"] is not None and rest[k] > 1:
+                more[k] = rest[k] // 2
+        most = more
+    for last in (False, True):  # at most one more unit fits; then one that is nearest
+        gap = {k: v for k, v in rest.items() if v > 0}
         if not gap:
             break
-        small = F.broadcast(spark.createDataFrame(gap, "_pattern string, gap long, had array<long>"))
-        free = order.where("not inside").join(small, "_pattern").where(f"size < {'2 * gap' if last else 'gap + 1'} and not array_contains(had, _h)")
+        free = unused(gap).where("size < 2 * gap" if last else "size <= gap")
         near = F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "size", "_h")).alias("x")
         for r in free.groupBy("_pattern").agg(near).collect():
             picks[r["_pattern"]].append(r["x"]["_h"])
             rest[r["_pattern"]] -= r["x"]["size"]
     plan = [
         (
-            r["_pattern"], full[r["_pattern"]], stop.get(r["_pattern"]), picks[r["_pattern"]],
+            r["_pattern"], full[r["_pattern"]], rules[r["_pattern"]], picks[r["_pattern"]],
             size[index[r["members"][0]]] if r["members"] else 0, quota[index[r["members"][0]]] if r["members"] else 0.0,
         )
         for r in rows
     ]
-    schema = "_pattern string, _full long, _stop long, _picks array<long>, source_size long, target double"
+    schema = f"_pattern string, _full long, {CHOICE}, source_size long, target double"
     plans = F.broadcast(spark.createDataFrame(plan, schema))
-    extra = F.col("_stop").isNull() | (F.col("_h") < F.col("_stop")) | F.array_contains("_picks", F.col("_h"))
-    taken = F.col("size") * (F.col("_full") + F.when(extra, 1).otherwise(0))
-    out = keyed.join(plans, "_pattern").withColumn("taken", taken)
-    return out.drop("_pattern", "_h", "_full", "_stop", "_picks")
+    many = stage(units.where("n > 1").select("_pattern", "_h", F.col("size").alias("_unit")))  # few: equal rows
+    taken = F.col("size") * (F.col("_full") + F.when(chosen(F.coalesce("_unit", "size")), 1).otherwise(0))
+    out = keyed.join(many, ["_pattern", "_h"], "left").join(plans, "_pattern").withColumn("taken", taken)
+    return out.drop("_pattern", "_h", "_full", "_rules", "_picks", "_unit")
 
 
 def mixed(docs: DataFrame, **kw) -> DataFrame:
