@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A text with none of these has no licence sentence.
+#: Every pattern of SENTENCES needs one of these or a SHORT word. Each lies in one word, so no
+#: line break or comment leader divides it, and the written text can be tested.
 KEYS = (
-    "licen", "copyright", "warrant", "redistribut", "permission", "public domain", "rights reserved", "creative commons",
-    "cc by", "cc-by", "cc0", "as is", "as-is", "liab", "endorse", "acknowledg",
+    "licen", "copyright", "warrant", "redistribut", "permission", "domain", "reserved", "commons", "gpl", "liab", "endorse",
+    "acknowledg",
 )
+SHORT = re.compile(r"(?<![a-z0-9])(?:mpl|cc0?)(?![a-z0-9])")
 
 VERSION = r"v?\.? ?(\d+(?:\.\d+)*)"
 LATER = r"(?: (?:or|and) (?:\(?at your option\)? )?any later(?: version)?| or later)?"
@@ -104,8 +106,12 @@ RULES: tuple[tuple[tuple[str, ...], str], ...] = (
 )
 
 COMPILED = tuple((name, re.compile(rf"(?<![a-z0-9])(?:{p})(?![a-z0-9])")) for name, p in SENTENCES)
-SENTENCE = re.compile(r"(?:[^.!?\n]|[.!?](?=[^\s])|\n(?!\s*\n))+[.!?]*")
-LEADER = re.compile(r"\n[ \t]*(?://+|#+|\*+|--+|;+|%+|rem\b)?[ \t]*")
+MARK = r"(?://+|#+|\*+|--+|;+|%+|rem\b)?"
+#: A full stop ends a sentence before white space, but not in "v. 2", wrapped or not.
+SENTENCE = re.compile(
+    rf"(?:[^.!?\n]|[.!?](?=[^\s])|(?<![A-Za-z0-9][vV])(?<=[vV])\.(?=[ \t]*(?:\r?\n[ \t]*{MARK}[ \t]*)?\d)|\n(?!\s*\n))+[.!?]*"
+)
+LEADER = re.compile(rf"\n[ \t]*{MARK}[ \t]*")
 DROP = re.compile(r"[\"'`“”‘’*_:()\[\]<>]+(?=\s|$)|(?<!\S)[\"'`“”‘’*_(\[<]+|(?<=\w)[\"'”’)\]]+(?=[,;])")
 
 
@@ -165,6 +171,11 @@ def fits(rule: tuple[str, ...], ids: list[str], at: int) -> int:
     return k - at
 
 
+def keyed(low: str) -> bool:
+    """Whether lower-case text may hold a sentence of the list."""
+    return any(k in low for k in KEYS) or (("mpl" in low or "cc" in low) and SHORT.search(low) is not None)
+
+
 def scan(text: str | None) -> tuple[list[str], list[str], list[dict]]:
     """Licences in order without repeats, sentence identifiers in order, and places.
 
@@ -172,8 +183,7 @@ def scan(text: str | None) -> tuple[list[str], list[str], list[dict]]:
     """
     if not text:
         return [], [], []
-    low = text.lower()
-    if not any(k in low for k in KEYS):
+    if not keyed(text.lower()):
         return [], [], []
     ids: list[str] = []
     groups: list[dict[str, str]] = []
@@ -181,7 +191,7 @@ def scan(text: str | None) -> tuple[list[str], list[str], list[dict]]:
     for m in SENTENCE.finditer(text):
         raw = m.group()
         lowered = raw.lower()
-        if not any(k in lowered for k in KEYS):
+        if not keyed(lowered):
             continue
         got = identify(normalised(raw))
         for name, g in got:
