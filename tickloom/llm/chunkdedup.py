@@ -2,8 +2,10 @@
 
 A gear hash rolls over the text's bytes; where its tested bits are zero a chunk ends, so
 chunk borders move with the content and an insertion disturbs its neighbourhood only.
-Chunks are compared by a 128-bit digest over the whole table. A run of repeated chunks
-of at least ``min_words`` words is removed everywhere but at its first occurrence.
+Chunks are compared by a 128-bit digest over the whole table. Where a run of repeated
+chunks ends, the bytes beside it are compared with those beside the first copy, so the run
+grows to the passage's own ends. A passage of at least ``min_words`` words is removed
+everywhere but at its first occurrence.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +26,9 @@ MASK_BITS = 5  # a border every 32 bytes on average, after the least length
 MIN_CHUNK = 16
 MAX_CHUNK = 256
 MIN_WORDS = 15
+#: Bytes of the first copy compared beside a repeated chunk. After one, borders agree to the
+#: passage's end, so the rest lies in one chunk; before one, borders may have to fall in step.
+BEFORE, AFTER = 2 * MAX_CHUNK, MAX_CHUNK
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -99,46 +104,85 @@ def _marked(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([*part.columns[2:], *new], [*part.schema.names[2:], *ADDED])
 
 
+def beside(wanted: DataFrame) -> DataFrame:
+    """For each wanted chunk (``want``: digest halves, place, sides) of a text ``t``: the bytes beside it."""
+    schema = T._parse_datatype_string("h1 long, h2 long, left binary, right binary")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        for b in batches:
+            for part in slices(b, 0):
+                rows = []
+                for t, want in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    begin = [0, *borders(np.frombuffer(t, np.uint8)).tolist()]
+                    for x in want:
+                        lo, hi = begin[x["i"]], begin[x["i"] + 1]
+                        left = t[max(0, lo - BEFORE) : lo] if x["l"] else None
+                        rows.append((x["h1"], x["h2"], left, t[hi : hi + AFTER] if x["r"] else None))
+                cols = zip(*rows, strict=True) if rows else [[], [], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], schema.names)
+
+    return wanted.mapInArrow(work, schema)
+
+
+def common(a: bytes, b: bytes) -> int:
+    """Length of the longest common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
+
+
 def cut_text(text: bytes | None, found: list[dict] | None, min_words: int) -> tuple:
     """Text without its later copies, removed byte spans, documents of the first copies,
     and bytes that occur elsewhere (first copies included).
 
-    ``found`` has the repeated chunks: place ``i``, whether the chunk is a later copy, and
-    the document of the first. Spans are drawn in to whole words.
+    ``found`` has the repeated chunks: place ``i``, whether the chunk is a later copy, the
+    document of the first, and the bytes beside the first (``left``, ``right``) where they
+    may differ. Later copies grow into the bytes that agree; spans are drawn in to whole words.
     """
     if text is None or not found:
         return (text.decode("utf-8", "replace") if text is not None else None, [], [], 0)
     found = sorted(found, key=lambda x: x["i"])
-    runs: list[list[dict]] = []
-    for x in found:
-        if runs and runs[-1][-1]["i"] + 1 == x["i"]:
-            runs[-1].append(x)
-        else:
-            runs.append([x])
     begin = [0, *borders(np.frombuffer(text, np.uint8)).tolist()]
+    parts: list[list] = []  # runs of first or of later copies: start, end, later, documents
+    for k, x in enumerate(found):
+        lo, hi = begin[x["i"]], begin[x["i"] + 1]
+        if x["later"]:
+            if x.get("left") and not (k and found[k - 1]["i"] + 1 == x["i"] and found[k - 1]["later"]):
+                lo -= common(x["left"][::-1], text[max(0, lo - BEFORE) : lo][::-1])
+            if x.get("right") and not (k + 1 < len(found) and found[k + 1]["i"] == x["i"] + 1 and found[k + 1]["later"]):
+                hi += common(x["right"], text[hi : hi + AFTER])
+        docs = {x["doc"]} if x["later"] and x["doc"] is not None else set()
+        while parts and parts[-1][2] and x["later"] and parts[-1][1] >= lo:
+            last = parts.pop()
+            lo, hi, docs = min(lo, last[0]), max(hi, last[1]), docs | last[3]
+        parts.append([lo, hi, x["later"], docs])
+    runs: list[list] = []  # passages: start, end, parts
+    for x in sorted(parts, key=lambda x: x[:2]):
+        if runs and runs[-1][1] >= x[0]:
+            runs[-1][1] = max(runs[-1][1], x[1])
+            runs[-1][2].append(x)
+        else:
+            runs.append([x[0], x[1], [x]])
     spans: list[tuple[int, int]] = []
     sources: set[int] = set()
     repeated = 0
-    for run in runs:
-        lo, hi = begin[run[0]["i"]], begin[run[-1]["i"] + 1]
-        if len(text[lo:hi].split()) < min_words:
+    for start, end, run in runs:
+        if len(text[start:end].split()) < min_words:
             continue
-        repeated += hi - lo
-        part: list[dict] = []
-        for x in [*run, None]:
-            if x is not None and x["later"] and (not part or part[-1]["i"] + 1 == x["i"]):
-                part.append(x)
+        repeated += end - start
+        for lo, hi, later, docs in run:
+            if not later:
                 continue
-            if part:
-                lo, hi = begin[part[0]["i"]], begin[part[-1]["i"] + 1]
-                while lo > 0 and lo < hi and not text[lo - 1 : lo].isspace():
-                    lo += 1
-                while hi < len(text) and hi > lo and not text[hi : hi + 1].isspace():
-                    hi -= 1
-                if hi > lo:
-                    spans.append((lo, hi))
-                    sources.update(y["doc"] for y in part if y["doc"] is not None)
-            part = [x] if x is not None and x["later"] else []
+            lo = max(lo, spans[-1][1]) if spans else lo
+            while lo > 0 and lo < hi and not text[lo - 1 : lo].isspace():
+                lo += 1
+            while hi < len(text) and hi > lo and not text[hi : hi + 1].isspace():
+                hi -= 1
+            if hi > lo:
+                spans.append((lo, hi))
+                sources.update(docs)
     keep, last = [], 0
     for lo, hi in spans:
         keep.append(text[last:lo])
@@ -156,7 +200,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Added: ``kept_text`` (the text without later copies of passages), ``removed`` (byte
     spans of the UTF-8 text), ``first_docs`` (ids of the documents that keep the removed
-    passages), ``repeated_bytes`` (bytes in passages that occur elsewhere too). The first
+    passages), ``repeated_bytes`` (bytes in passages that occur elsewhere too; of a first copy
+the whole chunks). The first
     copy is the one in the smallest (doc_id, row, place), null ids last; repeats inside
     one text count. Null texts stay null, empty ones empty; rows equal in id and text get
     the same result; an empty table gives an empty result. Columns of the added names in
@@ -174,17 +219,32 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     flat = cut.select("uid", F.posexplode(F.arrays_zip("h1", "h2")).alias("i", "h"))
     flat = flat.select("uid", "i", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
     again = flat.join(halves.where("n > 1").select("h1"), "h1")
-    again = stage(again.join(cut.select("uid", "doc_id", "text_hash"), "uid"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid", "i")).alias("first")
-    twice = again.groupBy("h1", "h2").agg(F.count("*").alias("n"), first).where("n > 1").drop("n")
+    again = again.join(cut.select("uid", "doc_id", "text_hash"), "uid")
+    near = Window.partitionBy("uid").orderBy("i")  # the chunks of one row
+    beside_it = [F.when(fn("i").over(near) == F.col("i") + d, fn("h1").over(near)) for fn, d in ((F.lag, -1), (F.lead, 1))]
+    again = stage(again.withColumns({"p1": beside_it[0], "n1": beside_it[1]}))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid", "i", "text_hash", "p1", "n1")).alias("first")
+    differs = [((F.count(c) < F.count("*")) | (F.min(c) != F.max(c))).alias(side) for c, side in (("p1", "l"), ("n1", "r"))]
+    twice = stage(again.groupBy("h1", "h2").agg(F.count("*").alias("n"), first, *differs).where("n > 1").drop("n"))
+    ends = twice.where("l or r")
+    want = ends.groupBy(
+        F.coalesce("first.doc_id", F.lit(-1)).alias("_i"), F.col("first.no").alias("_n"), F.col("first.text_hash").alias("_h")
+    ).agg(F.collect_list(F.struct("h1", "h2", "first.i", F.coalesce("l", F.lit(True)).alias("l"), F.coalesce("r", F.lit(True)).alias("r"))).alias("want"))
+    tagged = base.withColumns(
+        {"_i": F.coalesce(keys[0], F.lit(-1)), "_n": F.col(id_col).cast("long").isNull(), "_h": keys[1]}
+    )
+    wanted = tagged.join(stage(want), ["_i", "_n", "_h"]).select(F.col(text_col).cast("binary").alias("t"), "want")
+    sides = stage(beside(wanted).groupBy("h1", "h2").agg(F.max("left").alias("left"), F.max("right").alias("right")))
     later = (F.col("uid") != F.col("first.uid")) | (F.col("i") != F.col("first.i"))
-    hit = F.struct("i", later.alias("later"), F.col("first.doc_id").alias("doc"))
+    same = [F.coalesce(F.col(c) == F.col(f"first.{c}"), F.lit(False)) for c in ("p1", "n1")]
+    hit = F.struct(
+        "i", later.alias("later"), F.col("first.doc_id").alias("doc"),
+        F.when(later & ~same[0], F.col("left")).alias("left"), F.when(later & ~same[1], F.col("right")).alias("right"),
+    )
+    twice = twice.select("h1", "h2", "first").join(sides, ["h1", "h2"], "left")
     hits = again.join(twice, ["h1", "h2"]).groupBy("doc_id", "text_hash", "uid").agg(F.collect_list(hit).alias("found"))
     hits = hits.groupBy("doc_id", "text_hash").agg(F.min_by("found", "uid").alias("_found"))
     hits = hits.select(F.coalesce("doc_id", F.lit(-1)).alias("_i"), F.col("doc_id").isNull().alias("_n"), F.col("text_hash").alias("_h"), "_found")
-    tagged = base.withColumns(
-        {"_i": F.coalesce(keys[0], F.lit(-1)), "_n": F.col(id_col).cast("long").isNull(), "_h": keys[1]}
-    )
     both = tagged.join(hits, ["_i", "_n", "_h"], "left")
     both = both.select(F.col(text_col).cast("binary").alias("_t"), "_found", *[base[c] for c in base.columns])
     schema = T.StructType(
