@@ -33,6 +33,14 @@ def test_blocks():
     assert [b.text for b in htmlcrf.blocks("<div>" * 5000 + "deep")] == ["deep"]
 
 
+def test_block_features_read_the_whole_text():
+    prose = "some plain words of a text " * 20
+    of = lambda t: set(htmlcrf.text_features(htmlcrf.Block(("p",), text=t))) & {"mark", "digits"}
+    assert of(prose) == set() and of("a | b") == {"mark"} and of("12 3") == {"digits"}
+    assert of(prose + "one | two " * 100) == {"mark"} and of("a | b " + prose) == set()
+    assert of(prose + "20 300 4000 " * 100) == {"digits"} and of("1 " * 100 + prose * 3) == set()
+
+
 def test_held_out_labelled_pages():
     crf = htmlcrf.model()
     wrong = total = 0

@@ -157,9 +157,9 @@ def text_features(b: Block) -> tuple[str, ...]:
     long = bucket(words, (3, 6, 11, 21, 41))
     ends = t[-1] in ".!?…。\"»”"
     out = [f"words={long}", f"links={dense}", f"ends={ends}", f"words,ends={long},{ends}", f"words,links={long},{dense}"]
-    if "©" in t or "·" in t or "|" in t[:80]:
+    if "©" in t or "·" in t or t.count("|") * 80 >= max(80, len(t)):
         out.append("mark")
-    if sum(c.isdigit() for c in t[:200]) * 5 > len(t[:200]):
+    if sum(map(str.isdigit, t)) * 5 > len(t):
         out.append("digits")
     return tuple(out)
 
