@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatsql, chatwindows, chunkdedup, htmlcrf, licenserules, mixing, nbsvm, packing, progjpeg, rulesql, simhash, weakrules
+from . import chatsql, chatwindows, chunkdedup, htmlcrf, licenserules, mixing, nbsvm, packing, progjpeg, rulesql, simhash, trie, triesql, weakrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +124,11 @@ def op7_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
     )
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op11_prefix_trie"] = triesql.TRIE
