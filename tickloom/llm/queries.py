@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatsql, chatwindows, chunkdedup, htmlcrf, licenserules, mixing, nbsvm, packing, progjpeg, rulesql, simhash, trie, triesql, weakrules
+from . import chatsql, chatwindows, chunkdedup, htmlcrf, licenserules, mixing, nbsvm, packing, progjpeg, rulesql, secrets, simhash, trie, triesql, weakrules, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_prefix_trie"] = triesql.TRIE
+
+
+@query
+def op12_layered_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_incremental_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))

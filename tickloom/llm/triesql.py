@@ -6,11 +6,11 @@ WITH own AS (
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
   FROM conversations WHERE conv_id IS NOT NULL),
 ids AS (
-  SELECT DISTINCT c, c - c % 100 AS base, list_transform(string_split(CAST(c AS VARCHAR), ''), x -> ord(x)) AS bytes
+  SELECT DISTINCT c, c - c % 100 AS base, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: ord(x)) AS bytes
   FROM own),
 convs AS (
   SELECT c, base, xor(4294967295, list_reduce(bytes,
-    (crc, x) -> list_reduce(range(8), (v, i) -> xor(v >> 1, 3988292384 * (v & 1)), xor(crc, CAST(x AS BIGINT))),
+    lambda crc, x: list_reduce(range(8), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)), xor(crc, CAST(x AS BIGINT))),
     4294967295)) % 6 AS h
   FROM ids),
 parts AS (
