@@ -224,7 +224,8 @@ def sort_keys(rows: DataFrame, seqs: DataFrame) -> DataFrame:
     same entries as far as they agree, and both have one at the first turn where they differ.
     The last entry stands for the end of the sequence.
     """
-    shared = rows.groupBy("p", "a", "b").agg(F.count(F.lit(1)).alias("share"))
+    # Stored, so that the join reads both sides from shuffles and can split a frequent prefix.
+    shared = stage(rows.groupBy("p", "a", "b").agg(F.count(F.lit(1)).alias("share")))
     w = Window.partitionBy("c", F.floor(F.col("p") / SPAN)).orderBy("p")
     x = rows.join(shared, ["p", "a", "b"]).withColumn("was", F.lag("share").over(w))
     entry = F.struct("p", "a", "b", F.col("pchars").alias("chars"), "pa", "pb")
