@@ -85,3 +85,26 @@ def test_odd_rows(odd, none, odd_rows):
     assert sum(t is not None and t.lower() == "a b c d e f g h" for t in texts) == 1
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
     assert kept.select(F.count_distinct("doc_id")).first()[0] == kept.count()
+
+
+def test_blocks_without_near_pairs_are_abandoned():
+    rng = np.random.default_rng(8)
+    fps = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
+    stopped = []
+    assert list(simhash.near_pairs(fps, np.zeros(5000, int), np.full(5000, 5000), 3, stopped)) == []
+    assert len(stopped) == -(-5000 // simhash.QUERIES) and max(stopped) < 40
+    fps[4000] = fps[17]  # one pair keeps one block open, and only that
+    stopped = []
+    assert [(i, j.tolist()) for i, j in simhash.near_pairs(fps, np.zeros(5000, int), np.full(5000, 5000), 3, stopped)] == [(17, [4000])]
+    assert len(stopped) == -(-5000 // simhash.QUERIES) - 1
+
+
+def test_more_blocks_for_more_fingerprints(spark):
+    assert len(simhash.block_masks(1000, 3)) == 4 and len(simhash.block_masks(10**9, 3)) == 10
+    assert all(sum(m.bit_count() for m in simhash.block_masks(n, 3)) for n in (1, 10**8, 10**11))
+    rng = np.random.default_rng(9)
+    base = rng.integers(-(1 << 63), 1 << 63, 60)
+    near = {int(b) for b in base} | {int(b ^ np.int64(sum(1 << int(k) for k in rng.choice(63, 3, replace=False)))) for b in base}
+    df = spark.createDataFrame([(x,) for x in near], "fp long")
+    few, many = (components(simhash.links(df, 3, masks=simhash.block_masks(n, 3))).collect() for n in (1, 10**11))
+    assert {(r.node, r.label) for r in few} == {(r.node, r.label) for r in many} and len({r.label for r in few}) == 60

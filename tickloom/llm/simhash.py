@@ -10,6 +10,7 @@ stops as soon as every distance in the block has passed the radius.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations, pairwise
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import components, stage
 
 BITS = 64
+QUERIES = 128  # fingerprints compared with a block at a time
 BLOCK = 4096  # fingerprints of one bucket that a task compares with another block
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -62,27 +64,32 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return cols.mapInArrow(work, "doc_id long, fp long, text_hash long")
 
 
-def near_pairs(fps: np.ndarray, first: np.ndarray, stop: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+def near_pairs(
+    fps: np.ndarray, first: np.ndarray, stop: np.ndarray, radius: int, abandoned: list[int] | None = None
+) -> Iterator[tuple[int, np.ndarray]]:
     """For rows grouped in runs: each row that has later rows within ``radius``, with those.
 
-    ``first[i]`` and ``stop[i]`` bound the run of row i. Rows of neighbouring runs may be
-    compared as well; what is returned is within the radius in any case.
+    ``first[i]`` and ``stop[i]`` bound the run of row i. Rows of neighbouring runs may be compared as well; what
+    is returned is within the radius in any case. Queries and words of 64 lanes whose distances
+    have all passed the radius are dropped as the planes go on, and a block is abandoned once
+    none is left; ``abandoned`` collects the plane at which each such block stopped.
     """
     counters = (radius + 1).bit_length() if radius & (radius + 1) else radius.bit_length()
     init = (1 << counters) - 1 - radius  # a counter overflows exactly when the distance passes the radius
     shifts = np.arange(BITS, dtype=np.uint64)[:, None]
     n, a = len(fps), 0
     while a < n:
-        b = min(n, a + 128)
-        end = int(stop[b - 1])
-        target = fps[a:end]
-        lanes = -len(target) % 64
-        padded = np.concatenate([target, np.zeros(lanes, np.uint64)])
+        b = min(n, a + QUERIES)
+        target = fps[a : int(stop[b - 1])]
+        padded = np.concatenate([target, np.zeros(-len(target) % 64, np.uint64)])
         planes = np.packbits(((padded[None, :] >> shifts) & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view("<u8")
         mine = np.where((fps[a:b][None, :] >> shifts) & np.uint64(1), FULL, np.uint64(0))
-        shape = (b - a, planes.shape[1])
-        count = [np.full(shape, FULL if init >> k & 1 else 0, np.uint64) for k in range(counters)]
-        over = np.zeros(shape, np.uint64)
+        lane = np.arange(len(padded))[None, :]
+        own = np.arange(b - a)
+        skip = (lane <= own[:, None]) | (lane >= len(target))  # itself, rows before it, filling lanes
+        over = np.packbits(skip, axis=1, bitorder="little").view("<u8")
+        count = [np.full(over.shape, FULL if init >> k & 1 else 0, np.uint64) for k in range(counters)]
+        words = np.arange(planes.shape[1])
         for k in range(BITS):
             carry = planes[k][None, :] ^ mine[k][:, None]
             for c in count:
@@ -90,13 +97,22 @@ def near_pairs(fps: np.ndarray, first: np.ndarray, stop: np.ndarray, radius: int
                 c ^= carry
                 carry = up
             over |= carry
-            if k % 8 == 7 and (over == FULL).all():
-                break
+            if k % 4 == 3:
+                open_words = over != FULL
+                rows, cols = open_words.any(axis=1), open_words.any(axis=0)
+                if not rows.any():
+                    if abandoned is not None:
+                        abandoned.append(k)
+                    break
+                if 2 * rows.sum() <= len(rows) or 2 * cols.sum() <= len(cols):  # go on with what is open
+                    at = np.ix_(rows, cols)
+                    over, count = over[at], [c[at] for c in count]
+                    planes, mine, own, words = planes[:, cols], mine[:, rows], own[rows], words[cols]
         else:
-            near = np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little")[:, : len(target)]
-            near &= np.arange(len(target))[None, :] > np.arange(b - a)[:, None]
+            near = np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little")
+            lanes = (words[:, None] * 64 + np.arange(64)).ravel()
             for i in np.flatnonzero(near.any(axis=1)):
-                yield a + int(i), a + np.flatnonzero(near[i])
+                yield a + int(own[i]), a + lanes[np.flatnonzero(near[i])]
         a = b
 
 
@@ -123,17 +139,31 @@ def forest(fps: np.ndarray, run: np.ndarray, radius: int) -> tuple[np.ndarray, n
     return fps[keep], fps[top][keep]
 
 
-def links(distinct: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
+def block_masks(count: int, radius: int, most: int = BLOCK) -> list[int]:
+    """Masks of bits, one of which two fingerprints within ``radius`` agree in.
+
+    With radius + j equal blocks some j of them agree. j is the least that leaves about
+    ``most`` of ``count`` random fingerprints to a bucket, so buckets do not grow with the data.
+    """
+    keep = 1
+    while keep < 8 and count >> (BITS * keep // (radius + keep)) > most:
+        keep += 1
+    edges = [BITS * i // (radius + keep) for i in range(radius + keep + 1)]
+    blocks = [(1 << b) - (1 << a) for a, b in pairwise(edges)]
+    return [sum(c) for c in combinations(blocks, keep)]
+
+
+def links(distinct: DataFrame, radius: int = 3, block: int = BLOCK, masks: list[int] | None = None) -> DataFrame:
     """Links (``u``, ``v``) that span every group of fingerprints (column ``fp``).
 
     A bucket of more than ``block`` fingerprints is cut into blocks, and each pair of
     blocks is a task's unit, so the rows of a hot bucket are spread. Each unit returns
     a forest and never all its pairs.
     """
-    size = BITS // (radius + 1)
+    masks = masks or block_masks(distinct.count(), radius)
     parts = [
-        F.struct(F.lit(k).alias("t"), F.shiftrightunsigned("fp", k * size).bitwiseAND(F.lit((1 << size) - 1)).alias("val"))
-        for k in range(radius + 1)
+        F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << BITS) if m >> (BITS - 1) else m)).alias("val"))
+        for k, m in enumerate(masks)
     ]
     keyed = distinct.select("fp", F.explode(F.array(*parts)).alias("b")).select("fp", "b.t", "b.val")
     full = keyed.groupBy("t", "val").agg(F.ceil(F.count("*") / block).cast("int").alias("c"), F.count("*").alias("n"))
