@@ -178,7 +178,7 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> Da
         tok = tokenizer_of(tokenizer)
         bucket, sign, proj = projections(tok.size)
         for b in batches:
-            for part in slices(b, 1, 16 << 20):
+            for part in slices(b, 1):
                 ids = tok.encode(part.column(1))
                 points = np.zeros((len(ids), DIMS))
                 for i, x in enumerate(ids):
@@ -191,6 +191,8 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> Da
                 cols = [part.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(n)]
                 cols += [pa.array(np.round(points[:, k], 9)) for k in range(DIMS)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "n", *[f"p{k}" for k in range(DIMS)]])
+                del ids, cols
+                pa.default_memory_pool().release_unused()  # the worker lives on, and other stages need the room
 
     schema = "doc_id long, ids binary, n long, " + ", ".join(f"p{k} double" for k in range(DIMS))
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(work, schema)
