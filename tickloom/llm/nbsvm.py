@@ -209,8 +209,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, se
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(FIELDS, bool)
         for b in batches:
-            rows = pa.array([packed(features(x, seen)) for x in b.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), rows], ["doc_id", "quality", "slots"])
+            for part in slices(b, 2):
+                rows = pa.array([packed(features(x, seen)) for x in part.column(2).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), rows], ["doc_id", "quality", "slots"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = (
@@ -241,7 +242,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, m = np.zeros(FIELDS, bool), Model(*shared.value)
         for b in batches:
-            for part in slices(b, 1, 16 << 20):
+            for part in slices(b, 1):
                 s = np.array([m.score(features(x, seen)) for x in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -260,16 +261,20 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, trained_on: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs`` that the classifier predicts good, all columns."""
-    model = train(docs if trained_on is None else trained_on, labels, max_rows)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.weight.astype(np.float32), model.slope, model.offset))
+    """The rows of ``docs`` that the classifier predicts good, all columns.
 
-    @F.pandas_udf("boolean")
-    def good(texts):
-        import pandas as pd
+    Null and empty texts are judged on the bias alone, like in ``classify``; repeated rows
+    share their fate; an empty table gives an empty result.
+    """
+    model = train(docs if trained_on is None else trained_on, labels, max_rows)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.slope, model.offset))
+    at = docs.columns.index("text")
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, m = np.zeros(FIELDS, bool), Model(*shared.value)
-        return pd.Series([m.score(features(x, seen)) >= 0.5 for x in texts], dtype=bool)
+        for b in batches:
+            for part in slices(b, at):
+                texts = part.column(at).cast(pa.binary()).to_pylist()
+                yield part.filter(pa.array([m.score(features(x, seen)) >= 0.5 for x in texts], pa.bool_()))
 
-    return docs.where(good(F.col("text").cast("binary")))
+    return docs.mapInArrow(work, docs.schema)
