@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import discard
 from .common import stage
 from .packing import slices
 
@@ -221,8 +222,10 @@ the whole chunks). The first
     again = flat.join(halves.where("n > 1").select("h1"), "h1")
     again = again.join(cut.select("uid", "doc_id", "text_hash"), "uid")
     near = Window.partitionBy("uid").orderBy("i")  # the chunks of one row
-    beside_it = [F.when(fn("i").over(near) == F.col("i") + d, fn("h1").over(near)) for fn, d in ((F.lag, -1), (F.lead, 1))]
+    short = F.col("h1").bitwiseAND((1 << 31) - 1).cast("int")  # tells neighbours apart, and is stored for each chunk
+    beside_it = [F.when(fn("i").over(near) == F.col("i") + d, fn(short).over(near)) for fn, d in ((F.lag, -1), (F.lead, 1))]
     again = stage(again.withColumns({"p1": beside_it[0], "n1": beside_it[1]}))
+    discard(cut)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid", "i", "text_hash", "p1", "n1")).alias("first")
     differs = [((F.count(c) < F.count("*")) | (F.min(c) != F.max(c))).alias(side) for c, side in (("p1", "l"), ("n1", "r"))]
     twice = stage(again.groupBy("h1", "h2").agg(F.count("*").alias("n"), first, *differs).where("n > 1").drop("n"))
@@ -233,8 +236,10 @@ the whole chunks). The first
     tagged = base.withColumns(
         {"_i": F.coalesce(keys[0], F.lit(-1)), "_n": F.col(id_col).cast("long").isNull(), "_h": keys[1]}
     )
-    wanted = tagged.join(stage(want), ["_i", "_n", "_h"]).select(F.col(text_col).cast("binary").alias("t"), "want")
+    want = stage(want)
+    wanted = tagged.join(want, ["_i", "_n", "_h"]).select(F.col(text_col).cast("binary").alias("t"), "want")
     sides = stage(beside(wanted).groupBy("h1", "h2").agg(F.max("left").alias("left"), F.max("right").alias("right")))
+    discard(want)
     later = (F.col("uid") != F.col("first.uid")) | (F.col("i") != F.col("first.i"))
     same = [F.coalesce(F.col(c) == F.col(f"first.{c}"), F.lit(False)) for c in ("p1", "n1")]
     hit = F.struct(
