@@ -9,6 +9,7 @@ cell is ever ordered by key alone:
 * ``running``   unbounded frames: local frame + carry from the cells before
 * ``equity``    running sum with its running maximum, in one pass
 * ``affine``, ``ewm``, ``state_scan``  recursions, composed cell by cell
+* ``sliding_ranks``  order statistics of bounded frames, per chunk
 * ``average_rank``, ``quantiles``  sorted positions over pre-counted values
 """
 
@@ -19,11 +20,14 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import materialize
+from . import wavelet
 
 CHUNK_ROWS = 65536
 CENTURY_DAYS = 36525
@@ -328,18 +332,44 @@ def equity(df: DataFrame, s: Ordered, rets: Mapping[str, tuple[str, str]]) -> Da
     return d.select(*[c for c in df.columns if c not in made], *out)
 
 
+Arrays = dict[str, np.ndarray]
+
+
+def _declared(table: pa.Table, target: pa.Schema) -> pa.Table:
+    """The table with nested columns in the types that Spark expects (entries may be null)."""
+    for i, (f, t) in enumerate(zip(table.schema, target, strict=True)):
+        if pa.types.is_nested(f.type) and f.type != t.type:
+            table = table.set_column(i, f.name, table.column(i).cast(t.type))
+    return table
+
+
 def _scan_cells(
-    df: DataFrame, s: Ordered, work: Callable[[pd.DataFrame], pd.DataFrame], extra: str
+    df: DataFrame, s: Ordered, inputs: Sequence[str], work: Callable[[Arrays], Arrays], extra: str
 ) -> DataFrame:
-    """Run ``work`` on each cell's rows in order; it adds the ``extra`` columns."""
-    order = list(s.order)
+    """Run ``work`` on the ``inputs`` of each cell's rows in order; it returns the ``extra``
+    columns. Other columns pass through as they are; a list column comes as a matrix."""
+    order = [(c, "ascending") for c in s.order]
     d = with_cell(df, s)
-    schema = T.StructType(list(d.schema.fields) + list(T._parse_datatype_string(extra).fields))
+    added = T._parse_datatype_string(extra).fields
+    schema = T.StructType([f for f in d.schema.fields if f.name not in inputs] + list(added))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return work(pdf.sort_values(order, kind="stable"))
+    def column(table: pa.Table, name: str) -> np.ndarray:
+        c = table.column(name).combine_chunks()
+        if pa.types.is_list(c.type):
+            return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+        return c.to_numpy(zero_copy_only=False)
 
-    return d.groupBy(*s.keys, "_cell").applyInPandas(one, schema)
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        made = work({c: column(table, c) for c in inputs})
+        table = table.drop_columns(inputs)
+        for f in added:
+            v = made[f.name]
+            table = table.append_column(f.name, pa.array(list(v) if v.ndim == 2 else v))
+        return _declared(table, target)
+
+    target = to_arrow_schema(schema)
+    return d.groupBy(*s.keys, "_cell").applyInArrow(one, schema)
 
 
 def _scan_carry(
@@ -357,31 +387,54 @@ def _scan_carry(
     return cells.groupBy(*keys).applyInPandas(one, schema)
 
 
+def compose_affine(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running composition of the maps y -> a_i y + b_i: factor and offset up to each i.
+
+    After step s every entry holds the composition of the last 2**s maps, so a cell of n
+    rows takes log2(n) passes over whole arrays.
+    """
+    a, b = a.copy(), b.copy()
+    reach = 1
+    while reach < len(a):
+        old_a, old_b = a[:-reach].copy(), b[:-reach].copy()
+        b[reach:] += a[reach:] * old_b
+        a[reach:] *= old_a
+        reach *= 2
+    return a, b
+
+
+def compose_maps(f: np.ndarray) -> np.ndarray:
+    """Running composition of maps of 0..K-1, row i of ``f`` being the i-th map."""
+    f = f.copy()
+    reach = 1
+    while reach < len(f):
+        f[reach:] = np.take_along_axis(f[reach:], f[:-reach].copy(), axis=1)
+        reach *= 2
+    return f
+
+
+def _last_row(n: int) -> np.ndarray:
+    end = np.zeros(n, dtype=bool)
+    end[-1] = True
+    return end
+
+
 def affine(df: DataFrame, s: Ordered, a: Column, b: Column, out: str) -> DataFrame:
     """y_t = a_t * y_(t-1) + b_t. Null a or b repeats y; a = 0 starts afresh."""
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        av, bv = pdf["_a"].to_numpy(float), pdf["_b"].to_numpy(float)
+    def work(c: Arrays) -> Arrays:
+        av, bv = c["_a"], c["_b"]
         skip = np.isnan(av) | np.isnan(bv)
-        p, q = 0.0, 1.0
-        ps, qs = np.empty(len(av)), np.empty(len(av))
-        for i in range(len(av)):
-            if not skip[i]:
-                p, q = av[i] * p + bv[i], av[i] * q
-            ps[i], qs[i] = p, q
-        end = np.zeros(len(av), dtype=bool)
-        end[-1] = True
-        return pdf.assign(_p=ps, _q=qs, _last=end)
+        q, p = compose_affine(np.where(skip, 1.0, av), np.where(skip, 0.0, bv))
+        return {"_p": p, "_q": q, "_last": _last_row(len(p))}
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, ys = float("nan"), []
-        for p, q in zip(pdf["_p"], pdf["_q"], strict=True):
-            ys.append(y)
-            y = p if q == 0 else p + q * y
-        return pdf.assign(_y=ys)
+        q, p = compose_affine(pdf["_q"].to_numpy(float), pdf["_p"].to_numpy(float))
+        y = np.where(q == 0, p, np.nan)  # nothing is known before a map that starts afresh
+        return pdf.assign(_y=np.concatenate([[np.nan], y[:-1]]))
 
     d = df.withColumn("_a", a.cast("double")).withColumn("_b", b.cast("double"))
-    d = _scan_cells(d, s, work, "_p double, _q double, _last boolean")
+    d = _scan_cells(d, s, ["_a", "_b"], work, "_p double, _q double, _last boolean")
     if s.short:
         d = d.withColumn("_y", F.lit(float("nan")))
     else:
@@ -392,103 +445,106 @@ def affine(df: DataFrame, s: Ordered, a: Column, b: Column, out: str) -> DataFra
     return d.select(*[c for c in df.columns if c != out], y.alias(out))
 
 
-def ewm(
-    df: DataFrame, s: Ordered, x: Column, alpha: float, out: str, min_obs: int = 1
-) -> DataFrame:
-    """Exponential mean, recursive form, weights by absolute position.
-
-    A null row repeats the mean and lets the old weight decay once more. Null
-    until ``min_obs`` values have been seen.
+def _ewm_cell(xv: np.ndarray, keep: float) -> Arrays:
+    """Per row: the mean as p + q * (first mean of the cell), values seen, rows since the last."""
+    n, place, alpha = len(xv), np.arange(len(xv)), 1.0 - keep
+    at = np.flatnonzero(~np.isnan(xv))
+    q, p = np.ones(n), np.zeros(n)
+    if len(at) > 1:  # the first known value's map depends on the carry and is left out
+        old = keep ** np.diff(at).astype(float)
+        q[at[1:]] = old / (old + alpha)
+        p[at[1:]] = (1.0 - q[at[1:]]) * xv[at[1:]]
+    q, p = compose_affine(q, p)
+    known = np.zeros(n, dtype=np.int64)
+    known[at] = 1
+    last = np.maximum.accumulate(np.where(known > 0, place, -1))
+    lead, first = (at[0] + 1, xv[at[0]]) if len(at) else (n, np.nan)
+    return {
+        "p": p, "q": q, "c": np.cumsum(known), "lead": np.full(n, lead), "first": np.full(n, first), "gap": place - last,
+    }
+
+
+def _ewm_fold(c: Arrays, keep: float) -> Arrays:
+    """Per cell: the mean before it, its first mean, values before it."""
+    pv, qv, lead, first, tail, cnt = (c[k] for k in ("p", "q", "lead", "first", "gap", "c"))
+    n, has, alpha = len(pv), cnt > 0, 1.0 - keep
+    seen = np.cumsum(cnt) - cnt
+    base = np.cumsum(np.where(has, 0, tail))  # rows of cells without values
+    reset = np.maximum.accumulate(np.where(has, np.arange(n), -1))
+    gap = np.where(reset >= 0, np.where(has, tail, tail[reset] + base - base[reset]), base)
+    before = np.concatenate([[0], gap[:-1]])
+    fresh = has & (seen == 0)
+    old = keep ** (before + lead).astype(float)
+    a = np.where(fresh, 0.0, old / (old + alpha))
+    b = np.where(fresh, first, (1.0 - a) * first)  # the cell's first mean: a * carry + b
+    q, p = compose_affine(np.where(has, qv * a, 1.0), np.where(has, pv + qv * b, 0.0))
+    carry = np.concatenate([[np.nan], np.where(np.cumsum(cnt) > 0, p, np.nan)[:-1]])
+    start = np.where(fresh, first, np.where(has, a * np.where(fresh, 0.0, carry) + b, np.nan))
+    return {"y": carry, "y1": start, "n0": seen}
+
+
+def ewms(df: DataFrame, s: Ordered, cols: Mapping[str, tuple[Column, float, int]]) -> DataFrame:
+    """Exponential means, recursive form, weights by absolute position, in one pass.
+
+    ``cols`` maps an output name to (value, alpha, min_obs). A null row repeats the mean and
+    lets the old weight decay once more. Null until ``min_obs`` values have been seen.
     """
-    keep = 1.0 - alpha
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        xv = pdf["_x"].to_numpy(float)
-        n = len(xv)
-        p, q, c = np.zeros(n), np.ones(n), np.zeros(n, dtype=np.int64)
-        seen, pv, qv, gap, first = 0, 0.0, 1.0, 0, float("nan")
-        lead = n
-        for i in range(n):
-            v = xv[i]
-            gap += 1
-            if v == v:
-                if seen == 0:
-                    lead, first = gap, v
-                else:
-                    old = keep**gap
-                    a = old / (old + alpha)
-                    pv, qv = a * pv + (1.0 - a) * v, a * qv
-                seen, gap = seen + 1, 0
-            p[i], q[i], c[i] = pv, qv, seen
-        end = np.zeros(n, dtype=bool)
-        end[-1] = True
-        return pdf.assign(_p=p, _q=q, _c=c, _lead=lead, _first=first, _gap=gap, _last=end)
-
-    names = ["_p", "_q", "_lead", "_first", "_gap", "_cnt"]
+    names = ("p", "q", "c", "lead", "first", "gap")
+    kinds = ("double", "double", "long", "long", "double", "long")
+    keeps = [1.0 - alpha for _, alpha, _ in cols.values()]
+    k = range(len(cols))
+
+    def work(c: Arrays) -> Arrays:
+        made = [_ewm_cell(c[f"_x{i}"], keep) for i, keep in enumerate(keeps)]
+        out = {f"_{n}{i}": m[n] for i, m in enumerate(made) for n in names}
+        return out | {"_last": _last_row(len(c["_x0"]))}
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, gap, seen = float("nan"), 0, 0
-        before, start, counts = [], [], []
-        for pv, qv, lead, first, tail, cnt in zip(*[pdf[c] for c in names], strict=True):
-            before.append(y)
-            counts.append(seen)
-            if cnt == 0:
-                start.append(float("nan"))
-                gap += tail
-                continue
-            if seen == 0:
-                y1 = first
-            else:
-                old = keep ** (gap + lead)
-                y1 = (old * y + alpha * first) / (old + alpha)
-            start.append(y1)
-            y = pv + qv * y1
-            gap, seen = tail, seen + cnt
-        return pdf.assign(_y=before, _y1=start, _n0=counts)
-
-    d = _scan_cells(
-        df.withColumn("_x", x.cast("double")),
-        s,
-        work,
-        "_p double, _q double, _c long, _lead long, _first double, _gap long, _last boolean",
-    )
-    ends = d.where("_last").select(
-        *s.keys, "_cell", "_p", "_q", "_lead", "_first", "_gap", F.col("_c").alias("_cnt")
-    )
+        for i, keep in enumerate(keeps):
+            made = _ewm_fold({n: pdf[f"_{n}{i}"].to_numpy() for n in names}, keep)
+            pdf = pdf.assign(**{f"_{n}{i}": v for n, v in made.items()})
+        return pdf
+
+    d = df
+    for i, (x, _, _) in enumerate(cols.values()):
+        d = d.withColumn(f"_x{i}", x.cast("double"))
+    extra = ", ".join([f"_{n}{i} {t}" for i in k for n, t in zip(names, kinds, strict=True)])
+    d = _scan_cells(d, s, [f"_x{i}" for i in k], work, f"{extra}, _last boolean")
     if s.short:
-        d = d.withColumns(
-            {"_y": F.lit(float("nan")), "_y1": F.col("_first"), "_n0": F.lit(0)}
-        )
+        d = d.withColumns({f"_y{i}": F.lit(float("nan")) for i in k})
+        d = d.withColumns({f"_y1{i}": F.col(f"_first{i}") for i in k} | {f"_n0{i}": F.lit(0) for i in k})
     else:
-        carry = _scan_carry(ends, s, fold, "_y double, _y1 double, _n0 long")
-        d = d.join(carry, [*s.keys, "_cell"])
-    y = F.when(F.col("_c") == 0, F.col("_y")).otherwise(F.col("_p") + F.col("_q") * F.col("_y1"))
-    y = F.when(F.isnan(y) | (F.col("_c") + F.col("_n0") < min_obs), None).otherwise(y)
-    return d.select(*[c for c in df.columns if c != out], y.alias(out))
+        ends = d.where("_last").select(*s.keys, "_cell", *[f"_{n}{i}" for i in k for n in names])
+        carried = ", ".join([f"_y{i} double, _y1{i} double, _n0{i} long" for i in k])
+        d = d.join(_scan_carry(ends, s, fold, carried), [*s.keys, "_cell"])
+    made = []
+    for i, (out, (_, _, least)) in enumerate(cols.items()):
+        y = F.when(F.col(f"_c{i}") == 0, F.col(f"_y{i}")).otherwise(F.col(f"_p{i}") + F.col(f"_q{i}") * F.col(f"_y1{i}"))
+        made.append(F.when(F.isnan(y) | (F.col(f"_c{i}") + F.col(f"_n0{i}") < least), None).otherwise(y).alias(out))
+    return d.select(*[c for c in df.columns if c not in cols], *made)
+
+
+def ewm(
+    df: DataFrame, s: Ordered, x: Column, alpha: float, out: str, min_obs: int = 1
+) -> DataFrame:
+    """One exponential mean; see ``ewms``."""
+    return ewms(df, s, {out: (x, alpha, min_obs)})
 
 
 def state_scan(df: DataFrame, s: Ordered, step: Column, out: str) -> DataFrame:
     """Finite state machine: ``step`` is an array giving the next state of each
     state 0..K-1 at this row; the series starts in state 0."""
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        comp, comps = None, []
-        for f in pdf["_f"]:
-            comp = [int(v) for v in f] if comp is None else [int(f[c]) for c in comp]
-            comps.append(comp)
-        end = np.zeros(len(pdf), dtype=bool)
-        end[-1] = True
-        return pdf.assign(_comp=comps, _last=end)
+    def work(c: Arrays) -> Arrays:
+        comp = compose_maps(c["_f"].astype(np.int32))
+        return {"_comp": comp, "_last": _last_row(len(comp))}
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, states = 0, []
-        for comp in pdf["_comp"]:
-            states.append(state)
-            state = int(comp[state])
-        return pdf.assign(_s0=states)
+        comp = compose_maps(np.stack(pdf["_comp"].to_numpy()).astype(np.int64))
+        return pdf.assign(_s0=np.concatenate([[0], comp[:-1, 0]]))
 
     d = df.withColumn("_f", step.cast("array<int>"))
-    d = _scan_cells(d, s, work, "_comp array<int>, _last boolean")
+    d = _scan_cells(d, s, ["_f"], work, "_comp array<int>, _last boolean")
     if s.short:
         d = d.withColumn("_s0", F.lit(0))
     else:
@@ -499,6 +555,47 @@ def state_scan(df: DataFrame, s: Ordered, step: Column, out: str) -> DataFrame:
     )
 
 
+def sliding_ranks(
+    df: DataFrame, s: Ordered, cols: Mapping[str, tuple[Column, int]], chunk_rows: int | None = None
+) -> DataFrame:
+    """Add, per name, a struct (below, ties, known): how the row's value ranks among the
+    last n values, its own included; ``cols`` maps the name to (value, n).
+
+    All columns share one shuffle; a chunk's rows are ranked together at a cost of the
+    logarithm of the chunk, whatever n is. Null values have no rank and are not counted.
+    """
+    back = max(n for _, n in cols.values())
+    names = list(cols)
+    d = df
+    for i, (c, _) in enumerate(cols.values()):
+        d = d.withColumn(f"_x{i}", c.cast("double"))
+    if s.short and chunk_rows is None:
+        d = d.withColumn("_dest", F.lit(0).cast("long")).withColumn("_chunk", F.col("_dest"))
+    else:
+        d = with_cell(d, replace(s, step=None))
+        sizes = d.groupBy(*s.keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+        d = d.join(_layout(sizes, s, back, 0, chunk_rows or max(CHUNK_ROWS, 8 * back)), [*s.keys, "_cell"])
+        d = d.withColumn("_dest", F.explode(F.sequence("_lo", "_hi")))
+    kind = T._parse_datatype_string("below long, ties long, known long")
+    schema = T.StructType([*d.schema.fields, *[T.StructField(n, kind) for n in names]])
+    windows = [n for _, n in cols.values()]
+    order = [(c, "ascending") for c in s.order]
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        for i, (name, n) in enumerate(zip(names, windows, strict=True)):
+            x = table.column(f"_x{i}").to_numpy(zero_copy_only=False).astype(float)
+            parts = [pa.array(v) for v in wavelet.sliding_ranks(x, n)]
+            table = table.append_column(name, pa.StructArray.from_arrays(parts, ["below", "ties", "known"]))
+        return _declared(table, target)
+
+    target = to_arrow_schema(schema)
+
+    d = d.groupBy(*s.keys, "_dest").applyInArrow(work, schema)
+    kept = [c for c in df.columns if c not in cols]
+    return d.where(F.col("_dest") == F.col("_chunk")).select(*kept, *names)
+
+
 def _value_counts(
     df: DataFrame, keys: Sequence[str], value: str, cells: int, aggs: Sequence[Column] = ()
 ) -> tuple[DataFrame, Ordered]:

@@ -22,7 +22,17 @@ from ..functions.exprs import (
     roll_sum,
     zscore,
 )
-from ..functions.ordered import Ordered, ewm, quantiles, rolling, row_index, running, state_scan
+from ..functions.ordered import (
+    Ordered,
+    ewm,
+    ewms,
+    quantiles,
+    rolling,
+    row_index,
+    running,
+    sliding_ranks,
+    state_scan,
+)
 from ..session import materialize
 from .align import carry_fair_value
 from .curves import runs
@@ -35,13 +45,12 @@ STORAGE, FINANCING = 0.45, 0.05
 # ---- indicators ------------------------------------------------------------
 
 
-def percentile_rank(c: Column | str, w, n: int, least: int = 60) -> Column:
-    """Share of the trailing values that are at most the current one."""
-    x = F.col(c) if isinstance(c, str) else c
-    f = w.rowsBetween(-(n - 1), 0)
-    vals = F.collect_list(x).over(f)  # n values at most
-    share = F.size(F.filter(vals, lambda v: v <= x)) / F.size(vals)
-    return F.when(x.isNotNull() & (F.count(x).over(f) >= least), share)
+def percentile_rank(rank: Column | str, least: int = 60) -> Column:
+    """Share of the trailing values that are at most the current one, from its
+    ``sliding_ranks``."""
+    r = F.col(rank) if isinstance(rank, str) else rank
+    share = (r["below"] + r["ties"]) / r["known"]
+    return F.when((r["ties"] > 0) & (r["known"] >= least), share)
 
 
 def price_moves(w) -> dict[str, Column]:
@@ -72,8 +81,7 @@ def dmi(df: DataFrame, s: Ordered, n: int = 14) -> DataFrame:
     d = rolling(
         df, s, lambda w: {k: price_moves(w)[k] for k in ("_tr", "_pdm", "_mdm")}, back=1
     )
-    for c in ("_tr", "_pdm", "_mdm"):
-        d = ewm(d, s, F.col(c), 1.0 / n, f"{c}_s", n)
+    d = ewms(d, s, {f"{c}_s": (F.col(c), 1.0 / n, n) for c in ("_tr", "_pdm", "_mdm")})
     d = d.withColumns(
         {"plus_di": 100 * ratio("_pdm_s", "_tr_s"), "minus_di": 100 * ratio("_mdm_s", "_tr_s")}
     )
@@ -108,8 +116,8 @@ def indicator_columns(df: DataFrame, s: Ordered, adx: bool = True) -> DataFrame:
     <dimension>_<indicator>."""
     d = rolling(df, s, price_moves, back=1)
     if adx:
-        for c, out in (("_tr", "_tr_s"), ("_pdm", "_p_s"), ("_mdm", "_m_s")):
-            d = ewm(d, s, F.col(c), 1.0 / 14, out, 14)
+        wilder = {"_tr_s": "_tr", "_p_s": "_pdm", "_m_s": "_mdm"}
+        d = ewms(d, s, {out: (F.col(c), 1.0 / 14, 14) for out, c in wilder.items()})
         pdi, mdi = 100 * ratio("_p_s", "_tr_s"), 100 * ratio("_m_s", "_tr_s")
         d = d.withColumns({"_sgn": F.signum(pdi - mdi), "_dx": 100 * ratio(F.abs(pdi - mdi), pdi + mdi)})
         d = ewm(d, s, F.col("_dx"), 1.0 / 14, "_adx", 14)
@@ -138,21 +146,21 @@ def indicator_columns(df: DataFrame, s: Ordered, adx: bool = True) -> DataFrame:
     def second(w):
         vr = ratio(roll(F.var_samp, "_q5", w, 252), 5 * F.col("_v1"))
         slope = ratio(F.col("_sma100") - F.lag("_sma100", 20).over(w), 20 * F.col("_sma100"))
-        made = {
+        return {
             "trend_ma_slope": slope,
             "trend_variance_ratio": vr - 1,
-            "vol_realized_percentile": 2 * percentile_rank("_rv20", w, 252) - 1,
             "vol_of_vol": roll_std("_rv20", w, 60),
-            "vol_bollinger_percentile": 2 * percentile_rank("_bb", w, 252) - 1,
             "mr_autocorr": -rolling_autocorr(w, "_rl", 60),
             "mr_variance_ratio": 1 - vr,
             "mr_zscore_extremity": F.abs(F.lag("_z60").over(w)),
         }
-        if adx:
-            made["vol_atr_percentile"] = 2 * percentile_rank("_atr_rel", w, 252) - 1
-        return made
 
     d = rolling(d, s, [first, second], back=520)
+    ranked = {"vol_realized_percentile": "_rv20", "vol_bollinger_percentile": "_bb"}
+    if adx:
+        ranked["vol_atr_percentile"] = "_atr_rel"
+    d = sliding_ranks(d, s, {name: (F.col(c), 252) for name, c in ranked.items()})
+    d = d.withColumns({name: 2 * percentile_rank(name) - 1 for name in ranked})
     return d.select(*[c for c in d.columns if not c.startswith("_")])
 
 
@@ -189,8 +197,8 @@ def macro_indicators(df: DataFrame, macro: DataFrame, s: Ordered, cols: Mapping[
 def filled_level(df: DataFrame, s: Ordered, c: str, n: int = 252, out: str = "vol_vix_level"):
     """A macro column carried forward, as 2 * percentile rank - 1."""
     d = running(df, s, {"_fill": ("last", F.col(c))})
-    d = rolling(d, s, lambda w: {out: 2 * percentile_rank("_fill", w, n) - 1}, back=n)
-    return d.drop("_fill")
+    d = sliding_ranks(d, s, {out: (F.col("_fill"), n)})
+    return d.withColumn(out, 2 * percentile_rank(out) - 1).drop("_fill")
 
 
 # ---- scores and labels -------------------------------------------------------
@@ -343,12 +351,13 @@ def linear_score(x: Column, center: float, half_range: float) -> Column:
 
 
 def scaled(ind: Indicator, w) -> Column:
-    """The indicator's score in [-1, 1], direction applied."""
+    """The indicator's score in [-1, 1], direction applied; a percentile reads the
+    sliding rank ``_rank_<name>``."""
     x = F.col(ind.name)
     if ind.scaling == "zscore":
         y = squash(zscore(x, w, ind.window), ind.scale)
     elif ind.scaling == "percentile":
-        y = 2 * percentile_rank(x, w, ind.window, ind.window) - 1
+        y = 2 * percentile_rank(f"_rank_{ind.name}", ind.window) - 1
     elif ind.scaling == "linear":
         y = linear_score(x, ind.center, ind.half_range)
     else:
@@ -436,9 +445,10 @@ def contributions(df: DataFrame, s: Ordered, dims: Sequence[Dimension]) -> DataF
     """Scaled indicators as columns sc_<name>, one window pass for all."""
     inds = {i.name: i for d in dims for i in d.indicators}
     back = max(i.window for i in inds.values())
-    return rolling(
-        df, s, lambda w: {f"sc_{n}": scaled(i, w) for n, i in inds.items()}, back=back
-    )
+    ranked = {f"_rank_{n}": (F.col(n), i.window) for n, i in inds.items() if i.scaling == "percentile"}
+    d = sliding_ranks(df, s, ranked) if ranked else df
+    d = rolling(d, s, lambda w: {f"sc_{n}": scaled(i, w) for n, i in inds.items()}, back=back)
+    return d.drop(*ranked)
 
 
 def detect(df: DataFrame, s: Ordered, dims: Sequence[Dimension] = COMMODITY, shift: int = 0) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import log_return, ratio, roll, roll_mean, roll_median, roll_std, safe_log
-from ..functions.ordered import Ordered, quantiles, rolling, row_index, running
+from ..functions.ordered import Ordered, quantiles, rolling, row_index, running, sliding_ranks
 from ..session import materialize
 from .align import carry_fair_value, carry_ratio
 
@@ -323,24 +323,19 @@ def suppression(df: DataFrame, s: Ordered, x: str, flag: str, vol_n: int = 20, p
     def vol(w):
         return {"_v": roll_std("_d", w, vol_n, max(1, vol_n // 2))}
 
-    def pct(w):
-        f = w.rowsBetween(-(pct_n - 1), 0)
-        v = F.collect_list("_v").over(f)  # pct_n values at most
-        below = F.size(F.filter(v, lambda y: y < F.col("_v")))
-        ties = F.size(F.filter(v, lambda y: y == F.col("_v")))
-        rank = below + (ties + 1) / 2.0
-        n = F.size(v)
-        ok = F.col("_v").isNotNull() & (n >= max(1, pct_n // 4)) & (n > 1)
-        return {"vol_pct": F.when(ok, (rank - 1) / (n - 1))}
-
-    d = rolling(df, s, [change, vol, pct], back=vol_n + pct_n)
+    d = rolling(df, s, [change, vol], back=vol_n + 1)
+    d = sliding_ranks(d, s, {"_rank": (F.col("_v"), pct_n)})
+    n = F.col("_rank.known")
+    rank = F.col("_rank.below") + (F.col("_rank.ties") + 1) / 2.0
+    ok = F.col("_v").isNotNull() & (n >= max(1, pct_n // 4)) & (n > 1)
+    d = d.withColumn("vol_pct", F.when(ok, (rank - 1) / (n - 1)))
     off = F.lit(False)
     return d.withColumns(
         {
             "roll_suppress": F.coalesce(F.col(flag) & (F.col("vol_pct") > roll_pct), off),
             "regime_suppress": F.coalesce(F.col("vol_pct") > regime_pct, off),
         }
-    ).drop("_d", "_v")
+    ).drop("_d", "_v", "_rank")
 
 
 def trade_history_features(

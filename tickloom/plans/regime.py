@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.exprs import log_return, ratio, roll_mean, roll_std, zscore
-from ..functions.ordered import WEEKLY, Ordered, rolling
+from ..functions.ordered import WEEKLY, Ordered, rolling, sliding_ranks
 from ..operators import curves as C
 from ..operators import regime as R
 from ..session import materialize
@@ -194,9 +194,8 @@ def filled_macro_level(t):
     from ..functions.ordered import running
 
     d = running(d, DWEEK, {"fv": ("last", F.col("urgent"))})
-    d = rolling(
-        d, DWEEK, lambda w: {"vol_vix_level": 2 * R.percentile_rank("fv", w, 60, 20) - 1}, 60
-    )
+    d = sliding_ranks(d, DWEEK, {"rank": (F.col("fv"), 60)})
+    d = d.withColumn("vol_vix_level", 2 * R.percentile_rank("rank", 20) - 1)
     return rounded(d.select("symbol", "date", "vol_vix_level"))
 
 
@@ -216,12 +215,12 @@ def score_w(t):
         z = zscore("close", w, 26)
         return {
             "z": z,
-            "pc": R.percentile_rank("close", w, 26, 26),
             "s1": R.squash(z),
             "r10": log_return(w, "close", 10),
         }
 
     d = rolling(px(t).drop("high", "low"), WEEKLY, stage, 26)
+    d = sliding_ranks(d, WEEKLY, {"pc": (F.col("close"), 26)}).withColumn("pc", R.percentile_rank("pc", 26))
     d = d.withColumns({"s2": 2 * F.col("pc") - 1, "s3": R.linear_score(F.col("r10"), 0.0, 0.8)})
     parts = {c: F.col(c) for c in ("s1", "s2", "s3")}
     return d.withColumn("score", R.combine(parts, {"s1": 0.5, "s2": 0.2, "s3": 0.3}, 0.5))
