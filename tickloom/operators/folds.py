@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
@@ -12,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import log_return, ratio
-from ..functions.ordered import BARS, Ordered, quantiles, rolling, row_index
+from ..functions.ordered import BARS, Ordered, quantiles, rolling, row_index, running
+from ..session import materialize
 
 
 def fold_table(
@@ -103,13 +103,113 @@ def panel_folds(
 
     Joined back on the timestamp, every symbol of a bar lands on one side.
     """
-    t = s.order[0]
-    d = row_index(times.select(t).distinct(), s.by(), "_i").withColumn("_i", F.col("_i") - 1)
-    n = d.agg(F.count(F.lit(1)).alias("n"))
-    f = fold_table(n, train, test, step, mode, embargo, offset)
+    d = positions(times, s)
+    f = bar_folds(d, train, test, step, mode, embargo, offset)
     if horizon:
         f = purged(f, horizon)
-    return assign(d, f, "_i").select("fold", "side", t)
+    return assign(d, f, "_i").select("fold", "side", s.order[0])
+
+
+def positions(times: DataFrame, s: Ordered) -> DataFrame:
+    """Each distinct timestamp with its position ``_i`` from 0."""
+    t = s.order[0]
+    return row_index(times.select(t).distinct(), s.by(), "_i").withColumn("_i", F.col("_i") - 1)
+
+
+def bar_folds(bars: DataFrame, train: int, test: int, step: int | None = None, mode: str = "rolling",
+              embargo: int = 0, offset: int = 0) -> DataFrame:
+    """The fold table over all positions of ``bars``."""
+    return fold_table(bars.agg(F.count(F.lit(1)).alias("n")), train, test, step, mode, embargo, offset)
+
+
+class FoldSums:
+    """Running sums of products of (1, features, targets) by timestamp.
+
+    The rows are read once. The sums of any range of timestamps are the difference of two
+    rows of the running table, so no row is copied into the folds that hold it, however
+    many folds overlap. Features should lie within some 1e5 standard deviations of zero,
+    as differences of running sums lose that much precision.
+    """
+
+    def __init__(self, rows: DataFrame, s: Ordered, xs: Sequence[str], targets: Sequence[str]) -> None:
+        self.rows, self.s, self.t = rows, s, s.order[0]
+        self.xs, self.targets = list(xs), list(targets)
+        names = ["_one", *xs, *targets]
+        k = len(xs) + 1
+        self.pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names)) if i < k]
+        d = rows.withColumn("_one", F.lit(1.0))
+        made = [F.sum(F.col(names[i]).cast("double") * F.col(names[j])).alias(f"g_{i}_{j}") for i, j in self.pairs]
+        cells = d.groupBy(self.t).agg(*made)
+        cols = {f"g_{i}_{j}": ("sum", F.col(f"g_{i}_{j}")) for i, j in self.pairs}
+        made = running(cells, s.by(), {"_i": ("sum", F.lit(1).cast("long"))} | cols)
+        self.sums = materialize(made.withColumn("_i", F.col("_i") - 1))  # one row per timestamp
+        self.bars = self.sums.select(self.t, "_i")
+
+    def of(self, folds: DataFrame, keys: Sequence[str] = ("fold",), side: str = "train") -> DataFrame:
+        """One row per fold: the sums over its ``side``."""
+        ends = F.array(
+            F.struct((F.col(f"{side}_end") - 1).alias("_i"), F.lit(1.0).alias("_sign")),
+            F.struct((F.col(f"{side}_start") - 1).alias("_i"), F.lit(-1.0).alias("_sign")),
+        )
+        d = folds.select(*keys, F.inline(ends)).where(F.col("_i") >= 0).join(self.sums, "_i")
+        return d.groupBy(*keys).agg(*[F.sum(F.col("_sign") * F.col(f"g_{i}_{j}")).alias(f"g_{i}_{j}") for i, j in self.pairs])
+
+    def models(self, folds: DataFrame, y: str, keys: Sequence[str] = ("fold",),
+               subsets: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+        """Least squares on the standardized features of the train side of each fold: ``bias``,
+        ``weights``, and the ``means`` and ``scales`` of the features (a std under 1e-12
+        counts as 1). ``subsets`` fits several feature sets from the same sums."""
+        k, at = len(self.xs), 1 + len(self.xs) + self.targets.index(y)
+        sets = {n: [1 + self.xs.index(c) for c in cols] for n, cols in (subsets or {"all": self.xs}).items()}
+        sums = self.of(folds, keys)
+        fields = [f"{f.name} {f.dataType.simpleString()}" for f in sums.schema.fields if f.name in keys]
+        more = ["subset string", "bias double", "weights array<double>", "means array<double>", "scales array<double>"]
+
+        def solve(parts):
+            for pdf in parts:
+                out = []
+                for _, r in pdf.iterrows():
+                    n = r["g_0_0"]
+                    if not n > 0:
+                        continue
+                    m = np.array([r[f"g_0_{i}"] for i in range(1, k + 1)]) / n
+                    c = np.array([[r[f"g_{min(i, j)}_{max(i, j)}"] for j in range(1, k + 1)] for i in range(1, k + 1)])
+                    c = c - n * np.outer(m, m)
+                    scale = np.sqrt(np.maximum(np.diag(c), 0) / max(n - 1, 1))
+                    scale = np.where((scale < 1e-12) | (n < 2), 1.0, scale)
+                    g = c / np.outer(scale, scale)
+                    v = (np.array([r[f"g_{i}_{at}"] for i in range(1, k + 1)]) - m * r[f"g_0_{at}"]) / scale
+                    for name, use in sets.items():
+                        use = np.array(use) - 1
+                        w = np.zeros(k)
+                        w[use] = np.linalg.lstsq(g[np.ix_(use, use)], v[use], rcond=None)[0]
+                        out.append([*[r[x] for x in keys], name, r[f"g_0_{at}"] / n, w.tolist(), m.tolist(), scale.tolist()])
+                yield pd.DataFrame(out, columns=[*keys, "subset", "bias", "weights", "means", "scales"])
+
+        return sums.mapInPandas(solve, ", ".join([*fields, *more]))
+
+    def test_rows(self, folds: DataFrame, keys: Sequence[str] = ("fold",)) -> DataFrame:
+        """The rows of the test ranges, with the keys of their folds."""
+        spans = folds.select(*keys, F.explode(F.sequence("test_start", F.col("test_end") - 1)).alias("_i"))
+        times = spans.join(self.bars, "_i").select(*keys, self.t)
+        return self.rows.join(times, self.t)
+
+    def predictions(self, folds: DataFrame, y: str, keys: Sequence[str] = ("fold",),
+                    subsets: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+        """The test rows with ``bias`` and ``pred`` of their fold's model."""
+        d = self.test_rows(folds, keys).join(self.models(folds, y, keys, subsets), list(keys))
+        dot = F.col("bias")
+        for i, c in enumerate(self.xs):
+            dot = dot + F.col("weights")[i] * (F.col(c) - F.col("means")[i]) / F.col("scales")[i]
+        return d.withColumn("pred", dot).drop("weights", "means", "scales")
+
+    def scaled(self, folds: DataFrame, keys: Sequence[str] = ("fold",)) -> DataFrame:
+        """All rows of both sides of each fold, features standardized by its train side.
+        This table holds a row once per fold by definition."""
+        d = self.rows.join(assign(self.bars, folds, "_i", ()).select(*keys, "side", self.t), self.t)
+        d = d.join(self.models(folds, self.targets[0], keys).select(*keys, "means", "scales"), list(keys))
+        made = {c: (F.col(c) - F.col("means")[i]) / F.col("scales")[i] for i, c in enumerate(self.xs)}
+        return d.withColumns(made).drop("means", "scales")
 
 
 def ordered_split(df: DataFrame, s: Ordered, test_size: float) -> DataFrame:
@@ -124,80 +224,6 @@ def ordered_split(df: DataFrame, s: Ordered, test_size: float) -> DataFrame:
     return d.select(*df.columns, F.when(F.col("_i") <= cut, "train").otherwise("test").alias("side"))
 
 
-def standardize(rows: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("fold",)) -> DataFrame:
-    """Both sides scaled by the train mean and sample std of their fold; a std
-    under 1e-12 counts as 1."""
-    train = F.col("side") == "train"
-    stats = rows.groupBy(*keys).agg(
-        *[F.avg(F.when(train, F.col(c))).alias(f"_m_{c}") for c in cols],
-        *[F.stddev_samp(F.when(train, F.col(c))).alias(f"_s_{c}") for c in cols],
-    )
-    d = rows.join(stats, list(keys))
-    scaled = {
-        c: (F.col(c) - F.col(f"_m_{c}"))
-        / F.when(F.col(f"_s_{c}") < 1e-12, 1.0).otherwise(F.col(f"_s_{c}"))
-        for c in cols
-    }
-    return d.withColumns(scaled).select(*rows.columns)
-
-
-def _gram(rows: DataFrame, xs: Sequence[str], y: str, keys: Sequence[str]) -> DataFrame:
-    """Sums of all products of (1, x..., y) over the train rows, one row per key."""
-    one = ["_one", *xs, y]
-    d = rows.where(F.col("side") == "train").withColumn("_one", F.lit(1.0))
-    pairs = [(i, j) for i in range(len(one)) for j in range(i, len(one))]
-    return d.groupBy(*keys).agg(
-        *[F.sum(F.col(one[i]) * F.col(one[j])).alias(f"g_{i}_{j}") for i, j in pairs]
-    )
-
-
-def solve_linear(
-    rows: DataFrame,
-    xs: Sequence[str],
-    y: str,
-    keys: Sequence[str] = ("fold",),
-    subsets: Mapping[str, Sequence[str]] | None = None,
-) -> DataFrame:
-    """Least squares per key from its Gram sums: one small solve per row.
-
-    ``subsets`` fits several feature sets from the same sums; the result then
-    carries the set's name in ``subset``. Unused features get weight 0.
-    """
-    k = len(xs)
-    sets = subsets or {"all": list(xs)}
-    gram = _gram(rows, xs, y, keys)
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in gram.schema.fields if f.name in keys]
-    schema = ", ".join([*fields, "subset string", "bias double", "weights array<double>"])
-
-    def solve(parts):
-        for pdf in parts:
-            out = []
-            for _, r in pdf.iterrows():
-                g = np.empty((k + 2, k + 2))
-                for i in range(k + 2):
-                    for j in range(i, k + 2):
-                        g[i, j] = g[j, i] = r[f"g_{i}_{j}"]
-                for name, cols in sets.items():
-                    use = [0] + [1 + xs.index(c) for c in cols]
-                    beta, *_ = np.linalg.lstsq(g[np.ix_(use, use)], g[use, k + 1], rcond=None)
-                    w = [0.0] * k
-                    for pos, b in zip(use[1:], beta[1:], strict=True):
-                        w[pos - 1] = float(b)
-                    out.append([*[r[c] for c in keys], name, float(beta[0]), w])
-            yield pd.DataFrame(out, columns=[*keys, "subset", "bias", "weights"])
-
-    return gram.mapInPandas(solve, schema)
-
-
-def predict_linear(rows: DataFrame, model: DataFrame, xs: Sequence[str], keys=("fold",)):
-    """Predictions on the test side."""
-    d = rows.where(F.col("side") == "test").join(model, list(keys))
-    dot = F.col("bias")
-    for i, c in enumerate(xs):
-        dot = dot + F.col("weights")[i] * F.col(c)
-    return d.withColumn("pred", dot).drop("weights")
-
-
 def feature_subsets(pool: Sequence[str], most: int) -> dict[str, list[str]]:
     """All combinations of one to ``most`` features."""
     return {
@@ -326,38 +352,61 @@ def node_degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return m.crossJoin(F.broadcast(q))  # one row each
 
 
-def logistic_by_fold(rows: DataFrame, xs: Sequence[str], y: str, reg: float, folds: Sequence[int]):
-    """Out-of-fold probabilities of a ridge logistic model, fold by fold.
+def logistic_by_fold(sums: FoldSums, folds: DataFrame, y: str, reg: float, rounds: int = 25, tol: float = 1e-9) -> DataFrame:
+    """Test rows with ``prob`` of a ridge logistic model on standardized features.
 
-    ``folds`` is the short list of fold numbers; the fitting is distributed.
+    All folds take their Newton steps together: a round is one aggregate over the train
+    rows, whose fold lists come from the timestamp, and the driver solves one small system
+    per fold. The penalty is reg / 2 times the squared weights, on the mean loss.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    va = VectorAssembler(inputCols=list(xs), outputCol="_x")
-    d = va.transform(standardize(rows, xs)).withColumn("_y", F.col(y).cast("double"))
-    parts = []
-    for f in folds:
-        one = d.where(F.col("fold") == f)
-        fit = LogisticRegression(
-            featuresCol="_x", labelCol="_y", regParam=reg, maxIter=50, standardization=False
-        ).fit(one.where(F.col("side") == "train"))
-        p = fit.transform(one.where(F.col("side") == "test"))
-        parts.append(p.withColumn("prob", vector_to_array("probability")[1]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("_x", "_y", "rawPrediction", "probability", "prediction")
-
-
-def ladder_baselines(rows: DataFrame, y: str, one_day: str, sixty: str, label: str) -> DataFrame:
+    xs, k, t = sums.xs, len(sums.xs), sums.t
+    scale = {r["fold"]: (r["means"], r["scales"]) for r in sums.models(folds, sums.targets[0]).collect()}  # a row per fold
+    beta = {f: np.zeros(k + 1) for f in scale}
+    open_folds = set(beta)
+    spread = folds.select("fold", F.explode(F.sequence("train_start", F.col("train_end") - 1)).alias("_i"))
+    times = materialize(spread.join(sums.bars, "_i").select("fold", t))
+    spark = sums.rows.sparkSession
+    schema = "fold int, beta array<double>, means array<double>, scales array<double>"
+
+    def with_margin(rows: DataFrame, which: Sequence[int]) -> tuple[DataFrame, list[Column]]:
+        table = spark.createDataFrame([(f, beta[f].tolist(), *scale[f]) for f in which], schema)
+        d = rows.join(F.broadcast(table), "fold")  # a row per fold
+        z = [F.lit(1.0), *[(F.col(c) - F.col("means")[i]) / F.col("scales")[i] for i, c in enumerate(xs)]]
+        d = d.withColumns({f"_z{i}": c for i, c in enumerate(z)})
+        margin = F.lit(0.0)
+        for i in range(k + 1):
+            margin = margin + F.col("beta")[i] * F.col(f"_z{i}")
+        return d.withColumn("prob", 1 / (1 + F.exp(-margin))), [F.col(f"_z{i}") for i in range(k + 1)]
+
+    for _ in range(rounds):
+        if not open_folds:
+            break
+        d, z = with_margin(sums.rows.join(times, t), sorted(open_folds))
+        miss, w = F.col("prob") - F.col(y), F.col("prob") * (1 - F.col("prob"))
+        aggs = [F.count(F.lit(1)).alias("n"), *[F.sum(miss * z[i]).alias(f"g{i}") for i in range(k + 1)]]
+        aggs += [F.sum(w * z[i] * z[j]).alias(f"h{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]
+        for r in d.groupBy("fold").agg(*aggs).collect():  # a row per fold
+            b, ridge = beta[r["fold"]], np.diag([0.0] + [reg] * k)
+            g = np.array([r[f"g{i}"] for i in range(k + 1)]) / r["n"] + ridge @ b
+            h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)]) / r["n"] + ridge
+            step = np.linalg.lstsq(h, g, rcond=None)[0]
+            beta[r["fold"]] = b - step
+            if np.abs(step).max() < tol:
+                open_folds.discard(r["fold"])
+    d, _ = with_margin(sums.test_rows(folds), sorted(beta))
+    return d.select(*sums.rows.columns, "fold", "prob")
+
+
+def ladder_baselines(sums: FoldSums, folds: DataFrame, up: str, one_day: str, sixty: str, label: str,
+                     known: str) -> DataFrame:
     """Four baselines on the test side: train majority class, sign of the last
     day, sign of the trailing return (0 when unknown), and a bull / bear /
-    sideways label, where sideways takes the majority class."""
-    up = F.avg(F.when(F.col("side") == "train", (F.col(y) > 0).cast("double")))
-    maj = rows.groupBy("fold").agg(F.when(up >= 0.5, 1).otherwise(-1).alias("m0a"))
-    d = rows.where(F.col("side") == "test").join(maj, "fold")
+    sideways label, where sideways takes the majority class. ``up`` and ``known`` are targets of
+    ``sums``: 1 in the rising class and else 0, and 1 in rows that have a class."""
+    rising, all_rows = (F.col(f"g_0_{1 + len(sums.xs) + sums.targets.index(c)}") for c in (up, known))
+    share = F.try_divide(rising, all_rows)
+    maj = sums.of(folds).select("fold", F.when(share >= 0.5, 1).otherwise(-1).alias("m0a"))
+    d = sums.test_rows(folds).join(maj, "fold")
     lab = F.col(label)
     return d.withColumns(
         {

@@ -130,10 +130,15 @@ def panel(t):
     return d.select("symbol", "datetime", "x1", "x2", "x3", "fwd_return_1", "y")
 
 
-def model_rows(t, offset: int = 0):
-    p = materialize(panel(t))
-    f = FO.panel_folds(p, WEEKLY, 156, 26, offset=offset)
-    return p.join(f, "datetime")
+def fold_sums(rows, xs_=("x1", "x2", "x3"), targets=("y",), offsets=None):
+    """Running sums over the timestamps of ``rows`` and the fold table of each offset."""
+    sums = FO.FoldSums(rows, WEEKLY, list(xs_), list(targets))
+    folds = None
+    for off in offsets or (0,):
+        f = FO.bar_folds(sums.bars, 156, 26, offset=off)
+        f = f.withColumn("offset", F.lit(off)) if offsets else f
+        folds = f if folds is None else folds.unionByName(f)
+    return sums, folds
 
 
 @query(
@@ -143,7 +148,8 @@ select r.fold, side, symbol, datetime, round((x1 - m1) / case when s1 < 1e-12 th
 from model_rows r join s on r.fold = s.fold""",
 )
 def fold_standardized(t):
-    d = FO.standardize(model_rows(t), ["x1", "x2"])
+    sums, folds = fold_sums(materialize(panel(t)), ("x1", "x2"))
+    d = sums.scaled(folds)
     return rounded(d.select("fold", "side", "symbol", "datetime", "x1", "x2"))
 
 
@@ -157,9 +163,8 @@ select z.fold, symbol, datetime, k, c as bias, c + k * x as pred, y, fwd_return_
 
 
 def one_model(t, xs_=("x1",)):
-    rows = materialize(FO.standardize(model_rows(t), list(xs_)))
-    m = FO.solve_linear(rows, list(xs_), "y")
-    return FO.predict_linear(rows, m, list(xs_))
+    sums, folds = fold_sums(materialize(panel(t)), xs_)
+    return sums.predictions(folds, "y")
 
 
 @query(
@@ -212,12 +217,9 @@ def walk_forward_run(t):
 
 @query("154")
 def feature_subsets(t):
-    rows = materialize(FO.standardize(model_rows(t), ["x1", "x2", "x3"]))
-    xs_ = ["x1", "x2", "x3"]
-    m = FO.solve_linear(rows, xs_, "y", subsets=FO.feature_subsets(xs_, 2))
-    p = FO.predict_linear(rows, m, xs_).select(
-        "subset", "symbol", "datetime", "pred", "fwd_return_1"
-    )
+    sums, folds = fold_sums(materialize(panel(t)))
+    p = sums.predictions(folds, "y", subsets=FO.feature_subsets(sums.xs, 2))
+    p = p.select("subset", "symbol", "datetime", "pred", "fwd_return_1")
     s = Ordered(("subset", "symbol"), ("datetime",), step=7)
     d = P.add_trading_costs(P.trade_frame(p, "pred", "fwd_return_1", s), s, 0.0004)
     m = P.stitched_metrics(d, ["subset"], ANN)
@@ -226,10 +228,10 @@ def feature_subsets(t):
 
 @query("155")
 def fold_logistic_model(t):
-    rows = materialize(model_rows(t).withColumn("won", (F.col("y") > 0).cast("int")))
-    n = rows.select("fold").distinct().count()  # a handful of folds
-    d = FO.logistic_by_fold(rows, ["x1", "x2", "x3"], "won", 0.01, range(n))
-    return rounded(d.select("fold", "symbol", "datetime", "won", "prob"))
+    rows = materialize(panel(t).withColumn("won", (F.col("y") > 0).cast("double")))
+    sums, folds = fold_sums(rows, targets=("won",))
+    d = FO.logistic_by_fold(sums, folds, "won", 0.01)
+    return rounded(d.select("fold", "symbol", "datetime", F.col("won").cast("int").alias("won"), "prob"))
 
 
 LADDER = """with d as (select r.fold, r.side, r.symbol, r.datetime, cast(sign(r.fwd_return_1) as int) as y, cast(sign(f.momentum_1) as int) as s1, cast(sign(f.momentum_12) as int) as s2,
@@ -247,11 +249,14 @@ def ladder(t):
         }
 
     b = rolling(t.bars_w().select("symbol", "datetime", "close"), WEEKLY, base, 12)
-    d = model_rows(t).join(b, ["symbol", "datetime"])
-    d = d.withColumn("y", F.signum("fwd_return_1").cast("int")).where("y <> 0")
+    p = materialize(panel(t))
+    _, folds = fold_sums(p)  # over all timestamps of the panel
+    d = p.join(b, ["symbol", "datetime"]).withColumn("y", F.signum("fwd_return_1").cast("int"))
     lab = F.when(F.col("x1") > 0.2, "bull").when(F.col("x1") < -0.2, "bear")
-    d = d.withColumn("lab", lab.otherwise("sideways"))
-    return FO.ladder_baselines(d, "y", "s1", "s2", "lab")
+    d = d.withColumns({"lab": lab.otherwise("sideways"), "up": F.when(F.col("y") != 0, (F.col("y") > 0).cast("double"))})
+    d = d.withColumn("known", F.col("up").isNotNull().cast("double"))
+    sums = FO.FoldSums(materialize(d), WEEKLY, [], ["up", "known"])
+    return FO.ladder_baselines(sums, folds, "up", "s1", "s2", "lab", "known").where("y <> 0")
 
 
 @query("156", LADDER + " select fold, symbol, datetime, y, m0a, m0b, m0c, m0d from p")
@@ -370,17 +375,9 @@ def panel_backtest(t):
 def walk_forward_backtest(t):
     """Per origin offset: fold models, weights, costs, metrics and an interval."""
     p = materialize(panel(t))
-    parts = []
-    for off in (0, 7, 14, 21):
-        f = FO.panel_folds(p, WEEKLY, 156, 26, offset=off)
-        parts.append(p.join(f, "datetime").withColumn("offset", F.lit(off)))
-    rows = parts[0]
-    for x in parts[1:]:
-        rows = rows.unionByName(x)
-    cols, keys = ["x1", "x2", "x3"], ["offset", "fold"]
-    rows = materialize(FO.standardize(rows, cols, keys))
-    m = FO.solve_linear(rows, cols, "y", keys)
-    d = FO.predict_linear(rows, m, cols, keys).select("offset", "datetime", "symbol", "pred")
+    sums, folds = fold_sums(p, offsets=(0, 7, 14, 21))
+    d = sums.predictions(folds, "y", ("offset", "fold")).select("offset", "datetime", "symbol", "pred")
+    d = materialize(d)
     w = xs.dollar_neutral_weights(d, "pred", keys=("offset", "datetime"), names=NAMES)
     f = P.portfolio_frame(materialize(w), p, "fwd_return_1", ("offset",), WEEKLY)
     f = materialize(P.portfolio_costs(f, 0.0004, keys=("offset",), s=WEEKLY))
