@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expanding import expanding_quantile
 from ..functions.exprs import (
     clip,
     log_return,
@@ -778,16 +779,9 @@ def tercile_target(df: DataFrame, keys: Sequence[str], x: str, out: str = "high"
 
 
 def expanding_median(df: DataFrame, s: Ordered, x: str, out: str, least: int = 60) -> DataFrame:
-    """Median of the strictly earlier known values, carried over gaps. The frame
-    grows with the series, so the series must be bounded by its calendar."""
-    if not s.short:
-        raise ValueError("expanding_median needs a series with a calendar step")
-
-    def stage(w):
-        f = w.rowsBetween(Window.unboundedPreceding, -1)
-        return {out: F.when(F.count(x).over(f) >= least, F.percentile(x, 0.5).over(f))}
-
-    return rolling(df, s, stage, back=0)
+    """Median of the strictly earlier known values, carried over gaps, for series of any
+    length."""
+    return expanding_quantile(df, s, x, out, 0.5, least)
 
 
 def forward_drawdown(df: DataFrame, s: Ordered, c: str, h: int, out: str) -> DataFrame:
