@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import log_return, ratio
 from ..functions.ordered import BARS, Ordered, quantiles, rolling, row_index, running
 from ..session import materialize
+from .pairs import rolling_correlation
 
 
 def fold_table(
@@ -318,25 +319,17 @@ def correlation_graph(
     """Edges (datetime, a, b, rho) where the correlation over the ``lookback``
     bars before a bar reaches the threshold; both names must have every bar.
 
-    The pair join is an equi join on time over the symbols of one bar. A window
-    that ends on bar t gives the edge of bar t + 1.
+    A window that ends on bar t gives the edge of bar t + 1. Pairs are worked on in tiles
+    of names and bars, see ``pairs``.
     """
-    d = returns.where(F.col(ret).isNotNull())
-    a = d.select("datetime", F.col("symbol").alias("a"), F.col(ret).alias("_x"))
-    b = d.select("datetime", F.col("symbol").alias("b"), F.col(ret).alias("_y"))
-    bars = row_index(returns.select("datetime").distinct(), s.by(), "_bar")
-    bars = rolling(bars, s.by(), lambda w: {"_next": F.lead("datetime").over(w)}, 0, 1)
-    p = a.join(b, "datetime").where(F.col("a") < F.col("b")).join(bars, "datetime")
-
-    def rho(w):
-        f = w.rowsBetween(-(lookback - 1), 0)
-        full = F.col("_bar") - F.lag("_bar", lookback - 1).over(w) == lookback - 1
-        flat = (F.stddev_pop("_x").over(f) < 1e-12) | (F.stddev_pop("_y").over(f) < 1e-12)
-        return {"rho": F.when(full & ~flat, F.corr("_x", "_y").over(f))}
-
-    d = rolling(p, s.by("a", "b"), rho, back=lookback)
-    d = d.where((F.abs("rho") >= threshold) & F.col("_next").isNotNull())
-    return d.select(F.col("_next").alias("datetime"), "a", "b", "rho")
+    t = s.order[0]
+    bars = positions(returns, s)
+    bars = materialize(rolling(bars, s.by(), lambda w: {"_next": F.lead(t).over(w)}, 0, 1))
+    d = returns.where(F.col(ret).isNotNull()).join(bars.select(t, "_i"), t)
+    d = rolling_correlation(d, "symbol", "_i", ret, lookback, threshold)
+    d = d.join(bars.where(F.col("_next").isNotNull()).select("_i", F.col("_next").alias(t)), "_i")
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    return d.select(t, low.alias("a"), high.alias("b"), "rho")
 
 
 def node_degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:

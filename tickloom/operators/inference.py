@@ -23,6 +23,7 @@ from ..functions.special import chi2_sf, norm_cdf, norm_quantile, two_sided
 from ..session import materialize
 from .align import asof_join
 from .features import hash_int
+from .pairs import pair_correlation, pair_moments
 
 EULER_GAMMA = 0.5772156649
 
@@ -585,14 +586,10 @@ def pairwise_correlation(closes: DataFrame, horizon: int, min_common: int = 10)
     )
     d = d.join(cal, "date").where((F.col("_i") - 1) % horizon == 0)
     d = d.where(F.col("_f").isNotNull())
-    a = d.select("date", F.col("symbol").alias("a"), F.col("_f").alias("_x"))
-    b = d.select("date", F.col("symbol").alias("b"), F.col("_f").alias("_y"))
-    p = a.join(b, "date").where(F.col("a") < F.col("b"))
-    g = p.groupBy("a", "b").agg(F.corr("_x", "_y").alias("_rho"), F.count(F.lit(1)).alias("_n"))
-    rho = F.when(F.isnan("_rho"), None).otherwise(F.col("_rho"))
-    return g.where(F.col("_n") >= min_common).agg(
-        F.avg(rho).alias("rho_bar"), F.count(rho).alias("n_pairs")
-    )
+    d = d.withColumn("_p", F.floor((F.col("_i") - 1) / horizon))
+    g = pair_moments(d, "symbol", "_p", "_f").where(F.col("n") >= min_common)
+    rho = pair_correlation()
+    return g.agg(F.avg(rho).alias("rho_bar"), F.count(rho).alias("n_pairs"))
 
 
 def kish_effective_n(windows: Column, n_symbols: Column, rho: Column) -> Column:

@@ -56,10 +56,14 @@ def ar1(df: DataFrame, s: Ordered, x: str, least: int = 3) -> DataFrame:
 def adf(df: DataFrame, s: Ordered, x: str, max_lag: int | None = None, least: int = 30) -> DataFrame:
     """Augmented Dickey-Fuller with a constant, lag order by BIC.
 
-    Cross sums of (1, level, change, lagged changes) are aggregated per series
-    on a common sample for every order; one small solve per series follows.
+    Sums of the level and the change with each lagged change are aggregated once per series,
+    over the rows that all orders can use. Products of two lagged changes are the same sums
+    shifted, so they and the rows that only smaller orders can use are corrections from the
+    first and last rows of the series, at most as many as there are lags. One small solve per
+    series follows.
     """
     top = 20 if max_lag is None else max_lag
+    keys = list(s.keys)
     d = df.where(F.col(x).isNotNull())
     d = rolling(d, s, lambda w: {"_v": F.lag(x).over(w)}, back=1)
     d = d.withColumn("_y", F.col(x) - F.col("_v"))
@@ -67,56 +71,76 @@ def adf(df: DataFrame, s: Ordered, x: str, max_lag: int | None = None, least: in
         d, s, lambda w: {f"_g{i}": F.lag("_y", i).over(w) for i in range(1, top + 1)}, back=top
     )
     d = row_index(d, s, "_i")
-    n = d.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("_mv"))
-    d = d.join(n, list(s.keys)).where(F.col("_n") >= least)
+    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("_mv"))
+    d = d.join(n, keys).where(F.col("_n") >= least)
     auto = F.least(F.lit(20), F.floor(12 * F.pow(F.col("_n") / 100, 0.25)))
-    cap = auto if max_lag is None else F.lit(max_lag)
+    cap = (auto if max_lag is None else F.lit(max_lag)).cast("long")
     # the level is centred for a well-conditioned solve; only the constant moves
-    d = d.withColumns({"_one": F.lit(1.0), "_vc": F.col("_v") - F.col("_mv"), "_cap": cap})
-    cols = ["_one", "_vc", *[f"_g{i}" for i in range(1, top + 1)], "_y"]
-    orders = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cap").cast("long"))).alias("_p")
-    wide = d.where(F.col("_v").isNotNull()).select("*", orders)
-    # rows of order p start at p + 2; the selection uses the sample of the largest order
-    usable = F.col("_i") >= F.col("_p") + 2
+    d = d.withColumns({"_vc": F.col("_v") - F.col("_mv"), "_cap": cap})
     common = F.col("_i") >= F.col("_cap") + 2
-    m = len(cols)
-    pairs = [(i, j) for i in range(m) for j in range(i, m)]
-
-    def total(i: int, j: int, ok: Column) -> Column:
-        a, b = F.coalesce(cols[i], F.lit(0.0)), F.coalesce(cols[j], F.lit(0.0))
-        return F.sum(F.when(ok, a * b).otherwise(0.0))
-
-    g = wide.groupBy(*s.keys, "_p").agg(
-        F.array(*[total(i, j, usable) for i, j in pairs]).alias("_u"),
-        F.array(*[total(i, j, common) for i, j in pairs]).alias("_c"),
-    )
-    keys = list(s.keys)
+    edge = (F.col("_i") >= 2) & ((F.col("_i") <= F.col("_cap") + 1) | (F.col("_i") > F.col("_n") - F.col("_cap")))
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(F.when(common, c)), F.lit(0.0))
+
+    lags = [F.col("_y"), *[F.col(f"_g{i}") for i in range(1, top + 1)]]
+    g = d.groupBy(*keys, "_n", "_cap").agg(
+        total(F.lit(1.0)).alias("_s1"), total(F.col("_vc")).alias("_sv"), total(F.col("_y")).alias("_sy"),
+        total(F.col("_vc") * F.col("_vc")).alias("_svv"),
+        F.array(*[total(F.col("_vc") * c) for c in lags]).alias("_svy"),
+        F.array(*[total(F.col("_y") * c) for c in lags]).alias("_syy"),
+        F.collect_list(F.when(edge, F.struct("_i", "_y", "_vc"))).alias("_edge"),
+    )
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in g.schema.fields if f.name in keys]
     schema = ", ".join([*fields, "p long", "t_stat double", "b double", "n_obs long", "bic double"])
 
+    def gram(r: dict) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+        """Products of (1, level, lags 1.., change) on the common rows, and the head rows."""
+        last, c = int(r["_n"]), int(r["_cap"])
+        at = {int(e["_i"]): (e["_y"], e["_vc"]) for e in r["_edge"]}
+        y = {i: v[0] for i, v in at.items()}
+        a = np.zeros((c + 3, c + 3))
+        svy, syy = np.array(r["_svy"]), np.array(r["_syy"])
+        order = [c + 2, *range(2, c + 2)]  # place of lag 0 (the change) and lags 1..c
+        a[0, 0], a[0, 1], a[1, 1] = r["_s1"], r["_sv"], r["_svv"]
+        for i in range(c + 1):
+            head, tail = range(c + 2 - i, c + 2), range(last - i + 1, last + 1)
+            a[0, order[i]] = r["_sy"] + sum(y[t] for t in head) - sum(y[t] for t in tail)
+            a[1, order[i]] = svy[i]
+            for j in range(i, c + 1):
+                shift = sum(y[t] * y[t - j + i] for t in head) - sum(y[t] * y[t - j + i] for t in tail)
+                u, v = sorted((order[i], order[j]))
+                a[u, v] = syy[j - i] + shift
+        a = np.triu(a) + np.triu(a, 1).T
+        rows = {}
+        for t in range(2, c + 2):
+            back = [y.get(t - i, 0.0) if t - i >= 2 else 0.0 for i in range(1, c + 1)]
+            rows[t] = np.array([1.0, at[t][1], *back, y[t]])
+        return a, rows
+
+    def fit(a: np.ndarray, use: list[int]) -> tuple[float, float, float, float]:
+        n_obs, k = a[0, 0], len(use)
+        if n_obs <= k + 1:
+            return math.nan, math.nan, n_obs, math.nan
+        inv = np.linalg.pinv(a[np.ix_(use, use)])
+        coef = inv @ a[use, -1]
+        rss = max(a[-1, -1] - coef @ a[use, -1], 1e-300)
+        se = math.sqrt(rss / (n_obs - k) * inv[1, 1])
+        bic = n_obs * math.log(rss / n_obs) + k * math.log(n_obs)
+        return coef[1] / se if se > 0 else math.nan, coef[1], n_obs, bic
+
     def solve(parts):
         for pdf in parts:
             out = []
             for rec in pdf.to_dict("records"):
-                p = int(rec["_p"])
-                use = list(range(2 + p))
-                res = []
-                for name in ("_u", "_c"):
-                    a = np.empty((m, m))
-                    for (i, j), v in zip(pairs, rec[name], strict=True):
-                        a[i, j] = a[j, i] = v
-                    n_obs, k = a[0, 0], len(use)
-                    if n_obs <= k + 1:
-                        res.append((math.nan, math.nan, n_obs, math.nan))
-                        continue
-                    inv = np.linalg.pinv(a[np.ix_(use, use)])
-                    coef = inv @ a[use, m - 1]
-                    rss = max(a[m - 1, m - 1] - coef @ a[use, m - 1], 1e-300)
-                    se = math.sqrt(rss / (n_obs - k) * inv[1, 1])
-                    bic = n_obs * math.log(rss / n_obs) + k * math.log(n_obs)
-                    res.append((coef[1] / se if se > 0 else math.nan, coef[1], n_obs, bic))
-                u, c = res
-                out.append([*[rec[x] for x in keys], p, u[0], u[1], int(u[2]), c[3]])
+                if rec["_n"] < rec["_cap"] + 2:
+                    continue
+                a, head = gram(rec)
+                for p in range(int(rec["_cap"]) + 1):
+                    use = list(range(2 + p))
+                    usable = a + sum((np.outer(v, v) for t, v in head.items() if t >= p + 2), np.zeros_like(a))
+                    u, c = fit(usable, use), fit(a, use)  # the order is chosen on the common rows
+                    out.append([*[rec[k] for k in keys], p, u[0], u[1], int(u[2]), c[3]])
             yield pd.DataFrame(out, columns=[*keys, "p", "t_stat", "b", "n_obs", "bic"])
 
     fits = g.mapInPandas(solve, schema)

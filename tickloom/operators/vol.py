@@ -26,6 +26,7 @@ from ..functions.special import chi2_sf, norm_cdf, norm_density, norm_quantile
 from ..session import materialize
 from .curves import runs
 from .features import hash_int
+from .pairs import joint_below
 
 LOG_2PI = math.log(2 * math.pi)
 
@@ -649,12 +650,10 @@ def pseudo_uniform(df: DataFrame, keys: Sequence[str], x: str, ties: Sequence[st
 
 def tail_dependence(u: DataFrame, time: str, key: str, c: str, q: float) -> DataFrame:
     """P(U_b <= q given U_a <= q) for each ordered pair of keys."""
-    a = u.select(time, F.col(key).alias("a"), F.col(c).alias("_u"))
-    b = u.select(time, F.col(key).alias("b"), F.col(c).alias("_v"))
-    p = a.where(F.col("_u") <= q).join(b, time).where(F.col("a") != F.col("b"))
-    return p.groupBy("a", "b").agg(
-        F.avg((F.col("_v") <= q).cast("double")).alias("tail_dependence"), F.count(F.lit(1)).alias("n")
-    )
+    at = row_index(u.select(time).distinct(), Ordered((), (time,)), "_i")
+    d = u.join(at.select(time, (F.col("_i") - 1).alias("_i")), time)
+    g = joint_below(d.where(F.col(c).isNotNull()), key, "_i", c, q)
+    return g.select("a", "b", (F.col("hits") / F.col("n")).alias("tail_dependence"), F.col("n").cast("long").alias("n"))
 
 
 def portfolio_var(
