@@ -700,19 +700,3 @@ def row_numbers(
     d = running(d, s, {out: ("sum", F.lit(1).cast("long"))}).drop("_vcell")
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(total))
     return d.join(n, list(keys)) if keys else d.crossJoin(F.broadcast(n))  # one row
-
-
-def descending_sums(
-    df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str], sums: Mapping[str, Column]
-) -> DataFrame:
-    """Rank from the largest value down, and running sums in that order."""
-    d = materialize(df.withColumn("_neg", -F.col(value)))
-    marks = [i / VALUE_CELLS for i in range(1, VALUE_CELLS)]
-    cuts = d.agg(F.percentile_approx("_neg", marks, 10 * VALUE_CELLS).alias("_cuts"))
-    d = d.crossJoin(F.broadcast(cuts))  # one row
-    d = d.withColumn(
-        "_vcell", F.size(F.filter("_cuts", lambda c: c < F.col("_neg"))).cast("long")
-    ).drop("_cuts")
-    s = Ordered(tuple(keys), ("_neg", *ties), cell="_vcell")
-    cols = {"rank": ("sum", F.lit(1).cast("long"))} | {n: ("sum", c) for n, c in sums.items()}
-    return running(d, s, cols).drop("_vcell", "_neg")

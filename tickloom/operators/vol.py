@@ -7,14 +7,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio, roll, roll_mean, roll_std
 from ..functions.ordered import (
     Ordered,
     affine,
-    descending_sums,
     quantiles,
     rolling,
     row_index,
@@ -22,6 +21,7 @@ from ..functions.ordered import (
     running,
     value_ranks,
 )
+from ..functions.selection import largest, select_rank
 from ..functions.special import chi2_sf, norm_cdf, norm_density, norm_quantile
 from ..session import materialize
 from .curves import runs
@@ -400,23 +400,16 @@ def gpd_var_es(q: Column | float, xi: Column, beta: Column, u: Column, n: Column
     return z, es
 
 
-def gpd_tail(df: DataFrame, keys: Sequence[str], z: str, ties: Sequence[str], frac: float = 0.1,
+def gpd_tail(df: DataFrame, keys: Sequence[str], z: str, frac: float = 0.1,
              tail: str = "lower", least: int = 30) -> DataFrame:
     """Threshold at the top share of one tail and a moment fit of the excesses:
     xi = (1 - m^2/v)/2, beta = m (m^2/v + 1)/2."""
     y = -F.col(z) if tail == "lower" else F.col(z)
-    d = df.where(F.col(z).isNotNull()).select(*keys, *ties, y.alias("_y"))
-    d = row_numbers(d, keys, "_y", ties, "_rn", "n")
-    d = d.withColumn("_k", F.floor(F.lit(frac) * F.col("n")))
-    d = d.withColumn("_desc", F.col("n") - F.col("_rn") + 1)
-    top = d.where(F.col("_desc") <= F.col("_k") + 1)
-    u = top.groupBy(*keys).agg(
-        F.max(F.when(F.col("_desc") == F.col("_k") + 1, F.col("_y"))).alias("u"),
-        F.max("n").alias("n"),
-        F.max("_k").alias("_kk"),
-    )
-    ex = top.where(F.col("_desc") <= F.col("_k")).join(u.drop("n", "_kk"), list(keys))
-    ex = ex.withColumn("_x", F.col("_y") - F.col("u")).where(F.col("_x") > 0)
+    d = materialize(df.where(F.col(z).isNotNull()).select(*keys, y.alias("_y")))
+    k = F.floor(F.lit(frac) * F.col("n")).cast("long")
+    u = select_rank(d, keys, "_y", F.col("n") - k, {"_kk": k})
+    u = u.select(*keys, "n", "_kk", F.col("value").alias("u"))
+    ex = d.join(u.select(*keys, "u"), list(keys)).withColumn("_x", F.col("_y") - F.col("u")).where(F.col("_x") > 0)
     g = ex.groupBy(*keys).agg(
         F.avg("_x").alias("_m"), F.var_samp("_x").alias("_v"), F.count(F.lit(1)).alias("n_exceed")
     )
@@ -457,25 +450,23 @@ def acerbi_szekely(df: DataFrame, keys: Sequence[str], a: str, v: str, e: str, q
     return g.select(*keys, "n", "n_hits", z.alias("z"))
 
 
-def _one_side(df: DataFrame, keys: Sequence[str], x: str, ties: Sequence[str], tail: str):
-    side = F.col(x) > 0 if tail == "upper" else F.col(x) < 0
-    d = df.where(side).select(*keys, *ties, F.abs(x).alias("_y"))
-    return descending_sums(d, keys, "_y", ties, {"_sum": F.log("_y")})
-
-
 def hill_path(
-    df: DataFrame, keys: Sequence[str], x: str, ties: Sequence[str], tail: str, k_min: int, k_max: int
+    df: DataFrame, keys: Sequence[str], x: str, tail: str, k_min: int, k_max: int
 ) -> DataFrame:
-    """Tail index for every k in a range from one running sum of logs."""
-    d = materialize(_one_side(df, keys, x, ties, tail).where(F.col("rank") <= k_max + 1))
-    nxt = d.select(*keys, (F.col("rank") - 1).alias("rank"), F.col("_y").alias("_thr"))
-    d = d.join(nxt, [*keys, "rank"]).where(F.col("rank") >= max(k_min, 10))
+    """Tail index for every k in a range from one running sum of logs over the k_max + 1
+    values of the largest size."""
+    side = F.col(x) > 0 if tail == "upper" else F.col(x) < 0
+    top = largest(df.where(side).select(*keys, F.abs(x).alias("_y")), keys, "_y", k_max + 1)
+    w = Window.partitionBy(*keys).orderBy("rank")  # k_max + 1 rows
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = top.withColumns({"_sum": F.sum(F.log("_y")).over(upto), "_thr": F.lead("_y").over(w)})
+    d = d.where(F.col("_thr").isNotNull() & (F.col("rank") >= max(k_min, 10)))
     xi = F.col("_sum") / F.col("rank") - F.log("_thr")
     return d.select(*keys, F.col("rank").alias("k"), F.when(xi > 0, F.try_divide(F.lit(1.0), xi)).alias("alpha"))
 
 
-def hill_estimate(df: DataFrame, keys: Sequence[str], x: str, ties: Sequence[str], tail: str, k: int):
-    p = hill_path(df, keys, x, ties, tail, k, k)
+def hill_estimate(df: DataFrame, keys: Sequence[str], x: str, tail: str, k: int):
+    p = hill_path(df, keys, x, tail, k, k)
     return p.select(*keys, "k", "alpha")
 
 
@@ -681,15 +672,17 @@ def portfolio_var(
     return e.agg(*out)
 
 
-def tail_by_state(df: DataFrame, keys: Sequence[str], r: str, state: str, ties: Sequence[str], k: int):
+def tail_by_state(df: DataFrame, keys: Sequence[str], r: str, state: str, k: int):
     """Lower and upper tail index and the 1% shortfall within each state."""
     by = [*keys, state]
-    d = df.where(F.col(r).isNotNull() & F.col(state).isNotNull())
-    lo = hill_estimate(d, by, r, ties, "lower", k).select(*by, F.col("alpha").alias("alpha_lower"))
-    hi = hill_estimate(d, by, r, ties, "upper", k).select(*by, F.col("alpha").alias("alpha_upper"))
-    rn = row_numbers(d.select(*by, *ties, r), by, r, ties, "_rn", "n")
-    cut = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(0.01)))
-    es = rn.groupBy(*by, "n").agg(F.avg(F.when(F.col("_rn") <= cut, F.col(r))).alias("es_1pct"))
+    d = materialize(df.where(F.col(r).isNotNull() & F.col(state).isNotNull()).select(*by, r))
+    lo = hill_estimate(d, by, r, "lower", k).select(*by, F.col("alpha").alias("alpha_lower"))
+    hi = hill_estimate(d, by, r, "upper", k).select(*by, F.col("alpha").alias("alpha_upper"))
+    cut = select_rank(d, by, r, F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(0.01))))
+    under = d.join(cut.select(*by, F.col("value").alias("_u")), by).where(F.col(r) < F.col("_u"))
+    under = under.groupBy(*by).agg(F.sum(r).alias("_under"))
+    rest = (F.col("rank") - F.col("below")) * F.col("value")  # copies of the cut value
+    es = cut.join(under, by, "left").select(*by, "n", ((F.coalesce("_under", F.lit(0.0)) + rest) / F.col("rank")).alias("es_1pct"))
     return es.join(lo, by, "left").join(hi, by, "left")
 
 

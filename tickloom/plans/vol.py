@@ -371,7 +371,7 @@ from e join u on e.symbol = u.symbol group by 1 having count(*) >= 30""",
 
 
 def gpd(t, tail="lower"):
-    return V.gpd_tail(returns_w(t), ["symbol"], "log_return", ["datetime"], 0.1, tail)
+    return V.gpd_tail(returns_w(t), ["symbol"], "log_return", 0.1, tail)
 
 
 @query("245", f"select symbol, n, n_exceed, {S.rnd('u xi beta')} from gpd_fit")
@@ -417,14 +417,14 @@ def hill_sql(src: str, part: str, lo: int, hi: int, sign: str) -> str:
 
 @query("247", f"select symbol, k, round(alpha, 6) as alpha from ({hill_sql('feat1', 'symbol', 25, 25, '<')})")
 def hill_estimator(t):
-    return rounded(V.hill_estimate(returns_w(t), ["symbol"], "log_return", ["datetime"], "lower", 25))
+    return rounded(V.hill_estimate(returns_w(t), ["symbol"], "log_return", "lower", 25))
 
 
 view("hillp", hill_sql("feat1", "symbol", 10, 80, ">"))
 
 
 def hillp(t):
-    return V.hill_path(returns_w(t), ["symbol"], "log_return", ["datetime"], "upper", 10, 80)
+    return V.hill_path(returns_w(t), ["symbol"], "log_return", "upper", 10, 80)
 
 
 @query("248", "select symbol, k, round(alpha, 6) as alpha from hillp")
@@ -604,7 +604,7 @@ select e.symbol, e.st, n, round(es, 6) as es_1pct, round(lo.alpha, 6) as alpha_l
 left join lo on e.symbol = lo.symbol and e.st = lo.st left join hi on e.symbol = hi.symbol and e.st = hi.st""",
 )
 def tail_by_state(t):
-    return rounded(V.tail_by_state(hit_state(t), ["symbol"], "log_return", "st", ["datetime"], 15))
+    return rounded(V.tail_by_state(hit_state(t), ["symbol"], "log_return", "st", 15))
 
 
 @query("272")
