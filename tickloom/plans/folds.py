@@ -215,7 +215,40 @@ def walk_forward_run(t):
     return rounded(m.drop("compound_return", "compound_return_net"))
 
 
-@query("154")
+def subset_sql() -> str:
+    """Predictions of each feature set from sums of standardized features on the train side."""
+    stats = ", ".join(f"avg({x}) as m{x}, stddev_samp({x}) as s{x}" for x in ("x1", "x2", "x3"))
+    scaled = ", ".join(f"(r.{x} - m{x}) / s{x} as z{x}" for x in ("x1", "x2", "x3"))
+    sums = ", ".join(
+        [f"sum(z{a} * z{b}) as g{a}{b}" for a in ("x1", "x2", "x3") for b in ("x1", "x2", "x3") if a <= b]
+        + [f"sum(z{x} * y) as h{x}" for x in ("x1", "x2", "x3")]
+    )
+    parts = []
+    for a, b in (("x1", None), ("x2", None), ("x3", None), ("x1", "x2"), ("x1", "x3"), ("x2", "x3")):
+        if b is None:
+            name, pred = a, f"h{a} / g{a}{a} * z{a}"
+        else:
+            det = f"(g{a}{a} * g{b}{b} - g{a}{b} * g{a}{b})"
+            name = f"{a}+{b}"
+            pred = f"(h{a} * g{b}{b} - h{b} * g{a}{b}) / {det} * z{a} + (h{b} * g{a}{a} - h{a} * g{a}{b}) / {det} * z{b}"
+        parts.append(f"select '{name}' as subset, symbol, datetime, fwd_return_1, my + {pred} as pred from t")
+    return f"""(with st as (select fold, {stats} from model_rows where side = 'train' group by 1),
+z as (select r.*, {scaled} from model_rows r join st on r.fold = st.fold),
+g as (select fold, avg(y) as my, {sums} from z where side = 'train' group by 1),
+t as (select * from z join g using (fold) where side = 'test') {" union all ".join(parts)})"""
+
+
+view("subset_preds", f"select * from {subset_sql()}")
+
+
+@query(
+    "154",
+    """with a as (select *, cast(sign(pred) as double) as p from subset_preds),
+b as (select *, abs(p - coalesce(lag(p) over (partition by subset, symbol order by datetime), 0)) as turnover, p * fwd_return_1 as r from a),
+c as (select *, r + ln(1 - 0.0005e0 * turnover) as net from b)
+select subset, count(*) as no_bars, round(avg(r) / stddev_samp(r) * sqrt(52), 6) as sharpe, round(avg(net) / stddev_samp(net) * sqrt(52), 6) as sharpe_net,
+ round(avg(case when p <> 0 then case when sign(pred) = sign(fwd_return_1) then 1.0 else 0 end end), 6) as win_rate from c group by 1""",
+)
 def feature_subsets(t):
     sums, folds = fold_sums(materialize(panel(t)))
     p = sums.predictions(folds, "y", subsets=FO.feature_subsets(sums.xs, 2))

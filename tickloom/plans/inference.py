@@ -443,7 +443,11 @@ def ljung_box(t):
     return rounded(N.ljung_box(returns_w(t), WEEKLY, "log_return", 10).drop("pvalue"))
 
 
-@query("187")
+@query(
+    "187",
+    f"""select symbol, n, round(q_stat, 6) as q_stat, round({S.chi2_tail("q_stat", 10)}, 6) as pvalue from (
+ select symbol, n, n * (n + 2.0) * sum(acf * acf / (n - lag)) as q_stat from acf_w where lag <= 10 group by 1, 2)""",
+)
 def ljung_box_pvalue(t):
     return rounded(N.ljung_box(returns_w(t), WEEKLY, "log_return", 10))
 

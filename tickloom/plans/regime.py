@@ -41,7 +41,23 @@ def atr(t):
     return rounded(d, 4)
 
 
-@query("278, 299, 303")
+DMI = f"""with recursive m as (select symbol, datetime, row_number() over ({S.W}) as i, tr, case when up > dn and up > 0 then up else 0.0 end as pdm, case when dn > up and dn > 0 then dn else 0.0 end as mdm from (
+ select *, high - lag(high) over ({S.W}) as up, lag(low) over ({S.W}) - low as dn from mv)),
+y as (select symbol, datetime, i, cast(tr as double) as t, cast(pdm as double) as p, cast(mdm as double) as q from m where i = 1
+ union all select m.symbol, m.datetime, m.i, t + (m.tr - t) / 14, p + (m.pdm - p) / 14, q + (m.mdm - q) / 14 from y join m on m.symbol = y.symbol and m.i = y.i + 1),
+d as (select symbol, datetime, i, case when i >= 14 then 100 * p / nullif(t, 0) end as pdi, case when i >= 14 then 100 * q / nullif(t, 0) end as mdi from y),
+x as (select *, 100 * abs(pdi - mdi) / nullif(pdi + mdi, 0) as dx from d),
+k as (select symbol, datetime, dx, i as row, row_number() over ({S.W}) as i from x where dx is not null),
+e as (select symbol, datetime, row, i, dx as v from k where i = 1
+ union all select k.symbol, k.datetime, k.row, k.i, e.v + (k.dx - e.v) * (1 / 14e0) / (pow(13 / 14e0, k.row - e.row) + 1 / 14e0) from e join k on k.symbol = e.symbol and k.i = e.i + 1)"""
+
+
+@query(
+    "278, 299, 303",
+    DMI
+    + """ select d.symbol, d.datetime, round(pdi, 6) as plus_di, round(mdi, 6) as minus_di, round(case when e.i >= 14 then v end, 6) as adx
+ from d left join e on d.symbol = e.symbol and d.datetime = e.datetime""",
+)
 def directional_movement(t):
     d = R.dmi(px(t), WEEKLY)
     return rounded(d.select("symbol", "datetime", "plus_di", "minus_di", "adx"))

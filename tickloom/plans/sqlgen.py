@@ -48,3 +48,22 @@ def rnd(cols: list[str] | str, d: int = 6) -> str:
 
 def hash_int(text: str) -> str:
     return f"cast('0x' || substr(md5({text}), 1, 8) as bigint)"
+
+
+def erf(x: str) -> str:
+    """Error function as its series of positive terms exp(-x^2) x^(2m+1) / Gamma(m + 3/2)."""
+    terms = f"exp(-({x}) * ({x}) + (2 * m + 1) * ln(abs({x})) - lgamma(m + 1.5))"
+    series = f"sign({x}) * list_sum(list_transform(range(0, 160), lambda m: {terms}))"
+    return f"(case when {x} is null then null when {x} = 0 then 0 when abs({x}) > 6 then sign({x}) else {series} end)"
+
+
+def cdf(x: str) -> str:
+    return f"(0.5 * (1 + {erf(f'(({x}) / sqrt(2))')}))"
+
+
+def chi2_tail(x: str, k: int) -> str:
+    """Upper tail for one or an even number of degrees of freedom."""
+    if k == 1:
+        return f"(1 - {erf(f'sqrt({x} / 2)')})"
+    terms = f"exp(-({x}) / 2 + j * ln(({x}) / 2) - lgamma(j + 1.0))"
+    return f"list_sum(list_transform(range(0, {k // 2}), lambda j: {terms}))"

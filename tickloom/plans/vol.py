@@ -223,7 +223,16 @@ def normal_log_score(t):
     return rounded(d.select("symbol", "datetime", sc.alias("log_score")))
 
 
-@query("231, 233, 234")
+VR = "from vols v join feat1 f on v.symbol = f.symbol and v.datetime = f.datetime"
+LOG_SCORE = "-0.5 * (ln(2 * pi()) + ln(fc) + log_return * log_return / fc)"
+CRPS = f"sqrt(fc) * (z * (2 * {S.cdf('z')} - 1) + 2 * exp(-0.5 * z * z) / sqrt(2 * pi()) - 1 / sqrt(pi()))"
+
+
+@query(
+    "231, 233, 234",
+    f"""select symbol, datetime, round({LOG_SCORE}, 6) as log_score, round({CRPS}, 6) as crps, round({S.cdf("z")}, 6) as pit from (
+ select v.symbol, v.datetime, log_return, case when fc > 0 then fc end as fc, case when fc > 0 then log_return / sqrt(fc) end as z {VR})""",
+)
 def normal_scores(t):
     d = vols(t).join(returns_w(t).drop("close"), ["symbol", "datetime"])
     r, sd = F.col("log_return"), F.sqrt("fc")
@@ -292,7 +301,10 @@ def coverage_tests(t):
     return rounded(V.coverage_tests(d, WEEKLY, "rate"))
 
 
-@query("237, 238, 239")
+P_COLS = f"round({S.chi2_tail('lr_uc', 1)}, 6) as p_uc, round({S.chi2_tail('lr_ind', 1)}, 6) as p_ind, round(exp(-lr_cc / 2), 6) as p_cc"
+
+
+@query("237, 238, 239", f"select symbol, n, n_hits, {COV}, {P_COLS} from ({cov_sql('hits', 'symbol', '0.05e0')})")
 def coverage_pvalues(t):
     d = hits(t).withColumn("rate", F.lit(0.05))
     return rounded(V.with_coverage_pvalues(V.coverage_tests(d, WEEKLY, "rate")))
@@ -607,7 +619,12 @@ def tail_by_state(t):
     return rounded(V.tail_by_state(hit_state(t), ["symbol"], "log_return", "st", 15))
 
 
-@query("272")
+@query(
+    "272",
+    f"""select s.symbol, round(log_score, 6) as log_score, round(crps, 6) as crps, n, n_hits, {COV}, {P_COLS} from (
+ select symbol, avg({LOG_SCORE}) as log_score, avg({CRPS}) as crps from (select *, log_return / sqrt(fc) as z from hits) group by 1) s
+ join ({cov_sql("hits", "symbol", "0.05e0")}) c on s.symbol = c.symbol""",
+)
 def density_scores(t):
     return rounded(V.density_scores(hits(t).drop("hit"), WEEKLY, "log_return", "fc"))
 
