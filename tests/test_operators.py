@@ -62,6 +62,34 @@ def test_funding_json(spark, tmp_path):
     assert len(d) == 1 and d[0].funding_rate == 0.0001
 
 
+def test_lines_that_do_not_fit_are_kept_with_a_reason(spark, tmp_path):
+    (tmp_path / "t.csv").write_text(
+        "id,price,qty,quoteQty,time,isBuyerMaker\n1,10.0,2.0,20.0,1577836800123,true\n2,oops,2.0,20.0,1577836800124,true\n"
+        "3,1.0,2.0\n4,,2.0,20.0,1577836800125,false\nid,price,qty,quoteQty,time,isBuyerMaker\n"
+    )
+    judged = ingest.judged_trades(spark, str(tmp_path))
+    assert [r.id for r in ingest.good(judged).collect()] == [1]
+    refused = sorted((r.line, r.reason, r.file.rsplit("/", 1)[-1]) for r in ingest.rejects(judged).collect())
+    assert refused == [
+        ("2,oops,2.0,20.0,1577836800124,true", "does not fit the schema", "t.csv"),
+        ("3,1.0,2.0", "has fields: 3", "t.csv"),
+        ("4,,2.0,20.0,1577836800125,false", "no price", "t.csv"),
+    ]
+    (tmp_path / "f.json").write_text('{"symbol":"X","fundingTime":1,"fundingRate":"0.1"}\n{"symbol":"X"\n{"symbol":"Y","fundingTime":2,"fundingRate":"x"}\n')
+    judged = ingest.judged_funding(spark, str(tmp_path / "f.json"))
+    assert sorted(r.reason for r in ingest.rejects(judged).collect()) == ["does not fit the schema", "no number in fundingRate"]
+
+
+def test_pruned_scan_opens_only_the_days_asked_for(spark, tmp_path):
+    rows = [(i, 1.0 * i, 1.0, dt.datetime(2020, 1, 1 + i % 3), "AB"[i % 2]) for i in range(12)]
+    trades = spark.createDataFrame(rows, "id long, price double, qty double, datetime timestamp, symbol string")
+    ingest.write_trades(trades, str(tmp_path / "s"))
+    d = ingest.scan_trades(spark, str(tmp_path / "s"), "2020-01-02", "2020-01-03", ["A"])
+    assert {(r.symbol, r.datetime.day) for r in d.collect()} == {("A", 2), ("A", 3)} and d.count() == 4
+    plan = d._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull" in plan and "DataFilters: []" in plan
+
+
 def test_holdout_guard(spark):
     df, _ = panel(spark, 5)
     with pytest.raises(ingest.HoldoutError):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import forward_return, log_return
 from ..functions.ordered import DAILY, WEEKLY, rolling
 from ..operators import bars as B
+from ..session import scratch
 from ..sources import ingest as I
 from .registry import fine, query, r, rounded, view
 
@@ -31,6 +32,86 @@ def trade_archive_days(t):
     )
 
 
+def written(lines, *layout: str):
+    """Write lines of text to the shared folder, one folder per value of ``layout``."""
+    path = scratch(lines.sparkSession)
+    lines.repartition(*layout).write.partitionBy(*layout).text(path)
+    return path
+
+
+@query(
+    "1",
+    """with a as (select symbol, ts, epoch_us(ts) // 1000 as ms, price, qty, id from trades)
+select symbol, cast(make_timestamp(ms * 1000) as date) as date, count(*) as n, round(sum(price * qty), 4) as notional, min(ms) as first_ms,
+ count(case when id % 97 = 0 then 1 end) as n_cut, count(case when id % 89 = 0 then 1 end) as n_unreadable
+from a group by 1, 2""",
+)
+def trade_csv_ingest(t):
+    """Trades written as CSV, with header, cut and unreadable lines among them, read with a
+    fixed schema, stored by symbol and day, and scanned back; refused lines are counted."""
+    d = t.trades().withColumn("ms", F.unix_millis("ts"))
+    line = F.concat_ws(",", "id", "price", "qty", F.col("price") * F.col("qty"), "ms", "is_buyer_maker")
+    cut = F.concat_ws(",", "id", "price", F.lit("cut"), "ms")
+    bad = F.concat_ws(",", F.lit("x"), "price", "qty", "qty", "ms", F.lit("true"))
+    lines = F.array(
+        F.when(F.col("id") % 500 == 0, F.lit("id,price,qty,quoteQty,time,isBuyerMaker")), line,
+        F.when(F.col("id") % 97 == 0, cut), F.when(F.col("id") % 89 == 0, bad),
+    )
+    day = F.to_date(F.timestamp_millis("ms")).alias("day")
+    path = written(d.select("symbol", day, F.explode(F.array_compact(lines)).alias("value")), "symbol", "day")
+    judged = I.judged_trades(d.sparkSession, path)
+    store = scratch(d.sparkSession)
+    I.write_trades(I.good(judged).drop("day"), store)
+    trades = I.scan_trades(d.sparkSession, store, "1900-01-01", "2100-01-01")
+    sums = trades.groupBy("symbol", "date").agg(
+        F.count(F.lit(1)).alias("n"), r(F.sum(F.col("price") * F.col("qty")), 4).alias("notional"), F.min("time").alias("first_ms")
+    )
+    refused = judged.where(F.col(I.REASON).isNotNull())
+    refused = refused.groupBy("symbol", F.col("day").alias("date")).agg(
+        F.count_if(F.col(I.LINE).contains(",cut,")).alias("n_cut"), F.count_if(F.col(I.LINE).startswith("x,")).alias("n_unreadable")
+    )
+    return sums.join(refused, ["symbol", "date"], "left").na.fill(0, ["n_cut", "n_unreadable"])
+
+
+@query(
+    "2",
+    """select symbol, datetime, round(open, 6) as open, round(high, 6) as high, round(low, 6) as low, round(close, 6) as close, round(volume, 6) as volume, count, round(taker_buy_volume, 6) as taker_buy_volume from bars_w""",
+)
+def kline_csv_ingest(t):
+    """Bars written as 12-column CSV, some symbols with a header line, some lines broken."""
+    b = t.bars_w()
+    ms = F.unix_millis("datetime")
+    zero = F.lit(0)
+    line = F.concat_ws(",", ms, "open", "high", "low", "close", "volume", ms + 604799999, zero, "count", "taker_buy_volume", zero, zero)
+    starts = b.groupBy("symbol").agg(F.min("datetime").alias("_first"))
+    first = F.col("datetime") == F.col("_first")
+    lines = F.array(
+        F.when(first & F.col("symbol").rlike("[02468]$"), F.lit(",".join(c.split()[0] for c in I.KLINE_SCHEMA.split(", ")))),
+        line,
+        F.when(F.month("datetime") == 7, F.concat(line, F.lit(",1,2"))),
+    )
+    path = written(b.join(starts, "symbol").select("symbol", F.explode(F.array_compact(lines)).alias("value")), "symbol")
+    return rounded(I.read_klines(b.sparkSession, path))
+
+
+@query("4", "select symbol, datetime, round(funding_rate, 12) as funding_rate, 2 as n_refused from funding")
+def funding_json_ingest(t):
+    """Rates written as JSON strings, every row twice, with two broken lines per row's day."""
+    f = t.funding()
+    row = F.struct("symbol", F.unix_millis("datetime").alias("fundingTime"), F.format_string("%.12f", "funding_rate").alias("fundingRate"))
+    text = F.to_json(row)
+    lines = F.array(text, text, F.regexp_replace(text, "}$", ""), F.regexp_replace(text, r'"fundingRate":"', '"fundingRate":"n/a '))
+    path = written(f.select(F.to_date("datetime").alias("day"), F.explode(lines).alias("value")).withColumn("part", F.year("day")).drop("day"), "part")
+    spark = f.sparkSession
+    judged = I.judged_funding(spark, path)
+    time = F.coalesce("datetime", F.timestamp_millis(F.regexp_extract(I.LINE, r'"fundingTime":(-?\d+)', 1).cast("long")))
+    name = F.coalesce("symbol", F.regexp_extract(I.LINE, r'"symbol":"([^"]+)"', 1))
+    refused = judged.where(F.col(I.REASON).isNotNull()).groupBy(name.alias("symbol"), time.alias("datetime"))
+    refused = refused.agg(F.count(F.lit(1)).cast("int").alias("n_refused"))
+    d = I.read_funding(spark, path).join(refused, ["symbol", "datetime"], "left")
+    return d.select("symbol", "datetime", r(F.col("funding_rate"), 12).alias("funding_rate"), "n_refused")
+
+
 @query(
     "3",
     """select distinct symbol, datetime, close from bars_w

@@ -39,6 +39,11 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tickloom/{spark.sparkContext.applicationId}"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted with the application's tables."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write once to the shared folder and read it back.
 
@@ -47,7 +52,7 @@ def materialize(df: DataFrame) -> DataFrame:
     sizes for its join choices. ``release`` removes an application's tables.
     """
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path  # for ``discard``

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
@@ -21,28 +21,86 @@ KLINE_SCHEMA = (
 FUNDING_SCHEMA = "symbol string, fundingTime long, fundingRate string"
 
 
-def read_trades(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Raw trade CSV with a fixed schema; epoch milliseconds become a timestamp."""
-    raw = spark.read.schema(TRADE_SCHEMA).csv(path)
+#: Added by the checked readers: the raw line and why it was refused (null for good rows).
+LINE, REASON = "line", "reject_reason"
+CORRUPT = "_corrupt_record"
+
+
+def _judged(lines: DataFrame, parsed: Column, required: Sequence[str], header: str | None = None, fields: int | None = None) -> DataFrame:
+    """Parse lines of text and mark those that do not fit the schema or lack a required
+    value, with the file they came from; header lines, wherever they stand, are dropped.
+
+    ``fields`` is the number of comma-separated fields, which the parser itself would pad or
+    cut silently.
+    """
+    line = F.col("value")
+    d = lines if header is None else lines.where(~F.trim(line).startswith(header))
+    keys = [c for c in lines.columns if c != "value"]
+    d = d.select(*keys, line.alias(LINE), F.col("_metadata.file_path").alias("file"), parsed.alias("_r"))
+    missing = F.array_compact(F.array(*[F.when(F.col("_r")[c].isNull(), F.lit(c)) for c in required]))
+    reason = F.when(F.col("_r")[CORRUPT].isNotNull(), F.lit("does not fit the schema"))
+    if fields is not None:
+        n = F.size(F.split(LINE, ","))
+        reason = F.when(n != fields, F.concat(F.lit("has fields: "), n.cast("string"))).otherwise(reason)
+    reason = F.coalesce(reason, F.when(F.size(missing) > 0, F.concat(F.lit("no "), F.array_join(missing, ", "))))
+    return d.withColumn(REASON, reason).select(*keys, "_r.*", LINE, "file", REASON).drop(CORRUPT)
+
+
+def good(judged: DataFrame) -> DataFrame:
+    """The rows that passed, without the marks."""
+    return judged.where(F.col(REASON).isNull()).drop(REASON, LINE, "file")
+
+
+def rejects(judged: DataFrame) -> DataFrame:
+    """What was refused: file, raw line, reason."""
+    return judged.where(F.col(REASON).isNotNull()).select("file", LINE, F.col(REASON).alias("reason"))
+
+
+def _csv(spark: SparkSession, path: str | Sequence[str], schema: str, required: Sequence[str], header: str) -> DataFrame:
+    parsed = F.from_csv("value", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return _judged(spark.read.text(path), parsed, required, header, len(schema.split(", ")))
+
+
+def judged_trades(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Raw trade CSV with a fixed schema, bad lines marked; epoch milliseconds become a
+    timestamp. Files may carry a header line. A folder per symbol (symbol=...) adds a column."""
+    raw = _csv(spark, path, TRADE_SCHEMA, ["id", "price", "qty", "time"], "id,")
     return raw.withColumn("datetime", F.timestamp_millis("time"))
 
 
-def write_trades(trades: DataFrame, path: str) -> None:
-    """Parquet laid out by symbol and day, so range scans prune directories."""
+def read_trades(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """The good rows of ``judged_trades``."""
+    return good(judged_trades(spark, path))
+
+
+def write_trades(trades: DataFrame, path: str, parts: int = 16) -> None:
+    """Parquet laid out by symbol and day, so range scans prune directories. A hot day is
+    spread over ``parts`` files."""
     day = trades.withColumn("date", F.to_date("datetime"))
-    day.repartition("symbol", "date", F.pmod("id", F.lit(16))).write.partitionBy(
+    day.repartition("symbol", "date", F.pmod(F.xxhash64("id"), F.lit(parts))).write.partitionBy(
         "symbol", "date"
     ).parquet(path)
 
 
+def scan_trades(spark: SparkSession, path: str, start: str, end: str, symbols: Sequence[str] | None = None) -> DataFrame:
+    """Trades of an inclusive range of days; other days' and symbols' folders are not opened."""
+    d = spark.read.parquet(path)
+    d = d.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return d if symbols is None else d.where(F.col("symbol").isin(list(symbols)))
+
+
+def judged_klines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Bar CSV whose files may or may not start with a header line, bad lines marked."""
+    schema = KLINE_SCHEMA.replace("open_time string", "open_time long")
+    raw = _csv(spark, path, schema, ["open_time", "close"], "open_time,")
+    return raw.withColumn("datetime", F.timestamp_millis("open_time"))
+
+
 def read_klines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Bar CSV whose files may or may not start with a header line."""
-    raw = spark.read.schema(KLINE_SCHEMA).option("mode", "PERMISSIVE").csv(path)
-    t = F.expr("try_cast(open_time as bigint)")
-    return raw.where(t.isNotNull()).select(
-        F.timestamp_millis(t).alias("datetime"),
-        "open", "high", "low", "close", "volume", "count", "taker_buy_volume",
-    )
+    """The good bars, eight columns (and ``symbol`` where folders name it)."""
+    d = good(judged_klines(spark, path))
+    keys = [c for c in ("symbol",) if c in d.columns]
+    return d.select(*keys, "datetime", "open", "high", "low", "close", "volume", "count", "taker_buy_volume")
 
 
 def range_scan(bars: DataFrame, start: str, end: str, keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -52,14 +110,19 @@ def range_scan(bars: DataFrame, start: str, end: str, keys: Sequence[str] = ("sy
     return d.dropDuplicates([*keys, "datetime"])
 
 
+def judged_funding(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Funding JSON, one object a line, bad lines marked: the rate is a string in the source."""
+    parsed = F.from_json("value", f"{FUNDING_SCHEMA}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT})
+    d = _judged(spark.read.text(path), parsed, ["symbol", "fundingTime", "fundingRate"])
+    d = d.withColumns({"datetime": F.timestamp_millis("fundingTime"), "funding_rate": F.expr("try_cast(fundingRate as double)")})
+    text = F.when(F.col("funding_rate").isNull(), F.lit("no number in fundingRate"))
+    return d.withColumn(REASON, F.coalesce(REASON, text))
+
+
 def read_funding(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Funding JSON: the rate is a string in the source."""
-    raw = spark.read.schema(FUNDING_SCHEMA).json(path)
-    return raw.select(
-        "symbol",
-        F.timestamp_millis("fundingTime").alias("datetime"),
-        F.col("fundingRate").cast("double").alias("funding_rate"),
-    ).dropDuplicates(["symbol", "datetime"])
+    """The good rows, one per symbol and time."""
+    d = good(judged_funding(spark, path)).select("symbol", "datetime", "funding_rate")
+    return one_row_per_key(d, ["symbol", "datetime"], ["funding_rate"])
 
 
 class HoldoutError(ValueError):
