@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..session import configure, materialize
+from ..session import configure, materialize, stored_at
 from ..streaming import streams as T
 from .registry import query, rounded
 from .regime import BANDS, hyst_sql, score_w
@@ -47,6 +47,6 @@ def streaming_dedupe(t):
 )
 def streaming_labels(t):
     d = materialize(score_w(t).select("symbol", "datetime", "score"))
-    path = d.inputFiles()[0].rsplit("/", 1)[0]
-    s = t.spark.readStream.schema(d.schema).parquet(path)
-    return T.drain(T.stream_labels(s, BANDS, 0.1, 3))
+    # Files of a stored table are in no order of time, so they make one batch.
+    s = t.spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1 << 30).parquet(stored_at(d))
+    return T.drain(T.stream_labels(s, BANDS, 0.1, 3, span_hours=24 * 366))  # weekly rows

@@ -59,10 +59,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def stored_at(df: DataFrame) -> str:
+    """The folder of a table that ``materialize`` returned."""
+    return df._stored_at
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` returned, once all that reads them is written."""
     for df in tables:
-        _delete(df.sparkSession, df._stored_at)
+        _delete(df.sparkSession, stored_at(df))
 
 
 def _delete(spark: SparkSession, folder: str) -> None:

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import (
+    ExpiredTimerInfo,
+    StatefulProcessor,
+    StatefulProcessorHandle,
+    TimerValues,
+)
 
 from ..operators.regime import Band
-from ..session import shared_dir
+from ..session import scratch
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all data at hand into parquet, and read it back."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/tickloom/{uuid.uuid4().hex}"
+    base = scratch(spark)
     q = (
         stream.writeStream.format("parquet")
         .outputMode(mode)
@@ -69,10 +75,74 @@ def stream_dedupe(trades: DataFrame, late: str = "10 minutes") -> DataFrame:
     return trades.withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
 
 
-def stream_labels(scores: DataFrame, bands: Sequence[Band], margin: float, dwell: int) -> DataFrame:
+class _Labeller(StatefulProcessor):
+    """Rows wait in spans of time until the watermark has passed a span's last row; each span
+    has one timer, at that row.
+
+    Timers fire in the order of time, so rows that came out of order, in any batch, are
+    labelled in order, and a call holds the rows of one span only.
+    """
+
+    def __init__(self, edges: Sequence[tuple[str, float, float]], margin: float, dwell: int, span_ms: int) -> None:
+        self.edges, self.margin, self.dwell, self.span_ms = edges, margin, dwell, span_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "span long", "ms array<long>, score array<double>")
+        self.label = handle.getValueState("label", "current int, pending int, dwell int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        for part in rows:
+            ms = part["datetime"].to_numpy("datetime64[ms]").astype("int64")
+            d = pd.DataFrame({"ms": ms, "score": part["score"].to_numpy(float), "span": ms // self.span_ms})
+            for span, g in d[d["ms"] > mark].groupby("span"):  # others: their turn has passed
+                at = (int(span),)
+                held, scores = self.waiting.getValue(at) if self.waiting.containsKey(at) else ([], [])
+                if len(held):
+                    self.handle.deleteTimer(int(max(held)))
+                held, scores = [*map(int, held), *g["ms"].tolist()], [*map(float, scores), *g["score"].tolist()]
+                self.waiting.updateValue(at, (held, scores))
+                self.handle.registerTimer(max(held))
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = (expiredTimerInfo.getExpiryTimeInMs() // self.span_ms,)
+        rows = dict(zip(*self.waiting.getValue(at), strict=True))  # of two rows of one time the later one
+        self.waiting.removeKey(at)
+        state = self.label.get() if self.label.exists() else (-1, -1, 0)
+        times, names = sorted(rows), []
+        for t in times:
+            if rows[t] == rows[t]:
+                state = self._step(float(rows[t]), *state)
+            names.append(self.edges[state[0]][0] if rows[t] == rows[t] else None)
+        self.label.update(tuple(map(int, state)))
+        yield pd.DataFrame({"symbol": key[0], "datetime": pd.to_datetime(times, unit="ms"), "label": names})
+
+    def _step(self, v: float, current: int, pending: int, count: int) -> tuple[int, int, int]:
+        now = next(i for i, (_, lo, hi) in enumerate(self.edges) if lo <= v < hi)
+        if current < 0:
+            return now, -1, 0
+        _, lo, hi = self.edges[current]
+        if now == current or lo - self.margin <= v < hi + self.margin:
+            return current, -1, 0
+        count = count + 1 if now == pending else 1
+        return (now, -1, 0) if count >= self.dwell else (current, now, count)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_labels(
+    scores: DataFrame, bands: Sequence[Band], margin: float, dwell: int, late: str = "0 seconds", span_hours: float = 24.0
+) -> DataFrame:
     """Hysteresis labels whose state per series lives across micro-batches.
 
-    ``scores``: symbol, datetime, score, arriving in time order per symbol.
+    ``scores``: symbol, datetime, score, in any order within ``late``. Rows are labelled a
+    span of ``span_hours`` at a time, once the watermark has reached the last row that the
+    span has; it bounds the rows that a call holds. A row that comes after the watermark has
+    passed its time is dropped, and of two rows of one time the later one counts.
+    Needs the RocksDB state store, which is set here.
     """
     edges = [
         (
@@ -82,34 +152,10 @@ def stream_labels(scores: DataFrame, bands: Sequence[Band], margin: float, dwell
         )
         for b in bands
     ]
-
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current, pending, count = state.get if state.exists else (-1, -1, 0)
-        rows = pd.concat(list(parts)).sort_values("datetime")
-        labels = []
-        for v in rows["score"]:
-            if v is None or v != v:
-                labels.append(None)
-                continue
-            now = next(i for i, (_, lo, hi) in enumerate(edges) if lo <= v < hi)
-            _, lo, hi = edges[max(current, 0)]
-            if current < 0:
-                current = now
-            elif now == current or lo - margin <= v < hi + margin:
-                pending, count = -1, 0
-            else:
-                count = count + 1 if now == pending else 1
-                pending = now
-                if count >= dwell:
-                    current, pending, count = now, -1, 0
-            labels.append(edges[current][0])
-        state.update((current, pending, count))
-        yield pd.DataFrame({"symbol": key[0], "datetime": rows["datetime"], "label": labels})
-
-    return scores.groupBy("symbol").applyInPandasWithState(
-        update,
-        "symbol string, datetime timestamp, label string",
-        "current int, pending int, dwell int",
-        "append",
-        GroupStateTimeout.NoTimeout,
+    scores.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return scores.withWatermark("datetime", late).groupBy("symbol").transformWithStateInPandas(
+        statefulProcessor=_Labeller(edges, margin, dwell, int(span_hours * 3_600_000)),
+        outputStructType="symbol string, datetime timestamp, label string",
+        outputMode="Append",
+        timeMode="EventTime",
     )
