@@ -61,3 +61,11 @@ def test_chi_square_tail(spark):
 def test_two_sided(spark):
     assert abs(column(spark, [-1.959963984540054], special.two_sided)[0] - 0.05) < 1e-14
     assert inference.two_sided is special.two_sided
+
+
+def test_log_gamma(spark):
+    x = [1.0, 1.5, 2.0, 3.0, 10.0, 171.5, 1e4, 1e9, 1e15]
+    got = column(spark, [*x, 0.5, None], special.log_gamma)
+    assert got[-2:] == [None, None]
+    for a, v in zip(got, x, strict=False):
+        assert abs(a - math.lgamma(v)) < 1e-12 * (1 + abs(math.lgamma(v)))

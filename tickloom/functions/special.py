@@ -150,6 +150,21 @@ def _erfc_of(x: Column) -> Column:
     return _bound(x, _erfc)
 
 
+def log_gamma(x: Column) -> Column:
+    """Log of the gamma function for x >= 1: Stirling's series at x + 8."""
+
+    def value(v: Column) -> Column:
+        z = v + 8
+        rise = v
+        for i in range(1, 8):
+            rise = rise * (v + i)
+        w = 1 / (z * z)
+        series = (1 / 12 - w * (1 / 360 - w * (1 / 1260 - w * (1 / 1680 - w / 1188)))) / z
+        return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(rise)
+
+    return _bound(x, lambda v: _known(v, F.when(v >= 1, value(v))))
+
+
 def two_sided(t: Column) -> Column:
     """Two-sided normal p-value."""
     return 2 * norm_cdf(-F.abs(t))

@@ -22,7 +22,7 @@ from ..functions.ordered import (
     value_ranks,
 )
 from ..functions.selection import largest, select_rank
-from ..functions.special import chi2_sf, norm_cdf, norm_density, norm_quantile
+from ..functions.special import chi2_sf, log_gamma, norm_cdf, norm_density, norm_quantile
 from ..session import materialize
 from .curves import runs
 from .features import hash_int
@@ -251,13 +251,8 @@ def normal_log_score(x: Column, mean: Column, var: Column) -> Column:
 
 
 def poisson_log_score(x: Column, mu: Column) -> Column:
-    """x log mu - mu - log x!; the factorial by a sum of logs (x is a count)."""
-    logs = F.aggregate(
-        F.transform(F.sequence(F.lit(1), F.greatest(x.cast("int"), F.lit(1))), lambda k: F.log(k.cast("double"))),
-        F.lit(0.0),
-        lambda acc, v: acc + v,
-    )
-    return F.when(mu > 0, x * F.log(mu) - mu - F.when(x > 1, logs).otherwise(0.0))
+    """x log mu - mu - log x!; x is a count."""
+    return F.when(mu > 0, x * F.log(mu) - mu - log_gamma(F.greatest(x, F.lit(0)) + 1))
 
 
 def normal_crps(x: Column, mean: Column, sd: Column) -> Column:

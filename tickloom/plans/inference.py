@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions.exprs import log_return, roll_std
@@ -121,7 +123,20 @@ def ic_screen(t):
     return rounded(N.ic_screen(d, SCREEN, "fwd_return_1", WEEKLY, names=NAMES))
 
 
-@query("170")
+TRIALS = 25
+EXPECTED_Z = (1 - N.EULER_GAMMA) * norm_quantile(1 - 1 / TRIALS) + N.EULER_GAMMA * norm_quantile(1 - 1 / (TRIALS * math.e))
+
+
+@query(
+    "170",
+    f"""with m as (select symbol, avg(trade_log_return) as a, stddev_samp(trade_log_return) as s, stddev_pop(trade_log_return) as p, count(trade_log_return) as n_obs from tf_sym group by 1),
+c as (select t.symbol, avg(power((trade_log_return - a) / nullif(p, 0), 3)) as skew, avg(power((trade_log_return - a) / nullif(p, 0), 4)) as kurt from tf_sym t join m on t.symbol = m.symbol group by 1),
+d as (select m.symbol, a / nullif(s, 0) as sharpe, skew, kurt, n_obs from m join c on m.symbol = c.symbol where n_obs > 1),
+e as (select *, sqrt((1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) / (n_obs - 1)) as sr_std from d),
+f as (select *, sr_std * ({EXPECTED_Z!r}) as expected_max_sharpe from e),
+g as (select *, (sharpe - expected_max_sharpe) / nullif(sr_std, 0) as z from f)
+select symbol, n_obs, {S.rnd("sharpe skew kurt sr_std expected_max_sharpe")}, round(case when sr_std = 0 then 1 else {S.cdf("z")} end, 6) as prob from g""",
+)
 def deflated_sharpe(t):
     d = trades_by_symbol(t)
     return rounded(N.deflated_sharpe(d, "trade_log_return", "symbol", 25))

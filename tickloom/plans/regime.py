@@ -538,7 +538,19 @@ def markov_forecast(t):
     return rounded(mk(t).select("symbol", "datetime", *PS))
 
 
-@query("353")
+def markov_sql(h: int) -> str:
+    """The row of the label of the h-th power of the transition matrix so far."""
+    n = range(len(STATES))
+    q = ", ".join(f"coalesce(c_{i}_{j} / nullif(c_{i}_0 + c_{i}_1 + c_{i}_2, 0), 0) as q_{i}_{j}" for i in n for j in n)
+    d = f"select symbol, datetime, label, seen, {q}, " + ", ".join(f"case when label = '{a}' then 1.0 else 0.0 end as v0_{i}" for i, a in enumerate(STATES)) + " from mk0"
+    for k in range(h):
+        step = ", ".join(" + ".join(f"v{k}_{i} * q_{i}_{j}" for i in n) + f" as v{k + 1}_{j}" for j in n)
+        d = f"select *, {step} from ({d})"
+    out = ", ".join(f"round(case when seen >= 60 and label is not null then v{h}_{j} end, 6) as p_{b}" for j, b in enumerate(STATES))
+    return f"select symbol, datetime, {out} from ({d})"
+
+
+@query("353", markov_sql(5))
 def markov_forecast_h5(t):
     d = R.markov_forecast(lab(t).drop("score"), WEEKLY, "label", STATES, 5, 60)
     return rounded(d.select("symbol", "datetime", *PS))

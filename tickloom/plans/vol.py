@@ -545,7 +545,16 @@ def geometric_duration_fit(t):
     return rounded(V.geometric_fit(V.violation_durations(hits(t), WEEKLY), ["symbol"], "duration"))
 
 
-@query("257")
+@query(
+    "257",
+    """with a as (select symbol, datetime, cast(sign(log_return) as int) as s from feat1 where log_return <> 0),
+b as (select *, sum(nw) over (partition by symbol order by datetime) as g from (select *, case when s = lag(s) over (partition by symbol order by datetime) then 0 else 1 end as nw from a)),
+l as (select symbol, count(*) as x from b group by symbol, g),
+m as (select symbol, avg(x) as d, count(*) as n from l group by 1),
+v as (select symbol, x, c, sum(c) over (partition by symbol order by x) as cum from (select symbol, x, count(*) as c from l group by 1, 2)),
+f as (select v.symbol, d, n, cum / n as hi, (cum - c) / n as lo, 1 - power(1 - 1 / d, x) as f from v join m on v.symbol = m.symbol)
+select symbol, round(d, 6) as mean_duration, n as n_runs, round(max(greatest(abs(hi - f), abs(f - lo))), 6) as ks_stat from f group by symbol, d, n""",
+)
 def duration_ks(t):
     return rounded(V.duration_ks(V.sign_runs(returns_w(t), WEEKLY, "log_return"), ["symbol"]))
 
