@@ -383,8 +383,9 @@ def _scan_carry(
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         return fold(pdf.sort_values("_cell"))[names]
 
-    keys = [F.col(k) for k in s.keys] or [F.lit(0)]
-    return cells.groupBy(*keys).applyInPandas(one, schema)
+    if not s.keys:
+        return cells.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(one, schema)
+    return cells.groupBy(*s.keys).applyInPandas(one, schema)
 
 
 def compose_affine(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

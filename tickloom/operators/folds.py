@@ -225,6 +225,83 @@ def ordered_split(df: DataFrame, s: Ordered, test_size: float) -> DataFrame:
     return d.select(*df.columns, F.when(F.col("_i") <= cut, "train").otherwise("test").alias("side"))
 
 
+# For rows that are already dealt to folds, once per fold; ``FoldSums`` needs no copies.
+
+
+def standardize(rows: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("fold",)) -> DataFrame:
+    """Both sides scaled by the train mean and sample std of their fold; a std
+    under 1e-12 counts as 1."""
+    train = F.col("side") == "train"
+    stats = rows.groupBy(*keys).agg(
+        *[F.avg(F.when(train, F.col(c))).alias(f"_m_{c}") for c in cols],
+        *[F.stddev_samp(F.when(train, F.col(c))).alias(f"_s_{c}") for c in cols],
+    )
+    d = rows.join(stats, list(keys))
+    scaled = {
+        c: (F.col(c) - F.col(f"_m_{c}"))
+        / F.when(F.col(f"_s_{c}") < 1e-12, 1.0).otherwise(F.col(f"_s_{c}"))
+        for c in cols
+    }
+    return d.withColumns(scaled).select(*rows.columns)
+
+
+def _gram(rows: DataFrame, xs: Sequence[str], y: str, keys: Sequence[str]) -> DataFrame:
+    """Sums of all products of (1, x..., y) over the train rows, one row per key."""
+    one = ["_one", *xs, y]
+    d = rows.where(F.col("side") == "train").withColumn("_one", F.lit(1.0))
+    pairs = [(i, j) for i in range(len(one)) for j in range(i, len(one))]
+    return d.groupBy(*keys).agg(
+        *[F.sum(F.col(one[i]) * F.col(one[j])).alias(f"g_{i}_{j}") for i, j in pairs]
+    )
+
+
+def solve_linear(
+    rows: DataFrame,
+    xs: Sequence[str],
+    y: str,
+    keys: Sequence[str] = ("fold",),
+    subsets: Mapping[str, Sequence[str]] | None = None,
+) -> DataFrame:
+    """Least squares per key from its Gram sums: one small solve per row.
+
+    ``subsets`` fits several feature sets from the same sums; the result then
+    carries the set's name in ``subset``. Unused features get weight 0.
+    """
+    k = len(xs)
+    sets = subsets or {"all": list(xs)}
+    gram = _gram(rows, xs, y, keys)
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in gram.schema.fields if f.name in keys]
+    schema = ", ".join([*fields, "subset string", "bias double", "weights array<double>"])
+
+    def solve(parts):
+        for pdf in parts:
+            out = []
+            for _, r in pdf.iterrows():
+                g = np.empty((k + 2, k + 2))
+                for i in range(k + 2):
+                    for j in range(i, k + 2):
+                        g[i, j] = g[j, i] = r[f"g_{i}_{j}"]
+                for name, cols in sets.items():
+                    use = [0] + [1 + xs.index(c) for c in cols]
+                    beta, *_ = np.linalg.lstsq(g[np.ix_(use, use)], g[use, k + 1], rcond=None)
+                    w = [0.0] * k
+                    for pos, b in zip(use[1:], beta[1:], strict=True):
+                        w[pos - 1] = float(b)
+                    out.append([*[r[c] for c in keys], name, float(beta[0]), w])
+            yield pd.DataFrame(out, columns=[*keys, "subset", "bias", "weights"])
+
+    return gram.mapInPandas(solve, schema)
+
+
+def predict_linear(rows: DataFrame, model: DataFrame, xs: Sequence[str], keys=("fold",)):
+    """Predictions on the test side."""
+    d = rows.where(F.col("side") == "test").join(model, list(keys))
+    dot = F.col("bias")
+    for i, c in enumerate(xs):
+        dot = dot + F.col("weights")[i] * F.col(c)
+    return d.withColumn("pred", dot).drop("weights")
+
+
 def feature_subsets(pool: Sequence[str], most: int) -> dict[str, list[str]]:
     """All combinations of one to ``most`` features."""
     return {
