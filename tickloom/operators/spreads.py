@@ -601,7 +601,8 @@ def reversion_probe(df: DataFrame, s: Ordered, x: str, flag: str) -> DataFrame:
     """AR(1) and z-score IC of each spread without its roll rows."""
     from .inference import zscore_ic
 
-    d = df.where(~F.col(flag))
+    # one evaluation for both: sums behind x may differ in their last bits when made anew
+    d = materialize(df.where(~F.col(flag)).select(*s.keys, *s.order, x))
     a = ar1(d, s, x).select(*s.keys, "beta", "t_stat", "half_life", "mean_reverting")
     return a.join(zscore_ic(d, s, x), list(s.keys), "left")
 
