@@ -10,7 +10,7 @@ from tests.check import compare, duck
 from tickloom.sources.tables import Tables
 
 SF = "/root/testdata/sf0.01"
-NAMES = ("reversion_probe",)
+NAMES = ("reversion_probe", "zscore_ic")
 
 
 @pytest.fixture
